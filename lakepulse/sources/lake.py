@@ -6,15 +6,14 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lakepulse.sources import schemas
 
 
-def read_json(spark: SparkSession, path: str | list[str], schema: T.StructType, base_path: str | None = None) -> DataFrame:
+def read_json(spark: SparkSession, path: str | list[str], schema: str, base_path: str | None = None) -> DataFrame:
     """JSON lines under a declared schema; a line that does not parse keeps its text in ``_corrupt_record``."""
     reader = (
-        spark.read.schema(T.StructType([*schema.fields, T.StructField(schemas.CORRUPT, T.StringType())]))
+        spark.read.schema(f"{schema}, {schemas.CORRUPT} string")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", schemas.CORRUPT)
     )

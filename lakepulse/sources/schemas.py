@@ -2,13 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
 DAILY = "year string, month string, day string"
 HOURLY = DAILY + ", hour string"
 
@@ -74,17 +67,16 @@ risk_assessment struct<risk_score double, fraud_indicators array<string>, verifi
 """
 RAW_EVENT_FIELDS = "event_id string, timestamp string, user_id string, event_type string, properties map<string,string>"
 METRIC_FIELDS = "timestamp string, metric_name string, value double, tags string"
-MESSAGE_FIELDS = (
-    "message_id string, queue string, group_id string, dedup_id string, body string, sent_ms bigint, receive_count int"
-)
+MESSAGE_COLUMNS = ["message_id", "queue", "group_id", "dedup_id", "body", "sent_ms", "receive_count"]
 
 CORRUPT = "_corrupt_record"
 
-BATCHES = _ddl(f"{BATCH_FIELDS}, {HOURLY}")
-BEHAVIOR = _ddl(f"{BEHAVIOR_FIELDS}, {HOURLY}")
-FEEDBACK = _ddl(f"{FEEDBACK_FIELDS}, {DAILY}")
-TRANSACTIONS = _ddl(f"{TRANSACTION_FIELDS}, {DAILY}")
-RAW_EVENTS = _ddl(f"{RAW_EVENT_FIELDS}, year int, month int, day int, hour int")
-METRICS = _ddl(METRIC_FIELDS)
-MESSAGES = _ddl(MESSAGE_FIELDS)
-BATCH_FILE = _ddl(BATCH_FIELDS)
+BATCHES = f"{BATCH_FIELDS}, {HOURLY}"
+BEHAVIOR = f"{BEHAVIOR_FIELDS}, {HOURLY}"
+FEEDBACK = f"{FEEDBACK_FIELDS}, {DAILY}"
+TRANSACTIONS = f"{TRANSACTION_FIELDS}, {DAILY}"
+RAW_EVENTS = f"{RAW_EVENT_FIELDS}, year int, month int, day int, hour int"
+METRICS = METRIC_FIELDS
+MESSAGES = (
+    "message_id string, queue string, group_id string, dedup_id string, body string, sent_ms bigint, receive_count int"
+)

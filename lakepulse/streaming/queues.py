@@ -107,6 +107,11 @@ def oversize(max_bytes: int = MAX_BYTES) -> Column:
     return F.octet_length("body") > max_bytes
 
 
+def flag_oversize(messages: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Add the body's bytes and whether the size rule rejects it; write with ``rejected`` as a partition."""
+    return messages.withColumns({"bytes": F.octet_length("body"), "rejected": oversize(max_bytes).cast("int")})
+
+
 def parse_body(messages: DataFrame, fields: str) -> DataFrame:
     """Add ``payload`` from the JSON body, and ``ok``: whether the whole body parsed."""
     parsed = F.from_json(
@@ -131,12 +136,13 @@ def settle(
         too_big = oversize(max_bytes)
         failed = received.where(~F.col("ok") | too_big).drop("payload", "ok")
         final = (F.col("receive_count") >= max_receives) | too_big
-        received.where(F.col("ok") & ~too_big).select("message_id", "queue", "group_id", "sent_ms", "payload.*").write.mode(
-            "overwrite"
-        ).parquet(f"{done}/epoch={epoch}")
+        stored = received.where(F.col("ok") & ~too_big).select(
+            "message_id", "queue", "group_id", "sent_ms", "receive_count", "payload.*"
+        )
+        stored.write.mode("overwrite").parquet(f"{done}/epoch={epoch}")
         reason = F.when(too_big, "too large").otherwise("not parseable")
         failed.where(final).withColumn("reason", reason).write.mode("overwrite").parquet(f"{dead}/epoch={epoch}")
-        failed.where(~final).select(*schemas.MESSAGES.names).write.mode("overwrite").parquet(f"{landing}/retry-{epoch}")
+        failed.where(~final).select(*schemas.MESSAGE_COLUMNS).write.mode("overwrite").parquet(f"{landing}/retry-{epoch}")
 
     return each
 
