@@ -88,17 +88,19 @@ def ordered_runs(
     after: int = 0,
     hot_rows: int = HOT_ROWS,
     bucket_ms: int = BUCKET_MS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add window columns over ``keys`` ordered by ``ms, ties``.
 
     ``build`` receives the ordered window and returns expressions whose frames reach at most
     ``before`` rows back and ``after`` rows ahead. ``run_index`` (position from 1) and ``run_length``
-    (rows in the run) are added as well. NULL keys form one run, as in a plain window.
+    (rows in the run) are added as well. NULL keys form one run, as in a plain window. ``sizes`` may
+    name a cheaper DataFrame with the same keys, row for row, to count the runs from.
     """
     columns = df.columns
     keyed = df.withColumn("_run", F.struct(*keys))
-    hot = keyed.groupBy("_run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("_run")
-    hot = F.broadcast(hot)
+    counted = (df if sizes is None else sizes).groupBy(F.struct(*keys).alias("_run")).agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(counted.where(F.col("n") > hot_rows).select("_run"))
 
     w = Window.partitionBy("_run").orderBy(*_order(ms, ties))
     cold_rows = keyed.join(hot, "_run", "left_anti")

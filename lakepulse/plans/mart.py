@@ -19,7 +19,7 @@ HORIZONS = (1, 7, 30)
 def daily_aggregates(events: DataFrame, as_of: date, days: int = 90, min_year: str | None = None) -> DataFrame:
     """Per day: users, segments, versions, countries, event mix, durations and quality.
 
-    No distinct count runs over raw events: users and sessions come from one compact
+    No distinct count runs over raw events: users, sessions and sums come from one compact
     (day, user, session) table, the low-cardinality dimensions from counted values.
     """
     rows = events.where(since_ms(as_of, days, min_year=min_year))
@@ -32,15 +32,6 @@ def daily_aggregates(events: DataFrame, as_of: date, days: int = 90, min_year: s
         "crashes": "crash",
     }
     load_time = F.when(is_event("performance"), F.col("duration"))
-    volumes = rows.groupBy(*DAY).agg(
-        F.count(F.lit(1)).alias("total_events"),
-        F.avg("duration").alias("avg_session_duration"),
-        F.percentile_approx("duration", 0.5).alias("median_session_duration"),
-        *[tally(is_event(k)).alias(n) for n, k in kind.items()],
-        F.avg(load_time).alias("avg_performance_load_time"),
-        F.percentile_approx(load_time, 0.95).alias("p95_performance_load_time"),
-    )
-
     segments = {
         "new_users": is_event("first_open"),
         "premium_users": F.col("subscription_status") == "premium",
@@ -49,21 +40,33 @@ def daily_aggregates(events: DataFrame, as_of: date, days: int = 90, min_year: s
         "ipad_users": F.col("device_type") == "iPad",
         "android_users": F.col("device_type") == "Android",
     }
-    compact = rows.groupBy(*DAY, "user_id", "session_id").agg(*[F.max(flag(c)).alias(n) for n, c in segments.items()])
-    users = (
-        compact.groupBy(*DAY, "user_id")
-        .agg(*[F.max(n).alias(n) for n in segments])
-        .groupBy(*DAY)
-        .agg(
-            F.count("user_id").alias("daily_active_users"),
-            *[tally(F.col("user_id").isNotNull() & (F.col(n) == 1)).alias(n) for n in segments],
-        )
+    sums = {"total_events": F.count(F.lit(1)), **{n: tally(is_event(k)) for n, k in kind.items()}}
+    for name, value in {"duration": F.col("duration"), "load": load_time}.items():
+        sums |= {f"{name}_sum": F.sum(value), f"{name}_n": F.count(value)}
+    compact = rows.groupBy(*DAY, "user_id", "session_id").agg(
+        *[F.max(flag(c)).alias(n) for n, c in segments.items()], *[c.alias(n) for n, c in sums.items()]
     )
-    sessions = (
-        compact.select(*DAY, "session_id")
-        .distinct()
-        .groupBy(*DAY)
-        .agg(F.count("session_id").alias("total_sessions"))
+    # Each compact row counts once for its user and once for its session, in a single shuffle.
+    ids = F.array(
+        F.struct(F.lit("user").alias("of"), F.col("user_id").alias("id")),
+        F.struct(F.lit("session").alias("of"), F.col("session_id").alias("id")),
+    )
+    per_id = (
+        compact.select("*", F.inline(ids))
+        .groupBy(*DAY, "of", "id")
+        .agg(*[F.max(n).alias(n) for n in segments], *[F.sum(n).alias(n) for n in sums])
+    )
+    user = (F.col("of") == "user") & F.col("id").isNotNull()
+    session = F.col("of") == "session"
+    volumes = per_id.groupBy(*DAY).agg(
+        tally(user).alias("daily_active_users"),
+        tally(session & F.col("id").isNotNull()).alias("total_sessions"),
+        *[tally(user & (F.col(n) == 1)).alias(n) for n in segments],
+        *[F.sum(F.when(session, F.col(n))).alias(n) for n in sums],
+    )
+    medians = rows.groupBy(*DAY).agg(
+        F.percentile_approx("duration", 0.5).alias("median_session_duration"),
+        F.percentile_approx(load_time, 0.95).alias("p95_performance_load_time"),
     )
 
     values = rows.select(
@@ -84,75 +87,87 @@ def daily_aggregates(events: DataFrame, as_of: date, days: int = 90, min_year: s
         most_common(of("country"), F.col("n")).alias("most_common_country"),
     )
 
-    joined = volumes.join(users, DAY, "left").join(sessions, DAY, "left").join(dims, DAY, "left")
+    joined = volumes.join(medians, DAY, "left").join(dims, DAY, "left")
     rate = lambda part, whole: round_half_up(ratio(part, whole, digits=None) * 100.0, 4)
     counts = ["unique_screens_accessed", "unique_events_triggered", "app_versions_active", "countries_active"]
     return joined.fillna(0, subset=counts).select(
-        *DAY, "daily_active_users", "new_users", "total_sessions", "total_events", "avg_session_duration",
-        "median_session_duration", "unique_screens_accessed", "unique_events_triggered", "premium_users",
+        *DAY, "daily_active_users", "new_users", "total_sessions", "total_events",
+        ratio("duration_sum", "duration_n", digits=None).alias("avg_session_duration"), "median_session_duration", "unique_screens_accessed", "unique_events_triggered", "premium_users",
         "free_users", "iphone_users", "ipad_users", "android_users", "app_versions_active",
         "most_common_app_version", "countries_active", "most_common_country", *kind,
-        "avg_performance_load_time", "p95_performance_load_time",
+        ratio("load_sum", "load_n", digits=None).alias("avg_performance_load_time"), "p95_performance_load_time",
         rate("errors", "total_events").alias("error_rate_percent"),
         rate("crashes", "total_sessions").alias("crash_rate_percent"),
     )
 
 
-def return_windows(events: DataFrame) -> DataFrame:
-    """Per user and day number: newest event ``h`` days on and oldest event ``h + 1`` days on.
+def _day_number() -> Column:
+    return F.floor(F.col("ts_ms") / DAY_MS)
+
+
+def _return_windows(user_days: DataFrame) -> DataFrame:
+    """Add, per user and day number ``d``, the newest event ``h`` days on and the oldest ``h + 1`` days on.
 
     An event in ``[t + h days, t + (h + 1) days)`` lies either late on day ``d + h`` or early on day
     ``d + h + 1``, ``d`` being the day of ``t``. So the first and last event of each user-day decide
     whether one exists, and neither a self-join nor a window over raw events is needed.
     """
-    days = (
-        events.where(F.col("user_id").isNotNull())
-        .groupBy("user_id", F.floor(F.col("ts_ms") / DAY_MS).alias("d"))
-        .agg(F.min("ts_ms").alias("oldest"), F.max("ts_ms").alias("newest"))
-    )
     w = Window.partitionBy("user_id").orderBy("d")  # bounded by the days in the lake
-    return days.select(
-        "user_id",
-        "d",
+    return user_days.select(
+        "*",
         *[F.max("newest").over(w.rangeBetween(h, h)).alias(f"newest_{h}") for h in HORIZONS],
         *[F.min("oldest").over(w.rangeBetween(h + 1, h + 1)).alias(f"oldest_{h}") for h in HORIZONS],
     )
 
 
 def _came_back(h: int, first: Column, last: Column) -> Column:
+    """A NULL user never comes back, as it equals no other."""
     late = F.col(f"newest_{h}") >= first + h * DAY_MS
     early = F.col(f"oldest_{h}") < last + (h + 1) * DAY_MS
-    return flag(F.coalesce(late, F.lit(False)) | F.coalesce(early, F.lit(False)))
+    return flag(F.col("user_id").isNotNull() & (F.coalesce(late, F.lit(False)) | F.coalesce(early, F.lit(False))))
 
 
-def _opens_and_returns(events: DataFrame, as_of: date, days: int, min_year: str | None):
-    recent = since_ms(as_of, days, min_year=min_year)
-    # A return lies after its first open, so older events cannot matter.
-    later = events.where(F.col("ts_ms") >= F.lit(to_ms(as_of) - days * DAY_MS))
-    opens = events.where(recent & is_event("first_open")).withColumn("d", F.floor(F.col("ts_ms") / DAY_MS))
-    return opens, return_windows(later)
+def _since(events: DataFrame, as_of: date, days: int) -> DataFrame:
+    """A return lies after its first open, so nothing older than the period can matter."""
+    return events.where(F.col("ts_ms") >= F.lit(to_ms(as_of) - days * DAY_MS))
 
 
 def first_open_returns(events: DataFrame, as_of: date, days: int = 90, min_year: str | None = None) -> DataFrame:
     """Each first open with flags for a return on the 1st, 7th and 30th day after it."""
-    opens, returns = _opens_and_returns(events, as_of, days, min_year)
-    t = F.col("ts_ms")
-    return opens.join(returns, ["user_id", "d"], "left").select(
-        "user_id", "ts_ms", *DAY, *[_came_back(h, t, t).alias(f"day_{h}") for h in HORIZONS]
+    opens = events.where(since_ms(as_of, days, min_year=min_year) & is_event("first_open"))
+    user_days = (
+        _since(events, as_of, days)
+        .where(F.col("user_id").isNotNull())
+        .groupBy("user_id", _day_number().alias("d"))
+        .agg(F.min("ts_ms").alias("oldest"), F.max("ts_ms").alias("newest"))
     )
+    joined = opens.withColumn("d", _day_number()).join(_return_windows(user_days), ["user_id", "d"], "left")
+    t = F.col("ts_ms")
+    return joined.select("user_id", "ts_ms", *DAY, *[_came_back(h, t, t).alias(f"day_{h}") for h in HORIZONS])
 
 
 def daily_retention(events: DataFrame, as_of: date, days: int = 90, min_year: str | None = None) -> DataFrame:
     """Per day of first open: users, and how many of them came back 1, 7 and 30 days later.
 
-    Of a user's first opens within one day only the earliest and the latest can decide.
+    Of a user's first opens within one day only the earliest and the latest can decide, so one table
+    of (user, day) spans serves both sides: one scan, and no join.
     """
-    opens, returns = _opens_and_returns(events, as_of, days, min_year)
-    compact = opens.groupBy("user_id", "d", *DAY).agg(F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"))
-    flags = compact.join(returns, ["user_id", "d"], "left").select(
-        *DAY, "user_id", *[_came_back(h, F.col("first"), F.col("last")).alias(f"back_{h}") for h in HORIZONS]
+    opened = is_event("first_open") & (F.lit(True) if min_year is None else F.col("year") >= min_year)
+    open_ms = F.when(opened, F.col("ts_ms"))
+    spans = (
+        _since(events, as_of, days)
+        .groupBy("user_id", _day_number().alias("d"), *DAY)
+        .agg(
+            F.min("ts_ms").alias("oldest"),
+            F.max("ts_ms").alias("newest"),
+            F.min(open_ms).alias("first"),
+            F.max(open_ms).alias("last"),
+        )
+    )
+    opens = _return_windows(spans).where(F.col("first").isNotNull())
+    users = opens.groupBy(*DAY, "user_id").agg(
+        *[F.max(_came_back(h, F.col("first"), F.col("last"))).alias(f"back_{h}") for h in HORIZONS]
     )
-    users = flags.groupBy(*DAY, "user_id").agg(*[F.max(f"back_{h}").alias(f"back_{h}") for h in HORIZONS])
     return users.groupBy(*DAY).agg(
         F.count("user_id").alias("new_users_base"),
         *[F.sum(f"back_{h}").alias(f"day_{h}_retained") for h in HORIZONS],

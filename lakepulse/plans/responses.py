@@ -100,6 +100,7 @@ def response_trend(flat: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         lambda w: {"recent_effectiveness_trend": F.avg("danger_change").over(w.rowsBetween(-4, 0))},
         before=4,
         hot_rows=hot_rows,
+        sizes=completions(flat).where(F.col("device_id").isNotNull()),
     ).drop("run_index", "run_length")
 
 

@@ -11,8 +11,6 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakepulse.functions.exprs import ms_hour
-
 AS_OF = date(2024, 1, 31)
 
 # Fixed values: (source type, step number, event type, modulus, lowest remainder).
@@ -58,156 +56,130 @@ def _raw(spark: SparkSession, sf_dir: str, event_types: tuple[str, ...] | None)
     rows = events(spark, sf_dir)
     if event_types is not None:
         rows = rows.where(F.col("event_type").isin(sorted({s[0] for s in STEPS if s[2] in event_types})))
-    day = F.dayofmonth("ts")
-    stopped = ((F.col("user_id") % 7 == 3) & (day > 12)) | ((F.col("user_id") % 7 == 5) & (day > 22))
-    return rows.where(~stopped).select(
-        F.col("event_id").alias("src_id"),
+    stopped = "(user_id % 7 = 3 AND dayofmonth(ts) > 12) OR (user_id % 7 = 5 AND dayofmonth(ts) > 22)"
+    return rows.where(f"NOT ({stopped})").selectExpr(
+        "event_id AS src_id",
         "user_id",
-        F.col("event_type").alias("src"),
+        "event_type AS src",
         "value",
-        _millis().alias("ms"),
-        _k().alias("k"),
-        F.date_format("ts", "yyyyMMdd").alias("ymd"),
+        "unix_millis(CAST(ts AS TIMESTAMP)) AS ms",
+        "CAST(get_json_object(props, '$.k') AS INT) AS k",
+        "date_format(ts, 'yyyyMMdd') AS ymd",
     )
 
 
-def _steps_of(src: Column, event_types: tuple[str, ...] | None) -> Column:
+def _steps_of(event_types: tuple[str, ...] | None) -> str:
     """The literal list of steps for a source type; constant folded, so it costs nothing per row."""
-    out = None
+    arms = []
     for name in dict.fromkeys(s[0] for s in STEPS):
-        wanted = [s for s in STEPS if s[0] == name and (event_types is None or s[2] in event_types)]
-        if wanted:
-            items = F.array(
-                *[
-                    F.struct(
-                        F.lit(n).alias("step"), F.lit(t).alias("type"), F.lit(m).alias("m"), F.lit(r).alias("r")
-                    )
-                    for _, n, t, m, r in wanted
-                ]
-            )
-            out = F.when(src == name, items) if out is None else out.when(src == name, items)
-    return out
-
-
-def _pick(key: Column, labels: list[str], default: str | None = None) -> Column:
-    out = None
-    for i, text in enumerate(labels):
-        out = F.when(key == i, text) if out is None else out.when(key == i, text)
-    return out.otherwise(F.lit(default))
-
-
-def _fields(kind: Column, step: Column) -> dict[str, Column]:
-    """The event's own columns; usable on exploded rows and inside ``transform``."""
-    k, user = F.col("k"), F.col("user_id")
-    done = kind == DONE
-    focus = F.when(k % 6 == 4, F.when(user % 10 == 0, "crisis support").otherwise("Sleep")).otherwise(
-        _pick(k % 6, ["Health Concerns", "Work Stress", "Relationships", "Financial Worries"])
-    )
-    text = lambda c: c.cast("string")
-    return {
-        "event_id": F.concat(F.lit("evt_"), text(F.col("src_id") * 10 + step)),
-        "ms": F.col("ms") + step * 1000,
-        "screen_name": F.when(
-            kind == "screen_view", _pick(k % 7, ["Home", "Focus", "Assess", "Respond", "History", ""])
-        ),
-        "danger_level": F.when(
-            kind == "danger_level_selected", _pick(k % 4, ["Low", "Medium", "High"], "Very High")
-        ).when(done, text(1 + user % 5 + k % 6)),
-        "probability_level": F.when(
-            kind == "probability_level_selected", _pick(k % 4, ["Medium", "Low", "Very High"], "High")
-        ).when(done, text(1 + (user + k) % 10)),
-        "response": F.when((kind == "response_selected") | done, _pick(k % 3, ["Reduce", "Maintain"], "Increase")),
-        "focus": F.when((kind == "new_focus_selected") | done, focus),
-        "specific_focus": F.when(
-            (kind == "specific_focus_selected") | done, _pick(k % 2, ["Physical symptoms"], "Job security")
-        ),
-    }
+        items = [
+            f"named_struct('step', {n}, 'type', '{kind}', 'm', {m}, 'r', {r})"
+            for src, n, kind, m, r in STEPS
+            if src == name and (event_types is None or kind in event_types)
+        ]
+        if items:
+            arms.append(f"WHEN '{name}' THEN array({', '.join(items)})")
+    return f"CASE src {' '.join(arms)} END"
 
 
-def _owner() -> dict[str, Column]:
-    device = F.concat(F.lit("device_"), F.col("user_id").cast("string"))
+def _pick(key: str, labels: list[str], default: str | None = None) -> str:
+    arms = " ".join(f"WHEN {i} THEN '{text}'" for i, text in enumerate(labels))
+    return f"CASE {key} {arms} {'' if default is None else f'ELSE {default!r}'} END"
+
+
+def _fields() -> dict[str, str]:
+    """The event's own columns, for a step ``s``; they serve exploded rows and ``transform`` alike."""
+    done = f"s.type = '{DONE}'"
+    quiet = _pick("k % 6", ["Health Concerns", "Work Stress", "Relationships", "Financial Worries"])
     return {
-        "device_id": device,
-        "session_id": F.concat(device, F.lit("_"), F.col("ymd")),
-        "year": F.substring("ymd", 1, 4),
-        "month": F.substring("ymd", 5, 2),
-        "day": F.substring("ymd", 7, 2),
+        "event_id": "concat('evt_', CAST(src_id * 10 + s.step AS STRING))",
+        "ms": "ms + s.step * 1000",
+        "screen_name": "CASE WHEN s.type = 'screen_view' THEN "
+        + _pick("k % 7", ["Home", "Focus", "Assess", "Respond", "History", ""])
+        + " END",
+        "danger_level": "CASE WHEN s.type = 'danger_level_selected' THEN "
+        + _pick("k % 4", ["Low", "Medium", "High"], "Very High")
+        + f" WHEN {done} THEN CAST(1 + user_id % 5 + k % 6 AS STRING) END",
+        "probability_level": "CASE WHEN s.type = 'probability_level_selected' THEN "
+        + _pick("k % 4", ["Medium", "Low", "Very High"], "High")
+        + f" WHEN {done} THEN CAST(1 + (user_id + k) % 10 AS STRING) END",
+        "response": f"CASE WHEN s.type = 'response_selected' OR {done} THEN "
+        + _pick("k % 3", ["Reduce", "Maintain"], "Increase")
+        + " END",
+        "focus": f"CASE WHEN s.type = 'new_focus_selected' OR {done} THEN CASE WHEN k % 6 = 4 THEN "
+        f"CASE WHEN user_id % 10 = 0 THEN 'crisis support' ELSE 'Sleep' END ELSE {quiet} END END",
+        "specific_focus": f"CASE WHEN s.type = 'specific_focus_selected' OR {done} THEN "
+        + _pick("k % 2", ["Physical symptoms"], "Job security")
+        + " END",
     }
 
 
+# Columns that every event of a source row shares.
+OWNER = {
+    "device_id": "concat('device_', CAST(user_id AS STRING))",
+    "session_id": "concat('device_', CAST(user_id AS STRING), '_', ymd)",
+    "year": "substring(ymd, 1, 4)",
+    "month": "substring(ymd, 5, 2)",
+    "day": "substring(ymd, 7, 2)",
+}
+HOUR = "date_format(timestamp_millis(ms), 'HH') AS hour"
+
+
+def _owner(*names: str) -> list[str]:
+    return [f"{OWNER[n]} AS {n}" for n in names]
+
+
 def flat(spark: SparkSession, sf_dir: str, *event_types: str) -> DataFrame:
     """One row per event. Naming event types reads only the source rows that can yield them."""
     wanted = event_types or None
-    step = F.col("s.step")
-    rows = (
-        _raw(spark, sf_dir, wanted)
-        .withColumn("s", F.explode(_steps_of(F.col("src"), wanted)))
-        .where(F.col("k") % F.col("s.m") >= F.col("s.r"))
-    )
-    fields, owner = _fields(F.col("s.type"), step), _owner()
-    return rows.select(
-        fields["event_id"].alias("event_id"),
-        owner["device_id"].alias("device_id"),
-        owner["session_id"].alias("session_id"),
-        F.col("s.type").alias("event_type"),
-        fields["ms"].cast("string").alias("event_timestamp"),
-        *[
-            fields[c].alias(c)
-            for c in ("screen_name", "danger_level", "probability_level", "response", "focus", "specific_focus")
-        ],
-        F.col("value").alias("duration"),
-        *[owner[c].alias(c) for c in ("year", "month", "day")],
+    rows = _raw(spark, sf_dir, wanted).selectExpr("*", f"explode({_steps_of(wanted)}) AS s").where("k % s.m >= s.r")
+    fields = _fields()
+    texts = ("screen_name", "danger_level", "probability_level", "response", "focus", "specific_focus")
+    return rows.selectExpr(
+        f"{fields['event_id']} AS event_id",
+        *_owner("device_id", "session_id"),
+        "s.type AS event_type",
+        f"CAST({fields['ms']} AS STRING) AS event_timestamp",
+        *[f"{fields[c]} AS {c}" for c in texts],
+        "value AS duration",
+        *_owner("year", "month", "day"),
     )
 
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested event batches: one batch per source event holding its steps, which may be none."""
-
-    def event(s: Column) -> Column:
-        f = _fields(s["type"], s["step"])
-        level = F.struct(f["danger_level"].alias("danger_level"), f["probability_level"].alias("probability_level"))
-        return F.struct(
-            f["event_id"].alias("event_id"),
-            f["ms"].alias("timestamp"),
-            s["type"].alias("event_type"),
-            f["screen_name"].alias("screen_name"),
-            F.col("value").alias("duration"),
-            level.alias("danger_probability"),
-            *[f[c].alias(c) for c in ("response", "focus", "specific_focus")],
-        )
-
-    owner = _owner()
-    kept = F.filter(_steps_of(F.col("src"), None), lambda s: F.col("k") % s["m"] >= s["r"])
-    meta = F.struct(
-        F.col("user_id").cast("string").alias("user_id"),
-        owner["device_id"].alias("device_id"),
-        owner["session_id"].alias("session_id"),
-    )
-    return _raw(spark, sf_dir, None).select(
-        F.concat(F.lit("batch_"), F.col("src_id").cast("string")).alias("batch_id"),
-        F.col("ms").alias("batch_timestamp"),
-        meta.alias("batch_metadata"),
-        F.transform(kept, event).alias("events"),
-        *[owner[c].alias(c) for c in ("year", "month", "day")],
-        F.lpad(ms_hour("ms").cast("string"), 2, "0").alias("hour"),
+    f = _fields()
+    event = f"""named_struct('event_id', {f['event_id']}, 'timestamp', {f['ms']}, 'event_type', s.type,
+        'screen_name', {f['screen_name']}, 'duration', value,
+        'danger_probability', named_struct('danger_level', {f['danger_level']},
+            'probability_level', {f['probability_level']}),
+        'response', {f['response']}, 'focus', {f['focus']}, 'specific_focus', {f['specific_focus']})"""
+    return _raw(spark, sf_dir, None).selectExpr(
+        "concat('batch_', CAST(src_id AS STRING)) AS batch_id",
+        "ms AS batch_timestamp",
+        f"""named_struct('user_id', CAST(user_id AS STRING), 'device_id', {OWNER['device_id']},
+            'session_id', {OWNER['session_id']}) AS batch_metadata""",
+        f"transform(filter({_steps_of(None)}, s -> k % s.m >= s.r), s -> {event}) AS events",
+        *_owner("year", "month", "day"),
+        HOUR,
     )
 
 
 def mart_events(flat_rows: DataFrame) -> DataFrame:
     """The product-event shape of the daily mart."""
-    user = F.substring("device_id", 8, 20).cast("int")
-    return flat_rows.select(
-        F.col("device_id").alias("user_id"),
+    user = "CAST(substring(device_id, 8, 20) AS INT)"
+    return flat_rows.selectExpr(
+        "device_id AS user_id",
         "session_id",
         "event_type",
-        F.concat("event_type", F.lit("_"), (F.floor("duration").cast("int") % 12).cast("string")).alias("event_name"),
-        F.col("event_timestamp").cast("bigint").alias("ts_ms"),
+        "concat(event_type, '_', CAST(CAST(floor(duration) AS INT) % 12 AS STRING)) AS event_name",
+        "CAST(event_timestamp AS BIGINT) AS ts_ms",
         "duration",
         "screen_name",
-        F.when(user % 4 == 0, "premium").otherwise("free").alias("subscription_status"),
-        _pick(user % 3, ["iPhone", "iPad"], "Android").alias("device_type"),
-        F.when(F.col("day") < "15", "1.0.0").otherwise("1.1.0").alias("app_version"),
-        _pick(user % 5, ["US", "CA", "GB", "DE"], "FR").alias("country"),
+        f"CASE WHEN {user} % 4 = 0 THEN 'premium' ELSE 'free' END AS subscription_status",
+        f"{_pick(f'{user} % 3', ['iPhone', 'iPad'], 'Android')} AS device_type",
+        "CASE WHEN day < '15' THEN '1.0.0' ELSE '1.1.0' END AS app_version",
+        f"{_pick(f'{user} % 5', ['US', 'CA', 'GB', 'DE'], 'FR')} AS country",
         "year",
         "month",
         "day",
@@ -294,94 +266,63 @@ def text_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Behaviour rows with every nested part; some keys are left out on purpose."""
-    rows = _raw(spark, sf_dir, None)
-    owner, k, user = _owner(), F.col("k"), F.col("user_id")
-    return rows.select(
-        F.concat(F.lit("bhv_"), F.col("src_id").cast("string")).alias("behavior_id"),
-        user.cast("string").alias("user_id"),
-        owner["session_id"].alias("session_id"),
-        owner["device_id"].alias("device_id"),
-        F.col("ms").alias("timestamp"),
-        F.col("src").alias("behavior_type"),
-        F.struct(
-            (k / F.lit(100.0)).alias("session_completion_rate"),
-            (k % 8).cast("bigint").alias("breathing_sessions_completed"),
-            F.when(k % 2 == 0, "steady").alias("technique_effectiveness"),
-        ).alias("wellness_metrics"),
-        F.struct(
-            F.array(F.lit("morning"), F.when(k % 2 == 0, "evening").otherwise("night")).alias(
-                "preferred_session_times"
-            ),
-            F.create_map(F.lit("breathing"), (k % 5).cast("bigint"), F.lit("focus"), (k % 9).cast("bigint")).alias(
-                "feature_usage_frequency"
-            ),
-            F.struct((user % 40).cast("bigint").alias("days_since_first_use")).alias("retention_indicators"),
-        ).alias("engagement_patterns"),
-        F.struct(
-            F.create_map(F.lit("daily"), k % 2 == 0).alias("notification_settings"),
-            F.create_map(F.lit("share"), F.when(k % 3 == 0, "all").otherwise("none")).alias("privacy_settings"),
-        ).alias("user_preferences"),
-        F.struct(F.lit("1.0.0").alias("app_version"), F.col("value").alias("battery_level")).alias("device_context"),
-        *[owner[c].alias(c) for c in ("year", "month", "day")],
-        F.lpad(ms_hour("ms").cast("string"), 2, "0").alias("hour"),
+    return _raw(spark, sf_dir, None).selectExpr(
+        "concat('bhv_', CAST(src_id AS STRING)) AS behavior_id",
+        "CAST(user_id AS STRING) AS user_id",
+        *_owner("session_id", "device_id"),
+        "ms AS timestamp",
+        "src AS behavior_type",
+        """named_struct('session_completion_rate', k / 100D, 'breathing_sessions_completed', CAST(k % 8 AS BIGINT),
+            'technique_effectiveness', CASE WHEN k % 2 = 0 THEN 'steady' END) AS wellness_metrics""",
+        """named_struct('preferred_session_times', array('morning', CASE WHEN k % 2 = 0 THEN 'evening' ELSE 'night' END),
+            'feature_usage_frequency', map('breathing', CAST(k % 5 AS BIGINT), 'focus', CAST(k % 9 AS BIGINT)),
+            'retention_indicators', named_struct('days_since_first_use', user_id % 40)) AS engagement_patterns""",
+        """named_struct('notification_settings', map('daily', k % 2 = 0),
+            'privacy_settings', map('share', CASE WHEN k % 3 = 0 THEN 'all' ELSE 'none' END)) AS user_preferences""",
+        "named_struct('app_version', '1.0.0', 'battery_level', value) AS device_context",
+        *_owner("year", "month", "day"),
+        HOUR,
     )
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feedback rows with 0, 1 or 2 attachments."""
-    rows = _raw(spark, sf_dir, None)
-    owner, k = _owner(), F.col("k")
-    name = F.concat(F.lit("shot_"), F.col("src_id").cast("string"))
-    one = F.struct(F.lit("image").alias("type"), name.alias("filename"), (k * 10).cast("bigint").alias("size"))
-    two = F.struct(F.lit("log").alias("type"), name.alias("filename"), (k * 20).cast("bigint").alias("size"))
-    return rows.select(
-        F.concat(F.lit("fb_"), F.col("src_id").cast("string")).alias("feedback_id"),
-        owner["device_id"].alias("device_id"),
-        F.col("ms").alias("timestamp"),
-        F.col("src").alias("feedback_type"),
-        F.when(k % 4 == 0, "high").otherwise("low").alias("severity"),
-        (1.0 + k % 5).alias("user_rating"),
-        F.array(F.lit("app"), F.col("src")).alias("tags"),
-        F.when(k % 3 == 0, F.array().cast("array<struct<type string, filename string, size bigint>>"))
-        .when(k % 3 == 1, F.array(one))
-        .otherwise(F.array(one, two))
-        .alias("attachments"),
-        F.struct(
-            F.lit("Home").alias("current_screen"),
-            F.struct(F.col("value").alias("load_time"), (k % 10 == 9).alias("crash_occurred")).alias(
-                "performance_metrics"
-            ),
-        ).alias("app_state"),
-        F.struct(F.when(k % 2 == 0, "open").otherwise("resolved").alias("status")).alias("processing_status"),
-        *[owner[c].alias(c) for c in ("year", "month", "day")],
+    item = "named_struct('type', '{0}', 'filename', concat('shot_', CAST(src_id AS STRING)), 'size', CAST(k * {1} AS BIGINT))"
+    one, two = item.format("image", 10), item.format("log", 20)
+    return _raw(spark, sf_dir, None).selectExpr(
+        "concat('fb_', CAST(src_id AS STRING)) AS feedback_id",
+        *_owner("device_id"),
+        "ms AS timestamp",
+        "src AS feedback_type",
+        "CASE WHEN k % 4 = 0 THEN 'high' ELSE 'low' END AS severity",
+        "1D + k % 5 AS user_rating",
+        "array('app', src) AS tags",
+        f"slice(array({one}, {two}), 1, k % 3) AS attachments",
+        """named_struct('current_screen', 'Home', 'performance_metrics',
+            named_struct('load_time', value, 'crash_occurred', k % 10 = 9)) AS app_state""",
+        "named_struct('status', CASE WHEN k % 2 = 0 THEN 'open' ELSE 'resolved' END) AS processing_status",
+        *_owner("year", "month", "day"),
     )
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases with their six optional parts."""
-    rows = _raw(spark, sf_dir, None).where(F.col("src") == "purchase")
-    owner, k, value = _owner(), F.col("k"), F.col("value")
-    return rows.select(
-        F.concat(F.lit("txn_"), F.col("src_id").cast("string")).alias("transaction_id"),
-        owner["device_id"].alias("device_id"),
-        F.col("ms").alias("timestamp"),
-        F.when(k % 2 == 0, "subscription").otherwise("one_time").alias("transaction_type"),
-        value.alias("amount"),
-        F.lit("USD").alias("currency"),
-        F.when(k % 2 == 0, F.struct(F.lit("monthly").alias("plan_type"), (k % 4 == 0).alias("trial_period"))).alias(
-            "subscription_info"
-        ),
-        F.when(k % 10 == 9, "refunded").otherwise("completed").alias("transaction_status"),
-        F.when(k % 10 == 9, F.struct(value.alias("refund_amount"), F.lit("request").alias("refund_reason"))).alias(
-            "refund_info"
-        ),
-        F.when(k % 5 == 0, F.struct(F.lit("WELCOME").alias("code"), F.lit(1.5).alias("discount_amount"))).alias(
-            "promo_code"
-        ),
-        F.struct(F.lit(0.25).alias("tax_rate"), (k % 7 == 0).alias("tax_exempt")).alias("tax_info"),
-        F.struct((k % 2 == 1).alias("receipt_sent")).alias("receipt_info"),
-        F.struct((k / F.lit(100.0)).alias("risk_score")).alias("risk_assessment"),
-        *[owner[c].alias(c) for c in ("year", "month", "day")],
+    """Purchases with their optional parts."""
+    return _raw(spark, sf_dir, ("new_focus_selected",)).selectExpr(
+        "concat('txn_', CAST(src_id AS STRING)) AS transaction_id",
+        *_owner("device_id"),
+        "ms AS timestamp",
+        "CASE WHEN k % 2 = 0 THEN 'subscription' ELSE 'one_time' END AS transaction_type",
+        "value AS amount",
+        "'USD' AS currency",
+        """CASE WHEN k % 2 = 0 THEN named_struct('plan_type', 'monthly', 'trial_period', k % 4 = 0) END
+            AS subscription_info""",
+        "CASE WHEN k % 10 = 9 THEN 'refunded' ELSE 'completed' END AS transaction_status",
+        "CASE WHEN k % 10 = 9 THEN named_struct('refund_amount', value, 'refund_reason', 'request') END AS refund_info",
+        "CASE WHEN k % 5 = 0 THEN named_struct('code', 'WELCOME', 'discount_amount', 1.5D) END AS promo_code",
+        "named_struct('tax_rate', 0.25D, 'tax_exempt', k % 7 = 0) AS tax_info",
+        "named_struct('receipt_sent', k % 2 = 1) AS receipt_info",
+        "named_struct('risk_score', k / 100D) AS risk_assessment",
+        *_owner("year", "month", "day"),
     )
 
 
