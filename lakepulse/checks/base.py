@@ -127,8 +127,8 @@ ev AS (
 
 HTTP = f"""http AS (
   SELECT {MS} AS ms, value / 100.0e0 AS latency_s,
-    CAST(event_type = 'error' AND {K} % 2 = 0 AS INTEGER) AS is_4xx,
-    CAST(event_type = 'error' AND {K} % 2 = 1 AS INTEGER) AS is_5xx
+    CASE WHEN event_type = 'error' AND {K} % 2 = 0 THEN 1 ELSE 0 END AS is_4xx,
+    CASE WHEN event_type = 'error' AND {K} % 2 = 1 THEN 1 ELSE 0 END AS is_5xx
   FROM events
 )"""
 

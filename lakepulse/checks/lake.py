@@ -57,7 +57,7 @@ def _(spark, sf):
         "batch_timestamp",
         "batch_metadata.device_id",
         "batch_metadata.session_id",
-        F.size("events").alias("n_events"),
+        F.coalesce(F.size("events"), F.lit(0)).alias("n_events"),
         *sinks.HOURLY,
     )
 
@@ -106,7 +106,7 @@ def _(spark, sf):
     "src_feedback",
     f"""WITH {SOURCE}
 SELECT 'fb_' || src_id AS feedback_id, 'device_' || user_id AS device_id,
-    CASE WHEN k % 4 = 0 THEN 'high' ELSE 'low' END AS severity, 1.0e0 + k % 5 AS user_rating, 'app,' || kind AS tags,
+    CASE WHEN k % 4 = 0 THEN 'high' ELSE 'low' END AS severity, 1.0e0 + k % 5 AS user_rating, concat_ws(',', 'app', kind) AS tags,
     k % 3 AS attachments, CASE k % 3 WHEN 0 THEN 0 WHEN 1 THEN k * 10 ELSE k * 30 END AS attached_bytes,
     value AS load_time, CAST(k % 10 = 9 AS INTEGER) AS crashed,
     CASE WHEN k % 2 = 0 THEN 'open' ELSE 'resolved' END AS status, {PARTS}
@@ -183,7 +183,7 @@ def _(spark, sf):
 @check(
     "src_metrics_csv",
     f"""
-SELECT event_type || '_usage' AS metric_name, 'web-0' || (user_id % 4) AS host, count(*) AS n, {big(f'sum({K})')} AS k_sum,
+SELECT event_type || '_usage' AS metric_name, 'web-0' || (user_id % 4) AS host, count(*) AS n, {big(f'sum({K}) FILTER (WHERE user_id IS NOT NULL)')} AS k_sum,
     {rounded('avg(value)')} AS avg_value, max(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS newest
   FROM events GROUP BY ALL""",
 )
@@ -236,7 +236,8 @@ _SUMMARY = (
     "sink_processed_summary",
     """
 WITH hours AS (
-  SELECT date_trunc('hour', ts) AS h, event_type, count(*) AS n FROM events GROUP BY ALL
+  SELECT date_trunc('hour', ts) AS h, coalesce(event_type, 'unknown') AS event_type, count(*) AS n
+  FROM events GROUP BY ALL
 ), users AS (SELECT date_trunc('hour', ts) AS h, count(DISTINCT user_id) AS unique_users FROM events GROUP BY ALL)
 SELECT '2024-01-31 00:00:00' AS processing_timestamp, year(h) AS year, month(h) AS month, day(h) AS day, hour(h) AS hour,
     CAST(sum(n) AS BIGINT) AS total_events, any_value(unique_users) AS unique_users,
@@ -275,7 +276,7 @@ def _(spark, sf):
 @check(
     "tenant_routing",
     """
-SELECT ['tenant-a', 'tenant-b', 'shared'][CAST(user_id % 3 AS INTEGER) + 1] AS tenant, strftime(ts, '%Y') AS year,
+SELECT coalesce(['tenant-a', 'tenant-b', 'shared'][CAST(user_id % 3 AS INTEGER) + 1], 'shared') AS tenant, strftime(ts, '%Y') AS year,
     strftime(ts, '%m') AS month, strftime(ts, '%d') AS day, count(*) AS n
   FROM events GROUP BY ALL""",
 )

@@ -154,7 +154,7 @@ moves AS (
 waiting AS (
   SELECT s.queue, s.window_start, count(*) AS depth, s.window_start + 300000 - min(sent_ms) AS oldest_age_ms
   FROM spine s JOIN gone g ON g.queue = s.queue AND g.sent_ms < s.window_start + 300000
-    AND g.gone_ms >= s.window_start + 300000
+    AND coalesce(g.gone_ms, 9000000000000) >= s.window_start + 300000
   GROUP BY s.queue, s.window_start
 ) SELECT queue, window_start, coalesce(depth, 0) AS depth, oldest_age_ms, coalesce(sent, 0) AS sent,
     coalesce(received, 0) AS received, coalesce(deleted, 0) AS deleted

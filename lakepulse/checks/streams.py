@@ -58,8 +58,8 @@ def _(spark, sf):
 @check(
     "stream_dead_letter",
     with_messages("""
-SELECT message_id, queue, CASE WHEN body = '{bad' THEN 'dead' ELSE 'done' END AS outcome,
-    CASE WHEN body = '{bad' THEN 3 ELSE 1 END AS receive_count
+SELECT message_id, queue, CASE WHEN body <> '{bad' THEN 'done' ELSE 'dead' END AS outcome,
+    CASE WHEN body <> '{bad' THEN 1 ELSE 3 END AS receive_count
   FROM messages"""),
 )
 def _(spark, sf):

@@ -4,7 +4,8 @@ A window partitioned by device sorts all rows of that device in one task, and on
 third of the lake. ``ordered_runs`` gives the same answers while splitting such a run along time:
 
 1. Count rows per key (map-side combined). Keys above ``hot_rows`` are hot; at most
-   ``rows / hot_rows`` keys can be, which bounds the broadcast of that list.
+   ``rows / hot_rows`` keys can be, which bounds the broadcast of that list. The number comes from
+   the argument, the setting ``lakepulse.hotRows`` of the session, or the default of two million.
 2. Rows of the other keys go through an ordinary window: one shuffle.
 3. Rows of a hot key are counted per time bucket, and the running count cuts the run into parts of
    about ``hot_rows`` rows. Each part also receives copies of the few rows before (and after) it
@@ -86,7 +87,7 @@ def ordered_runs(
     build: Build,
     before: int = 0,
     after: int = 0,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     bucket_ms: int = BUCKET_MS,
     sizes: DataFrame | None = None,
 ) -> DataFrame:
@@ -98,6 +99,8 @@ def ordered_runs(
     name a cheaper DataFrame with the same keys, row for row, to count the runs from.
     """
     columns = df.columns
+    if hot_rows is None:
+        hot_rows = int(df.sparkSession.conf.get("lakepulse.hotRows", str(HOT_ROWS)))
     keyed = df.withColumn("_run", F.struct(*keys))
     counted = (df if sizes is None else sizes).groupBy(F.struct(*keys).alias("_run")).agg(F.count(F.lit(1)).alias("n"))
     hot = F.broadcast(counted.where(F.col("n") > hot_rows).select("_run"))

@@ -1,7 +1,8 @@
 """How levels move from one completed session to the next.
 
 No SQL exists for these analyses in what we follow, only descriptions; ``anxiety_trend`` and
-``wellness_journey`` have one line each, so their exact columns are our definition.
+``wellness_journey`` have one line each, so their exact columns are our definition. Rows without a
+device are left out, as nothing follows them from one session to the next.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from pyspark.sql.window import Window
 
 from lakepulse.functions.exprs import label, ms_date, percent, ratio, round_half_up, tally
 from lakepulse.operators.rollups import completions, count_ids
-from lakepulse.operators.runs import HOT_ROWS, ordered_runs
+from lakepulse.operators.runs import ordered_runs
 
 
-def next_session(flat: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def next_session(flat: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Each completed session with the levels of the same device's next one."""
     paired = ordered_runs(
         completions(flat).where(F.col("device_id").isNotNull()),
@@ -37,7 +38,7 @@ def next_session(flat: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     ).drop("run_index", "run_length")
 
 
-def response_effectiveness(flat: DataFrame, min_sessions: int = 1, hot_rows: int = HOT_ROWS) -> DataFrame:
+def response_effectiveness(flat: DataFrame, min_sessions: int = 1, hot_rows: int | None = None) -> DataFrame:
     """Per response and focus: change to the next session, improvement rates, a rating."""
     keys = ["response", "focus"]
     pairs = next_session(flat, hot_rows).where(F.col("response").isNotNull())
@@ -87,7 +88,7 @@ def response_effectiveness(flat: DataFrame, min_sessions: int = 1, hot_rows: int
     )
 
 
-def response_trend(flat: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def response_trend(flat: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Rolling five-session effect of each response for each device."""
     pairs = next_session(flat, hot_rows).select(
         "device_id", "session_id", "event_id", "ms", "response", "danger_change", "user_session_number"
@@ -104,7 +105,7 @@ def response_trend(flat: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     ).drop("run_index", "run_length")
 
 
-def anxiety_trend(flat: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def anxiety_trend(flat: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Per device and completed session: number, level, 3-session average, change since the first."""
     done = completions(flat).where(F.col("device_id").isNotNull() & F.col("danger_level").isNotNull())
     runs = ordered_runs(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lakepulse.functions.exprs import label, ms_date, rank_of, tally
 from lakepulse.operators.predicates import contains_any, current_period
 from lakepulse.operators.rollups import completions
-from lakepulse.operators.runs import HOT_ROWS, latest, ordered_runs
+from lakepulse.operators.runs import latest, ordered_runs
 
 LEVELS = ["CRITICAL", "HIGH", "MODERATE"]
 CRISIS_WORDS = ["crisis", "emergency", "harm"]
@@ -48,7 +48,7 @@ def _assessed(flat: DataFrame, as_of: date) -> DataFrame:
     return completions(flat.where(current_period(as_of))).dropna(subset=["danger_level", "probability_level"])
 
 
-def risk_signals(flat: DataFrame, as_of: date, hot_rows: int = HOT_ROWS) -> DataFrame:
+def risk_signals(flat: DataFrame, as_of: date, hot_rows: int | None = None) -> DataFrame:
     """Each completed session with its recency, the device's session count and its trailing levels."""
     done = _assessed(flat, as_of)
     danger = F.col("danger_level")

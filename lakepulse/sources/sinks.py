@@ -59,7 +59,8 @@ def compact(df: DataFrame, path: str, keys: list[str], rows_per_file: int = 5_00
 
 def processed_summary(raw: DataFrame, processed_at: str) -> DataFrame:
     """Per hour: events, users and events per type. The map holds event types, not events."""
-    compact_rows = raw.groupBy(*HOURLY, "event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.coalesce("event_type", F.lit("unknown")).alias("event_type")
+    compact_rows = raw.groupBy(*HOURLY, kind, "user_id").agg(F.count(F.lit(1)).alias("n"))
     types = compact_rows.groupBy(*HOURLY, "event_type").agg(F.sum("n").alias("n"))
     entry = F.struct("event_type", "n")
     by_type = types.groupBy(*HOURLY).agg(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakepulse.functions.exprs import DAY_MS, ms_date, ms_timestamp
-from lakepulse.operators.runs import HOT_ROWS, ordered_runs
+from lakepulse.operators.runs import ordered_runs
 from lakepulse.sources import schemas
 
 # Queue settings.
@@ -73,7 +73,7 @@ def drop_copies(messages: DataFrame, delay: str = "5 minutes", collapse: bool =
     return keyed.withWatermark("sent_at", delay).dropDuplicatesWithinWatermark(["queue", "key"]).drop("key", "sent_at")
 
 
-def write_in_order(path: str, hot_rows: int = HOT_ROWS) -> Callable[[DataFrame, int], None]:
+def write_in_order(path: str, hot_rows: int | None = None) -> Callable[[DataFrame, int], None]:
     """Epoch sink that numbers messages within their group; (epoch, seq) orders a group for good.
 
     A later epoch only holds messages that arrived later, so no per-group state is kept, and a hot
@@ -104,7 +104,8 @@ def within_retention(messages: DataFrame, now_ms: int | None = None, days: dict[
 
 
 def oversize(max_bytes: int = MAX_BYTES) -> Column:
-    return F.octet_length("body") > max_bytes
+    """Never NULL, so that a message without a body is not lost between two filters."""
+    return F.coalesce(F.octet_length("body") > max_bytes, F.lit(False))
 
 
 def flag_oversize(messages: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:

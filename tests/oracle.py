@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -41,8 +42,7 @@ def differences(df, con, sql: str) -> str | None:
         return f"columns differ: spark only {set(got[0]) - set(want[0])}, sql only {set(want[0]) - set(got[0])}"
     if got[1] == want[1]:
         return None
-    only_got = [r for r in got[1] if r not in set(want[1])][:3]
-    only_want = [r for r in want[1] if r not in set(got[1])][:3]
+    only_got, only_want = sorted(set(got[1]) - set(want[1]))[:3], sorted(set(want[1]) - set(got[1]))[:3]
     return f"{len(got[1])} vs {len(want[1])} rows; columns {got[0]}; spark only {only_got}; sql only {only_want}"
 
 
@@ -53,6 +53,8 @@ def main() -> None:
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark, con = local_session(), connect(sf_dir)
+    if os.environ.get("HOT_ROWS"):
+        spark.conf.set("lakepulse.hotRows", os.environ["HOT_ROWS"])
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = []
     for name in sys.argv[2:] or queries:
