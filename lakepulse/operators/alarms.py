@@ -24,20 +24,27 @@ def window_start(ms: str, period_s: int) -> Column:
 
 
 def window_series(df: DataFrame, ms: str, period_s: int, by: list[str], **aggregates: Column) -> DataFrame:
-    """One row per non-empty window (and ``by`` key)."""
-    return df.groupBy(*by, window_start(ms, period_s).alias("window_start")).agg(
+    """One row per non-empty window (and ``by`` key); rows without a time belong to no window."""
+    timed = df.where(F.col(ms).isNotNull())
+    return timed.groupBy(*by, window_start(ms, period_s).alias("window_start")).agg(
         *[c.alias(name) for name, c in aggregates.items()]
     )
 
 
 def fill_windows(series: DataFrame, period_s: int, by: list[str]) -> DataFrame:
-    """Add the windows between the first and the last that hold no data."""
-    span = series.groupBy(*by).agg(F.min("window_start").alias("lo"), F.max("window_start").alias("hi"))
+    """Add the windows between the first and the last that hold no data.
+
+    Each window spreads over the gap up to the next one, so the series is read once and not joined.
+    """
     step = F.lit(period_s * 1000).cast("bigint")
-    spine = span.where(F.col("lo").isNotNull()).select(
-        *by, F.explode(F.sequence("lo", "hi", step)).alias("window_start")
+    following = F.lead("window_start").over(Window.partitionBy(*by).orderBy("window_start"))
+    values = [c for c in series.columns if c not in (*by, "window_start")]
+    last = F.coalesce(F.col("following") - step, F.col("window_start"))
+    spread = series.withColumn("following", following).select(
+        *by, F.col("window_start").alias("at"), *values, F.explode(F.sequence("window_start", last, step)).alias("window_start")
     )
-    return spine.join(series, [*by, "window_start"], "left")
+    own = F.col("window_start") == F.col("at")
+    return spread.select(*by, "window_start", *[F.when(own, F.col(c)).alias(c) for c in values])
 
 
 def alarm_states(

@@ -133,19 +133,18 @@ def queue_health(log: DataFrame, period_s: int = 300) -> DataFrame:
         "queue", "sent_ms", window_start("sent_ms", period_s).alias("ws"), (F.floor(_gone() / period) * period).alias("wg")
     )
     pairs = waits.groupBy("queue", "ws", "wg").agg(F.min("sent_ms").alias("oldest"))
-    leaving = pairs.where(F.col("wg") > F.col("ws"))
     step = F.lit(period).cast("bigint")
-    spread = leaving.select(
-        "queue", F.explode(F.sequence("ws", F.col("wg") - period, step)).alias("window_start"), "oldest"
+    stays = F.col("wg").isNull()
+    through = F.when(stays, F.col("ws")).otherwise(F.col("wg") - period)
+    spread = pairs.where(stays | (F.col("wg") > F.col("ws"))).select(
+        "queue", F.explode(F.sequence("ws", through, step)).alias("window_start"), "oldest", stays.alias("stays")
     )
-    waiting = spread.groupBy("queue", "window_start").agg(F.min("oldest").alias("oldest"))
-    staying = (
-        pairs.where(F.col("wg").isNull())
-        .groupBy("queue", F.col("ws").alias("window_start"))
-        .agg(F.min("oldest").alias("stuck"))
+    waiting = spread.groupBy("queue", "window_start").agg(
+        F.min(F.when(~F.col("stays"), F.col("oldest"))).alias("oldest"),
+        F.min(F.when(F.col("stays"), F.col("oldest"))).alias("stuck"),
     )
     keys = ["queue", "window_start"]
-    joined = filled.join(waiting, keys, "left").join(staying, keys, "left")
+    joined = filled.join(waiting, keys, "left")
     oldest = F.least("oldest", F.min("stuck").over(run))  # least() skips NULL
     return joined.select(
         *keys,

@@ -6,6 +6,8 @@ several tasks and joins small ones, so no task writes a whole hot partition.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +36,18 @@ def _balanced(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.hint("rebalance", *[F.col(k) for k in keys])
 
 
+@contextmanager
+def _target_size(spark: SparkSession, size: str) -> Iterator[None]:
+    """Let adaptive execution aim at ``size`` per written partition while the block runs."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_json(df: DataFrame, path: str, keys: list[str] | None = None, mode: str = "error") -> None:
     """Land gzip JSON lines under partition directories."""
     keys = keys or HOURLY
@@ -45,16 +59,19 @@ def write_tenants(df: DataFrame, path: str, tenant: Column, keys: list[str]) ->
     write_json(df.withColumn("tenant", tenant), path, ["tenant", *keys])
 
 
-def compact(df: DataFrame, path: str, keys: list[str], rows_per_file: int = 5_000_000) -> None:
-    """Rewrite landed partitions as Parquet; sizes follow the advisory partition size, with a row cap per file."""
-    (
-        _balanced(df, keys)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", rows_per_file)
-        .partitionBy(*keys)
-        .parquet(path)
-    )
+def compact(
+    df: DataFrame, path: str, keys: list[str], target_size: str = "512MB", rows_per_file: int = 5_000_000
+) -> None:
+    """Rewrite landed partitions as Parquet files of about ``target_size``, with a row cap per file."""
+    with _target_size(df.sparkSession, target_size):
+        (
+            _balanced(df, keys)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .option("maxRecordsPerFile", rows_per_file)
+            .partitionBy(*keys)
+            .parquet(path)
+        )
 
 
 def processed_summary(raw: DataFrame, processed_at: str) -> DataFrame:

@@ -133,7 +133,7 @@ def settle(
     """
 
     def each(batch: DataFrame, epoch: int) -> None:
-        received = parse_body(batch, fields).withColumn("receive_count", F.col("receive_count") + 1)
+        received = parse_body(batch, fields).withColumn("receive_count", F.col("receive_count") + 1).persist()
         too_big = oversize(max_bytes)
         failed = received.where(~F.col("ok") | too_big).drop("payload", "ok")
         final = (F.col("receive_count") >= max_receives) | too_big
@@ -144,6 +144,7 @@ def settle(
         reason = F.when(too_big, "too large").otherwise("not parseable")
         failed.where(final).withColumn("reason", reason).write.mode("overwrite").parquet(f"{dead}/epoch={epoch}")
         failed.where(~final).select(*schemas.MESSAGE_COLUMNS).write.mode("overwrite").parquet(f"{landing}/retry-{epoch}")
+        received.unpersist()
 
     return each
 
