@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakepulse.functions.exprs import HALF
 from lakepulse.session import pin
 from lakepulse.sources.fixture import STEPS
 
@@ -41,7 +42,7 @@ def check(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def rounded(x: str, digits: int = 2) -> str:
     scale = f"{10**digits}.0e0"
-    return f"(floor(({x}) * {scale} + 0.5e0) / {scale})"
+    return f"(floor(({x}) * {scale} + {HALF}e0) / {scale})"
 
 
 def quotient(part: str, whole: str, digits: int | None = 2, scale: int = 1) -> str:

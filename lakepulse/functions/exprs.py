@@ -19,9 +19,13 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Just above one half, so that a tie rounds up although sums of doubles carry noise in their last digits.
+HALF = 0.500000001
+
+
 def round_half_up(c: Column | str, digits: int) -> Column:
     scale = float(10**digits)
-    return F.floor(col(c) * scale + 0.5) / scale
+    return F.floor(col(c) * scale + HALF) / scale
 
 
 def ratio(part: Column | str, whole: Column | str, digits: int | None = 2, scale: float = 1.0) -> Column:

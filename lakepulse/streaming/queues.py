@@ -63,7 +63,8 @@ def _collapse_copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def drop_copies(messages: DataFrame, delay: str = "5 minutes", collapse: bool = True) -> DataFrame:
     """One message per (queue, key) within ``delay``.
 
-    State is bounded by the watermark. Streaming deduplication has no map-side step, so copies are
+    State is bounded by the watermark, so choose ``delay`` no shorter than messages may arrive late:
+    a row older than the watermark is left out here (``worker_results`` lands every row). Streaming deduplication has no map-side step, so copies are
     first collapsed inside each Arrow batch; otherwise a message that makes up a third of the input
     would send all its copies to one task.
     """

@@ -15,7 +15,7 @@ def one(spark, column):
 
 
 def test_rounding_is_half_up(spark):
-    cases = {0.125: 0.13, 2.675: 2.68, -0.125: -0.12, 0.0: 0.0, 1e7 + 0.005: 10000000.01}
+    cases = {0.125: 0.13, 2.675: 2.68, 1.005: 1.01, -0.125: -0.12, 0.0: 0.0, 1e7 + 0.005: 10000000.01}
     for value, want in cases.items():
         assert one(spark, X.round_half_up(F.lit(value), 2)) == want
 
