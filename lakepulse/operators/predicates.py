@@ -18,6 +18,11 @@ def current_period(as_of: date, history_months: int = 1) -> Column:
     return reduce(or_, [(F.col("year") == f"{m:%Y}") & (F.col("month") == f"{m:%m}") for m in months])
 
 
+def in_period(as_of: date, period: Column | None = None, history_months: int = 1) -> Column:
+    """The caller's own period, such as ``between_days``, or else the month of ``as_of``."""
+    return current_period(as_of, history_months) if period is None else period
+
+
 def between_days(start: date, end: date) -> Column:
     """Partition filter for ``start``..``end``: per month, with day bounds at the two ends only."""
     if end < start:

@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakepulse.functions.exprs import epoch_ms, flag, is_event, label, ms_date, percent, ratio, tally
-from lakepulse.operators.predicates import current_period, filled
+from lakepulse.operators.predicates import in_period, filled
 from lakepulse.operators.rollups import DONE, count_ids, device_days
 
 DAY = ["year", "month", "day"]
 
 
-def daily_active_users(flat: DataFrame, as_of: date, history_months: int = 1) -> DataFrame:
+def daily_active_users(
+    flat: DataFrame, as_of: date, history_months: int = 1, period: Column | None = None
+) -> DataFrame:
     """Per day: users, sessions, events, completions and their ratios."""
     compact = (
-        flat.where(current_period(as_of, history_months))
+        flat.where(in_period(as_of, period, history_months))
         .groupBy(*DAY, "device_id", "session_id")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -46,10 +48,10 @@ def daily_active_users(flat: DataFrame, as_of: date, history_months: int = 1) ->
     ).orderBy(*DAY)
 
 
-def event_type_overview(flat: DataFrame, as_of: date) -> DataFrame:
+def event_type_overview(flat: DataFrame, as_of: date, period: Column | None = None) -> DataFrame:
     """Per event type: volume, reach and share of all events."""
     compact = (
-        flat.where(current_period(as_of))
+        flat.where(in_period(as_of, period))
         .groupBy("event_type", "device_id", "session_id")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -66,9 +68,9 @@ def event_type_overview(flat: DataFrame, as_of: date) -> DataFrame:
     ).orderBy(F.desc("total_events"), "event_type")
 
 
-def screen_navigation(flat: DataFrame, as_of: date) -> DataFrame:
+def screen_navigation(flat: DataFrame, as_of: date, period: Column | None = None) -> DataFrame:
     """Per screen: views, reach, active days, first and last view."""
-    views = flat.where(current_period(as_of) & is_event("screen_view") & filled("screen_name"))
+    views = flat.where(in_period(as_of, period) & is_event("screen_view") & filled("screen_name"))
     compact = views.groupBy("screen_name", "device_id", "session_id", ms_date(epoch_ms()).alias("active_date")).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("event_timestamp").alias("first_view"),
@@ -90,13 +92,15 @@ def screen_navigation(flat: DataFrame, as_of: date) -> DataFrame:
     ).orderBy(F.desc("total_views"), "screen_name")
 
 
-def user_engagement(flat: DataFrame, as_of: date, min_sessions: int = 1) -> DataFrame:
+def user_engagement(
+    flat: DataFrame, as_of: date, min_sessions: int = 1, period: Column | None = None
+) -> DataFrame:
     """Per device: sessions, active days, depth of use, and an engagement level.
 
     The levels cover one completed session and up; a device without any is labelled apart.
     """
     compact = (
-        flat.where(current_period(as_of))
+        flat.where(in_period(as_of, period))
         .groupBy("device_id", "session_id", ms_date(epoch_ms()).alias("active_date"))
         .agg(F.count(F.lit(1)).alias("n"), tally(is_event(DONE)).alias("completed"))
     )
@@ -123,10 +127,15 @@ def user_engagement(flat: DataFrame, as_of: date, min_sessions: int = 1) -> Data
 
 
 def dau_alerts(
-    flat: DataFrame, as_of: date, drop_percent: float = 20.0, min_completion: float = 25.0, min_events: float = 15.0
+    flat: DataFrame,
+    as_of: date,
+    drop_percent: float = 20.0,
+    min_completion: float = 25.0,
+    min_events: float = 15.0,
+    period: Column | None = None,
 ) -> DataFrame:
     """Daily alert flags over the daily activity table."""
-    daily = daily_active_users(flat, as_of)
+    daily = daily_active_users(flat, as_of, period=period)
     before = F.lag("daily_active_users").over(Window.orderBy(*DAY))  # one row per day
     compared = daily.withColumn("previous_users", before)
     change = percent(F.col("daily_active_users") - F.col("previous_users"), "previous_users")

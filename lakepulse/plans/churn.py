@@ -4,26 +4,28 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakepulse.functions.exprs import flag, label, percent, rank_of, round_half_up, tally
-from lakepulse.operators.predicates import current_period
+from lakepulse.operators.predicates import in_period
 from lakepulse.operators.rollups import device_days
 
 STAGES = ["New User (0-7 days)", "Establishing User (8-30 days)", "Regular User (31-90 days)", "Long-term User (90+ days)"]
 CHURN_LEVELS = ["High Risk", "Medium Risk", "Low Risk", "Active"]
 
 
-def user_lifecycle(flat: DataFrame, as_of: date, history_months: int = 1) -> DataFrame:
+def user_lifecycle(
+    flat: DataFrame, as_of: date, history_months: int = 1, period: Column | None = None
+) -> DataFrame:
     """Per device: activity span, engagement level, churn risk and a 0-100 retention score.
 
     ``days_since_first_use`` spans first to last activity. With one month of history, stages
     beyond 30 days cannot occur; ask for more months to see them.
     """
     users = (
-        device_days(flat.where(current_period(as_of, history_months)))
+        device_days(flat.where(in_period(as_of, period, history_months)))
         .groupBy("device_id")
         .agg(
             F.min("activity_date").alias("first_activity_date"),
@@ -67,10 +69,12 @@ def user_lifecycle(flat: DataFrame, as_of: date, history_months: int = 1) -> Dat
     ).drop("age")
 
 
-def retention_churn(flat: DataFrame, as_of: date, min_users: int = 3, history_months: int = 1) -> DataFrame:
+def retention_churn(
+    flat: DataFrame, as_of: date, min_users: int = 3, history_months: int = 1, period: Column | None = None
+) -> DataFrame:
     """Cohorts by first month, lifecycle stage, engagement and churn risk, with an action."""
     keys = ["cohort_month", "user_lifecycle_stage", "engagement_level", "churn_risk_level"]
-    users = user_lifecycle(flat, as_of, history_months).withColumn(
+    users = user_lifecycle(flat, as_of, history_months, period).withColumn(
         "cohort_month", F.date_format("first_activity_date", "yyyy-MM")
     )
     idle = F.col("days_since_last_activity")

@@ -21,7 +21,7 @@ from lakepulse.functions.exprs import (
     tally,
     weekday_name,
 )
-from lakepulse.operators.predicates import current_period, last_days
+from lakepulse.operators.predicates import in_period, last_days
 from lakepulse.operators.rollups import DONE, count_ids
 
 
@@ -61,7 +61,7 @@ def focus_sessions(flat: DataFrame, as_of: date, days: int = 30) -> DataFrame:
     ).orderBy(F.desc("unique_sessions"), *keys)
 
 
-def session_timing(flat: DataFrame, as_of: date) -> DataFrame:
+def session_timing(flat: DataFrame, as_of: date, period: Column | None = None) -> DataFrame:
     """Activity and severity by hour of day and by weekday.
 
     Both breakdowns read one table of (date, hour, session, device) counts.
@@ -69,7 +69,7 @@ def session_timing(flat: DataFrame, as_of: date) -> DataFrame:
     ms = epoch_ms()
     done = is_event(DONE)
     danger = F.when(done, number("danger_level"))
-    rows = flat.where(current_period(as_of) & is_event(DONE, "screen_view", "new_focus_selected"))
+    rows = flat.where(in_period(as_of, period) & is_event(DONE, "screen_view", "new_focus_selected"))
     compact = rows.groupBy(
         ms_date(ms).alias("date"), ms_hour(ms).alias("hour"), "session_id", "device_id"
     ).agg(

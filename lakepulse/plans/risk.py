@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakepulse.functions.exprs import label, ms_date, rank_of, tally
-from lakepulse.operators.predicates import contains_any, current_period
+from lakepulse.operators.predicates import contains_any, in_period
 from lakepulse.operators.rollups import completions
 from lakepulse.operators.runs import latest, ordered_runs
 
@@ -44,13 +44,15 @@ def _any(*conditions: Column) -> Column:
     return out
 
 
-def _assessed(flat: DataFrame, as_of: date) -> DataFrame:
-    return completions(flat.where(current_period(as_of))).dropna(subset=["danger_level", "probability_level"])
+def _assessed(flat: DataFrame, as_of: date, period: Column | None) -> DataFrame:
+    return completions(flat.where(in_period(as_of, period))).dropna(subset=["danger_level", "probability_level"])
 
 
-def risk_signals(flat: DataFrame, as_of: date, hot_rows: int | None = None) -> DataFrame:
+def risk_signals(
+    flat: DataFrame, as_of: date, hot_rows: int | None = None, period: Column | None = None
+) -> DataFrame:
     """Each completed session with its recency, the device's session count and its trailing levels."""
-    done = _assessed(flat, as_of)
+    done = _assessed(flat, as_of, period)
     danger = F.col("danger_level")
     runs = ordered_runs(
         done,
@@ -73,13 +75,13 @@ def risk_signals(flat: DataFrame, as_of: date, hot_rows: int | None = None) -> D
     )
 
 
-def risk_indicators(flat: DataFrame, as_of: date) -> DataFrame:
+def risk_indicators(flat: DataFrame, as_of: date, period: Column | None = None) -> DataFrame:
     """Per device: whole-period counts, and indicators over its last seven completed sessions.
 
     The trailing frames are only ever read at the newest session, so the seven newest rows per
     device are enough; they are cut before the shuffle. The counts combine on the map side.
     """
-    done = _assessed(flat, as_of)
+    done = _assessed(flat, as_of, period)
     danger = F.col("danger_level")
     totals = done.groupBy("device_id").agg(
         F.count(F.lit(1)).alias("total_sessions"),
@@ -115,9 +117,11 @@ def _mode_of(values: str) -> Column:
     return F.array_min(counted)["v"]
 
 
-def crisis_intervention(flat: DataFrame, as_of: date, min_sessions: int = 2) -> DataFrame:
+def crisis_intervention(
+    flat: DataFrame, as_of: date, min_sessions: int = 2, period: Column | None = None
+) -> DataFrame:
     """Devices at elevated risk with an additive score, a level and a recommendation."""
-    indicators = risk_indicators(flat, as_of).where(F.col("total_sessions") >= min_sessions)
+    indicators = risk_indicators(flat, as_of, period).where(F.col("total_sessions") >= min_sessions)
     score = sum((_points(name) for name in POINTS), F.lit(0))
     latest_level, average = F.col("latest_danger_level"), F.col("recent_avg_danger")
     high, extreme = F.col("high_danger_sessions"), F.col("extreme_danger_sessions")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakepulse.functions.exprs import flag, is_event, percent, rank_of, round_half_up, tally
-from lakepulse.operators.predicates import current_period
+from lakepulse.operators.predicates import in_period
 from lakepulse.operators.rollups import DONE, count_ids, session_table
 
 TREATMENT_STEPS = {
@@ -29,10 +29,10 @@ FLOW_STEPS = {
 FUNNEL_STAGES = ["App Install", "First Anxiety Created", "First Session Completed"]
 
 
-def session_engagement(flat: DataFrame, as_of: date) -> DataFrame:
+def session_engagement(flat: DataFrame, as_of: date, period: Column | None = None) -> DataFrame:
     """One summary row over all sessions of the period."""
     sessions = session_table(
-        flat.where(current_period(as_of) & F.col("session_id").isNotNull()),
+        flat.where(in_period(as_of, period) & F.col("session_id").isNotNull()),
         {"completed": DONE, "created": "new_anxiety_created"},
         events=F.count(F.lit(1)),
         views=tally(is_event("screen_view")),
@@ -53,9 +53,9 @@ def session_engagement(flat: DataFrame, as_of: date) -> DataFrame:
     )
 
 
-def treatment_completion(flat: DataFrame, as_of: date) -> DataFrame:
+def treatment_completion(flat: DataFrame, as_of: date, period: Column | None = None) -> DataFrame:
     """Completion rates of the three treatment steps."""
-    steps = flat.where(current_period(as_of) & is_event(*TREATMENT_STEPS.values()))
+    steps = flat.where(in_period(as_of, period) & is_event(*TREATMENT_STEPS.values()))
     sessions = session_table(steps, TREATMENT_STEPS)
     first_two = (F.col("be_cool") == 1) & (F.col("believe") == 1)
     total = count_ids("session_id")
@@ -75,13 +75,13 @@ def treatment_completion(flat: DataFrame, as_of: date) -> DataFrame:
     )
 
 
-def user_journey_funnel(flat: DataFrame, as_of: date) -> DataFrame:
+def user_journey_funnel(flat: DataFrame, as_of: date, period: Column | None = None) -> DataFrame:
     """Users per onboarding stage and conversion from the stage before.
 
     Only the three stage events are read; a lake without them reports zero users.
     """
     kinds = {"installed": "app_install", "created": "new_anxiety_created", "completed": DONE}
-    stages = flat.where(current_period(as_of) & is_event(*kinds.values()))
+    stages = flat.where(in_period(as_of, period) & is_event(*kinds.values()))
     users = stages.groupBy("device_id").agg(*[F.max(flag(is_event(k))).alias(n) for n, k in kinds.items()])
     totals = users.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in kinds])
     a, b, c = FUNNEL_STAGES
@@ -93,9 +93,9 @@ def user_journey_funnel(flat: DataFrame, as_of: date) -> DataFrame:
     return rows.withColumn("conversion_rate", rate).orderBy(rank_of("stage", FUNNEL_STAGES))
 
 
-def flow_sessions(flat: DataFrame, as_of: date) -> DataFrame:
+def flow_sessions(flat: DataFrame, as_of: date, period: Column | None = None) -> DataFrame:
     """Sessions of the anxiety flow with the steps taken and the values chosen."""
-    steps = flat.where(current_period(as_of) & is_event(*FLOW_STEPS.values()))
+    steps = flat.where(in_period(as_of, period) & is_event(*FLOW_STEPS.values()))
     return session_table(
         steps,
         FLOW_STEPS,
@@ -115,13 +115,15 @@ def response_patterns(sessions: DataFrame) -> DataFrame:
     )
 
 
-def anxiety_flow_effectiveness(flat: DataFrame, as_of: date, min_count: int = 5) -> DataFrame:
+def anxiety_flow_effectiveness(
+    flat: DataFrame, as_of: date, min_count: int = 5, period: Column | None = None
+) -> DataFrame:
     """Rates of the whole flow, then one row per response pattern.
 
     Pattern rows carry their count in ``total_anxiety_sessions`` and their share in
     ``focus_selection_rate_percent``; their other columns are empty.
     """
-    sessions = flow_sessions(flat, as_of)
+    sessions = flow_sessions(flat, as_of, period)
     complete = (
         (F.col("danger") == 1) & (F.col("probability") == 1) & (F.col("responded") == 1) & (F.col("completed") == 1)
     )

@@ -75,22 +75,25 @@ def compact(
 
 
 def processed_summary(raw: DataFrame, processed_at: str) -> DataFrame:
-    """Per hour: events, users and events per type. The map holds event types, not events."""
+    """Per hour: events, users and events per type. The map holds event types, not events.
+
+    One pass over the raw rows: each (hour, type, user) count goes once to its type and once to its user.
+    """
     kind = F.coalesce("event_type", F.lit("unknown")).alias("event_type")
-    compact_rows = raw.groupBy(*HOURLY, kind, "user_id").agg(F.count(F.lit(1)).alias("n"))
-    types = compact_rows.groupBy(*HOURLY, "event_type").agg(F.sum("n").alias("n"))
-    entry = F.struct("event_type", "n")
-    by_type = types.groupBy(*HOURLY).agg(
-        F.sum("n").alias("total_events"),
-        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("event_types"),
+    compact_rows = raw.groupBy(*HOURLY, kind, "user_id").agg(F.count(F.lit(1)).alias("events"))
+    ids = F.array(
+        F.struct(F.lit("type").alias("of"), F.col("event_type").alias("id"), F.col("events").alias("n")),
+        F.struct(F.lit("user").alias("of"), F.col("user_id").alias("id"), F.lit(0).cast("bigint").alias("n")),
     )
-    users = (
-        compact_rows.select(*HOURLY, "user_id")
-        .distinct()
-        .groupBy(*HOURLY)
-        .agg(F.count("user_id").alias("unique_users"))
+    per_id = compact_rows.select(*HOURLY, F.inline(ids)).groupBy(*HOURLY, "of", "id").agg(F.sum("n").alias("n"))
+    is_type = F.col("of") == "type"
+    entries = F.collect_list(F.when(is_type, F.struct("id", "n")))
+    hours = per_id.groupBy(*HOURLY).agg(
+        F.sum("n").alias("total_events"),
+        F.map_from_entries(F.sort_array(entries)).alias("event_types"),
+        F.count_if(~is_type & F.col("id").isNotNull()).alias("unique_users"),
     )
-    return by_type.join(users, HOURLY).select(
+    return hours.select(
         F.lit(processed_at).alias("processing_timestamp"),
         "total_events",
         "event_types",
