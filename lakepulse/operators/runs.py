@@ -3,15 +3,17 @@
 A window partitioned by device sorts all rows of that device in one task, and one device may hold a
 third of the lake. ``ordered_runs`` gives the same answers while splitting such a run along time:
 
-1. Count rows per key (map-side combined). Keys above ``hot_rows`` are hot; at most
-   ``rows / hot_rows`` keys can be, which bounds the broadcast of that list. The number comes from
-   the argument, the setting ``lakepulse.hotRows`` of the session, or the default of two million.
-2. Rows of the other keys go through an ordinary window: one shuffle.
-3. Rows of a hot key are counted per time bucket, and the running count cuts the run into parts of
-   about ``hot_rows`` rows. Each part also receives copies of the few rows before (and after) it
-   that its frames reach into; the copies are dropped again after the window.
-
-Everything is derived from exact counts, so a task that is run again gives the same parts.
+1. Count rows per key (map-side combined). Keys above ``hot_rows`` are hot. The number comes from the
+   argument, the setting ``lakepulse.hotRows`` of the session, or the default of two million.
+2. Count the rows of hot keys per time bucket; the running count cuts each hot run into parts of
+   about ``hot_rows`` rows. There are at most ``rows / hot_rows`` hot keys and twice as many parts,
+   which bounds what is broadcast.
+3. Shuffle once by (key, part) and apply the window there; a key that is not hot is one part. Each
+   part of a hot run also receives copies of the few rows before (and after) it that its frames
+   reach into; the copies are dropped again after the window.
+
+Everything is derived from exact counts, so a task that is run again gives the same parts. Without
+hot keys, adaptive execution finds the broadcasts empty and removes steps 2 and 3's joins.
 """
 
 from __future__ import annotations
@@ -23,7 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 HOT_ROWS = 2_000_000
-BUCKET_MS = 10_000
+BUCKET_MS = 60_000
+
+# A part: number, row span within the run, the run's length, and the buckets that hold the part's
+# last rows (from ``tail`` on) and first rows (up to ``head``).
+SPAN = ["part", "start", "end", "total", "tail", "head"]
 
 Build = Callable[[WindowSpec], dict[str, Column]]
 
@@ -33,49 +39,78 @@ def _order(ms: str, ties: list[str], descending: bool = False) -> list[Column]:
     return [c.desc() for c in columns] if descending else columns
 
 
-def _parts(hot_rows: DataFrame, rows_per_part: int) -> DataFrame:
-    """Per (run, bucket): the part it belongs to and the row span of that part within the run."""
+def _cell() -> Column:
+    """A run's time span in as many equal cells as it has parts."""
+    return F.floor((F.col("_bucket") - F.col("lo")) * F.col("parts") / (F.col("hi") - F.col("lo") + 1))
+
+
+def _cuts(hot_rows: DataFrame, rows_per_part: int, before: int, after: int) -> DataFrame:
+    """Per hot run and non-empty bucket: the part it belongs to, and the run's extent."""
     run = Window.partitionBy("_run")
     ordered = run.orderBy("_bucket")
     counted = hot_rows.groupBy("_run", "_bucket").agg(F.count(F.lit(1)).alias("n"))
     cumulated = counted.select(
-        "_run",
-        "_bucket",
-        "n",
-        F.coalesce(F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("cum"),
-        F.sum("n").over(run).alias("_total"),
-    )
-    cut = cumulated.withColumn("cut", F.floor(F.col("cum") / rows_per_part))
+        "*",
+        (F.sum("n").over(ordered) - F.col("n")).alias("cum"),
+        F.sum("n").over(run).alias("total"),
+        F.min("_bucket").over(run).alias("lo"),
+        F.max("_bucket").over(run).alias("hi"),
+    ).withColumn("cut", F.floor(F.col("cum") / rows_per_part))
     part = Window.partitionBy("_run", "cut")
-    return cut.select(
-        "_run",
-        "_bucket",
-        F.dense_rank().over(run.orderBy("cut")).cast("int").alias("_part"),
-        F.min("cum").over(part).alias("_start"),
-        (F.min("cum").over(part) + F.sum("n").over(part)).alias("_end"),
-        "_total",
+    spans = cumulated.select(
+        "*",
+        F.dense_rank().over(run.orderBy("cut")).cast("int").alias("part"),
+        F.min("cum").over(part).alias("start"),
+        (F.min("cum").over(part) + F.sum("n").over(part)).alias("end"),
     )
+    bucket = F.col("_bucket")
+    return spans.select(
+        "*",
+        F.max("part").over(run).alias("parts"),
+        F.min(F.when(F.col("end") - F.col("cum") - F.col("n") < before, bucket)).over(part).alias("tail"),
+        F.max(F.when(F.col("cum") - F.col("start") < after, bucket)).over(part).alias("head"),
+    )
+
 
+def _placed(rows: DataFrame, cuts: DataFrame, how: str) -> DataFrame:
+    """Add the part of each row as ``_p``: within a cell, the last part that starts no later than the row."""
+    extent = cuts.groupBy("_run").agg(*[F.max(c).alias(c) for c in ("lo", "hi", "parts")])
+    firsts = cuts.groupBy("_run", _cell().alias("_cell"), *SPAN).agg(F.min("_bucket").alias("first"))
+    lookup = firsts.groupBy("_run", "_cell").agg(F.collect_list(F.struct("first", *SPAN)).alias("_spans"))
+    celled = rows.join(F.broadcast(extent), "_run", how).withColumn("_cell", _cell())
+    found = celled.join(F.broadcast(lookup), ["_run", "_cell"], how)
+    reached = F.filter("_spans", lambda p: p["first"] <= F.col("_bucket"))
+    return found.withColumn("_p", F.array_max(reached)).drop("_spans", "_cell", "lo", "hi", "parts")
 
-def _edge(rows: DataFrame, spans: DataFrame, ms: str, ties: list[str], reach: int, forward: bool) -> DataFrame:
-    """Copies of the last (or first) ``reach`` rows of each part, addressed to the parts that see them.
 
-    A filter on ``row_number`` lets Spark keep only ``reach`` rows per part before the shuffle.
+def _copies(
+    placed: DataFrame, cuts: DataFrame, ms: str, ties: list[str], before: int, after: int
+) -> DataFrame:
+    """The last ``before`` and first ``after`` rows of each part, addressed to the parts that see them.
+
+    A small part may pass rows on to several others, so targets are checked by row distance.
     """
-    w = Window.partitionBy("_run", "_part").orderBy(*_order(ms, ties, descending=forward))
-    edge = rows.withColumn("_j", F.row_number().over(w)).where(F.col("_j") <= reach)
-    p = F.col("_part")
-    targets = F.sequence(p + 1, p + reach) if forward else F.sequence(p - reach, p - 1)
-    addressed = edge.withColumn("_to", F.explode(targets))
-    to = spans.select(
-        "_run", F.col("_part").alias("_to"), F.col("_start").alias("_to_start"), F.col("_end").alias("_to_end")
+    b, part = F.col("_bucket"), F.col("_p.part")
+    near = F.coalesce(b >= F.col("_p.tail"), F.lit(False)) | F.coalesce(b <= F.col("_p.head"), F.lit(False))
+    w = Window.partitionBy("_run", part)
+    edge = placed.where(near).select(
+        "*",
+        F.row_number().over(w.orderBy(*_order(ms, ties, descending=True))).alias("_from_end"),
+        F.row_number().over(w.orderBy(*_order(ms, ties))).alias("_from_start"),
     )
-    gap = F.col("_to_start") - F.col("_end") if forward else F.col("_start") - F.col("_to_end")
+    nowhere = F.array().cast("array<int>")
+    onward = F.when(F.col("_from_end") <= before, F.sequence(part + 1, part + before)) if before else None
+    back = F.when(F.col("_from_start") <= after, F.sequence(part - after, part - 1)) if after else None
+    targets = F.concat(*[F.coalesce(t, nowhere) for t in (onward, back) if t is not None])
+    addressed = edge.withColumn("_to", F.explode(targets))
+    to = cuts.select("_run", F.col("part").alias("_to"), *[F.col(c).alias(f"to_{c}") for c in SPAN[1:4]]).distinct()
+    gap_on = F.col("to_start") - F.col("_p.end") + F.col("_from_end")
+    gap_back = F.col("_p.start") - F.col("to_end") + F.col("_from_start")
+    seen = F.when(F.col("_to") > part, gap_on <= before).otherwise(gap_back <= after)
     return (
         addressed.join(to, ["_run", "_to"])
-        .where(gap + F.col("_j") <= reach)
-        .withColumns({"_part": F.col("_to"), "_start": F.col("_to_start"), "_end": F.col("_to_end")})
-        .drop("_j", "_to", "_to_start", "_to_end")
+        .where(seen)
+        .withColumns({"_part": F.col("_to"), "_start": F.col("to_start"), "_total": F.col("to_total")})
     )
 
 
@@ -101,38 +136,32 @@ def ordered_runs(
     columns = df.columns
     if hot_rows is None:
         hot_rows = int(df.sparkSession.conf.get("lakepulse.hotRows", str(HOT_ROWS)))
-    keyed = df.withColumn("_run", F.struct(*keys))
+    # A struct compares NULL fields as equal, so joins on it keep NULL keys.
+    rows = df.withColumns({"_run": F.struct(*keys), "_bucket": F.floor(F.col(ms) / bucket_ms)})
     counted = (df if sizes is None else sizes).groupBy(F.struct(*keys).alias("_run")).agg(F.count(F.lit(1)).alias("n"))
-    hot = F.broadcast(counted.where(F.col("n") > hot_rows).select("_run"))
-
-    w = Window.partitionBy("_run").orderBy(*_order(ms, ties))
-    cold_rows = keyed.join(hot, "_run", "left_anti")
-    cold = cold_rows.select(
-        *columns,
-        *[c.alias(name) for name, c in build(w).items()],
-        F.row_number().over(w).cast("bigint").alias("run_index"),
-        F.count(F.lit(1)).over(Window.partitionBy("_run")).alias("run_length"),
-    )
-
-    hot_keyed = keyed.join(hot, "_run", "left_semi").withColumn("_bucket", F.floor(F.col(ms) / bucket_ms))
-    parts = _parts(hot_keyed, hot_rows)
-    placed = hot_keyed.join(parts, ["_run", "_bucket"]).drop("_bucket")
-    body = placed.withColumn("_copy", F.lit(0))
-    spans = parts.select("_run", "_part", "_start", "_end").distinct()
-    if before:
-        body = body.unionByName(_edge(placed, spans, ms, ties, before, True).withColumn("_copy", F.lit(1)))
-    if after:
-        body = body.unionByName(_edge(placed, spans, ms, ties, after, False).withColumn("_copy", F.lit(1)))
-    w = Window.partitionBy("_run", "_part").orderBy(*_order(ms, ties))
-    own = F.sum(1 - F.col("_copy")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    split = body.select(
+    hot = counted.where(F.col("n") > hot_rows).select("_run")
+    cuts = _cuts(rows.join(F.broadcast(hot), "_run", "left_semi"), hot_rows, before, after)
+
+    placement = {"_part": F.col("_p.part"), "_start": F.col("_p.start"), "_total": F.col("_p.total")}
+    own = [*columns, "_run", "_part", "_start", "_total"]
+    body = _placed(rows, cuts, "left").withColumns(placement).select(*own, F.lit(0).alias("_copy"))
+    if before or after:
+        copies = _copies(_placed(rows, cuts, "inner"), cuts, ms, ties, before, after)
+        body = body.unionByName(copies.select(*own, F.lit(1).alias("_copy")))
+    part = Window.partitionBy("_run", "_part")
+    w = part.orderBy(*_order(ms, ties))
+    mine = 1 - F.col("_copy")
+    windowed = body.select(
         *columns,
         "_copy",
         *[c.alias(name) for name, c in build(w).items()],
-        (F.col("_start") + own).alias("run_index"),
-        F.col("_total").alias("run_length"),
+        (
+            F.coalesce("_start", F.lit(0))
+            + F.sum(mine).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ).alias("run_index"),
+        F.coalesce("_total", F.sum(mine).over(part)).alias("run_length"),
     )
-    return cold.unionByName(split.where(F.col("_copy") == 0).drop("_copy"))
+    return windowed.where(F.col("_copy") == 0).drop("_copy")
 
 
 def latest(df: DataFrame, keys: list[str], ms: str, ties: list[str], n: int) -> DataFrame:
