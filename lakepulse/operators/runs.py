@@ -6,14 +6,14 @@ third of the lake. ``ordered_runs`` gives the same answers while splitting such
 1. Count rows per key (map-side combined). Keys above ``hot_rows`` are hot. The number comes from the
    argument, the setting ``lakepulse.hotRows`` of the session, or the default of two million.
 2. Count the rows of hot keys per time bucket; the running count cuts each hot run into parts of
-   about ``hot_rows`` rows. There are at most ``rows / hot_rows`` hot keys and twice as many parts,
+   about ``hot_rows`` rows. This small table is written once and read by the steps below. There are at most ``rows / hot_rows`` hot keys and twice as many parts,
    which bounds what is broadcast.
 3. Shuffle once by (key, part) and apply the window there; a key that is not hot is one part. Each
    part of a hot run also receives copies of the few rows before (and after) it that its frames
    reach into; the copies are dropped again after the window.
 
-Everything is derived from exact counts, so a task that is run again gives the same parts. Without
-hot keys, adaptive execution finds the broadcasts empty and removes steps 2 and 3's joins.
+Everything is derived from exact counts, so a task that is run again gives the same parts. Step 1 is
+a job of its own, of which the driver learns one bit: without hot keys the plan is a plain window.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lakepulse.session import written
+
 HOT_ROWS = 2_000_000
 BUCKET_MS = 60_000
 
@@ -137,10 +139,20 @@ def ordered_runs(
     if hot_rows is None:
         hot_rows = int(df.sparkSession.conf.get("lakepulse.hotRows", str(HOT_ROWS)))
     # A struct compares NULL fields as equal, so joins on it keep NULL keys.
-    rows = df.withColumns({"_run": F.struct(*keys), "_bucket": F.floor(F.col(ms) / bucket_ms)})
     counted = (df if sizes is None else sizes).groupBy(F.struct(*keys).alias("_run")).agg(F.count(F.lit(1)).alias("n"))
     hot = counted.where(F.col("n") > hot_rows).select("_run")
-    cuts = _cuts(rows.join(F.broadcast(hot), "_run", "left_semi"), hot_rows, before, after)
+    if hot.isEmpty():
+        run = Window.partitionBy(*keys)
+        w = run.orderBy(*_order(ms, ties))
+        return df.select(
+            "*",
+            *[c.alias(name) for name, c in build(w).items()],
+            F.row_number().over(w).cast("bigint").alias("run_index"),
+            F.count(F.lit(1)).over(run).alias("run_length"),
+        )
+
+    rows = df.withColumns({"_run": F.struct(*keys), "_bucket": F.floor(F.col(ms) / bucket_ms)})
+    cuts = written(_cuts(rows.join(F.broadcast(hot), "_run", "left_semi"), hot_rows, before, after), "cuts")
 
     placement = {"_part": F.col("_p.part"), "_start": F.col("_p.start"), "_total": F.col("_p.total")}
     own = [*columns, "_run", "_part", "_start", "_total"]

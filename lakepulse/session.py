@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -33,6 +33,13 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8, app: str = "lake
     return pin(spark)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table in the shared folder: computed once, and safe when executors are lost."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for one written table, in the shared folder the cluster names.
 
