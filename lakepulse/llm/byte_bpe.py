@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakepulse.llm.pretokens import class_table, word_starts
-from lakepulse.llm.spans import concatenated, distinct
+from lakepulse.llm.pretokens import Cache, WordEncoder, class_table, slices
 from lakepulse.llm.text import arrow_schema, documents, hex_digest, raw_texts
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -175,44 +174,16 @@ def _result(con: duckdb.DuckDBPyConnection, query: str, start: pa.Table) -> pa.T
         con.unregister("start")
 
 
-class Cache(dict):
-    """Emptied by ``trim`` when it holds more than its bounds."""
+class Merger:
+    """Encodes words; their ids are the bytes of little-endian 32-bit integers."""
 
-    held = 0
-
-    def keep(self, key, value: bytes) -> None:
-        self[key] = value
-        self.held += len(key) + len(value)
-
-    def trim(self) -> None:
-        if len(self) > CACHE_ENTRIES or self.held > CACHE_BYTES:
-            self.clear()
-            self.held = 0
-
-
-def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Ranges of items with about ``QUERY_BYTES`` together."""
-    i = n = 0
-    for j, size in enumerate(sizes):
-        if n and n + size > QUERY_BYTES:
-            yield i, j
-            i, n = j, 0
-        n += size
-    if i < len(sizes):
-        yield i, len(sizes)
-
-
-class Encoder:
-    """Texts to ids; the ids of a word are the bytes of little-endian 32-bit integers."""
-
-    def __init__(self, vocabulary: Vocabulary, merges: pa.Table, classes: np.ndarray) -> None:
-        self.vocabulary, self.ranks, self.classes = vocabulary, vocabulary.ranks, classes
+    def __init__(self, vocabulary: Vocabulary, merges: pa.Table) -> None:
+        self.vocabulary, self.ranks = vocabulary, vocabulary.ranks
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.con = _database(merges=merges)
-        self.words = Cache()
 
-    def _merge(self, words: list[bytes], query: str) -> None:
-        for i, j in _chunks([len(w) for w in words]):
+    def _merge(self, words: list[bytes], query: str, cache: Cache) -> None:
+        for i, j in slices([len(w) for w in words], QUERY_BYTES):
             part = words[i:j]
             tokens = self.byte_ids[np.frombuffer(b"".join(part), np.uint8)]
             found = _result(self.con, query, _start(np.array([len(w) for w in part]), tokens))
@@ -220,38 +191,23 @@ class Encoder:
             ends = (4 * ids.offsets.to_numpy().astype(np.int64)).tolist()
             flat = ids.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()
             for n, word in enumerate(found["word"].to_pylist()):
-                self.words.keep(part[word], flat[ends[n] : ends[n + 1]])
+                cache.keep(part[word], flat[ends[n] : ends[n + 1]])
 
-    def _learn(self, words: list[bytes]) -> None:
+    def learn(self, words: list[bytes], cache: Cache) -> None:
         rest = []
         for word in words:
-            if word not in self.words:
-                rank = self.ranks.get(word)
-                if rank is None:
-                    rest.append(word)
-                else:
-                    self.words.keep(word, rank.to_bytes(4, "little"))
-        self._merge([w for w in rest if len(w) <= LONG_WORD], _WORDS)
+            rank = self.ranks.get(word)
+            if rank is None:
+                rest.append(word)
+            else:
+                cache.keep(word, rank.to_bytes(4, "little"))
+        self._merge([w for w in rest if len(w) <= LONG_WORD], _WORDS, cache)
         by_reach: dict[int, list[bytes]] = {}
         for word in rest:
             if len(word) > LONG_WORD:
                 by_reach.setdefault(3 * self.vocabulary.longest_in(word), []).append(word)
         for reach, long in by_reach.items():
-            self._merge(long, _LONG.format(reach=reach))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after the other, and how many each text has."""
-        self.words.trim()
-        raw = "".join(texts).encode()
-        starts, first = word_starts(texts, self.classes)
-        items = np.frombuffer(raw, np.uint8)
-        sizes = np.diff(starts, append=len(items))
-        kinds, kind = distinct(items, starts, sizes)
-        words = [raw[s : s + n] for s, n in zip(starts[kinds].tolist(), sizes[kinds].tolist(), strict=True)]
-        self._learn(words)
-        ids, per_word = concatenated([self.words[w] for w in words], kind, 4)
-        before = np.concatenate([[0], np.cumsum(per_word)])
-        return ids, np.diff(before[first])
+            self._merge(long, _LONG.format(reach=reach), cache)
 
 
 class Decoder:
@@ -273,17 +229,6 @@ class Decoder:
         return out
 
 
-def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    i = n = 0
-    for j, size in enumerate(sizes):
-        n += size
-        if n >= SLICE_BYTES:
-            yield i, j + 1
-            i, n = j + 1, 0
-    if i < len(sizes):
-        yield i, len(sizes)
-
-
 class Tokenizer:
     """``encode``, ``decode`` or both over a DataFrame, by the rank file at ``path`` (read on the driver)."""
 
@@ -315,7 +260,7 @@ class Tokenizer:
 
 def _add_columns(shared, source, schema, names, ids, decoded, batches) -> Iterator[pa.RecordBatch]:
     content, merges, tokens, classes = shared.value
-    encoder = Encoder(Vocabulary(content), merges, classes) if ids else None
+    encoder = WordEncoder(classes, Merger(Vocabulary(content), merges).learn, CACHE_ENTRIES, CACHE_BYTES) if ids else None
     decoder = Decoder(tokens) if decoded else None
     wanted = arrow_schema(schema)
     for whole in batches:
@@ -323,7 +268,7 @@ def _add_columns(shared, source, schema, names, ids, decoded, batches) -> Iterat
             given = raw_texts(whole.column(source))
         else:
             given = [np.array(x or [], "<i4") for x in whole.column(source).to_pylist()]
-        for i, j in _slices([len(x) + 1 for x in given]):
+        for i, j in slices([len(x) + 1 for x in given], SLICE_BYTES):
             batch, part = whole.slice(i, j - i), given[i:j]
             columns = [batch.column(c) for c in names]
             if ids:

@@ -11,10 +11,14 @@ runs of letters, numbers, white space and others, and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import public_tokenizers
 import regex
 
+from lakepulse.llm.spans import concatenated, distinct
+
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _OTHER, _LETTER, _NUMBER, _WHITE = range(4)
 
@@ -65,3 +69,51 @@ def word_starts(texts: list[str], classes: np.ndarray) -> tuple[np.ndarray, np.n
     width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
     offset = np.cumsum(width) - width
     return offset[at], first
+
+
+class Cache(dict):
+    """Words and their ids, the bytes of little-endian 32-bit integers; emptied by ``trim`` when over its bounds."""
+
+    def __init__(self, entries: int, size: int) -> None:
+        self.entries, self.size, self.held = entries, size, 0
+
+    def keep(self, word: bytes, ids: bytes) -> None:
+        self[word] = ids
+        self.held += len(word) + len(ids)
+
+    def trim(self) -> None:
+        if len(self) > self.entries or self.held > self.size:
+            self.clear()
+            self.held = 0
+
+
+class WordEncoder:
+    """Texts to ids by way of their distinct words; ``learn(words, cache)`` adds those that the cache hasn't yet."""
+
+    def __init__(self, classes: np.ndarray, learn: Callable[[list[bytes], Cache], None], entries: int, size: int) -> None:
+        self.classes, self.learn, self.words = classes, learn, Cache(entries, size)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each text has."""
+        self.words.trim()
+        raw = "".join(texts).encode()
+        starts, first = word_starts(texts, self.classes)
+        items = np.frombuffer(raw, np.uint8)
+        sizes = np.diff(starts, append=len(items))
+        kinds, kind = distinct(items, starts, sizes)
+        words = [raw[s : s + n] for s, n in zip(starts[kinds].tolist(), sizes[kinds].tolist(), strict=True)]
+        self.learn([w for w in words if w not in self.words], self.words)
+        ids, per_word = concatenated([self.words[w] for w in words], kind, 4)
+        before = np.concatenate([[0], np.cumsum(per_word)])
+        return ids, np.diff(before[first])
+
+
+def slices(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Ranges of items with about ``most`` together, each at least one item."""
+    out, i, n = [], 0, 0
+    for j, size in enumerate(sizes):
+        n += size
+        if n >= most:
+            out.append((i, j + 1))
+            i, n = j + 1, 0
+    return [*out, (i, len(sizes))] if i < len(sizes) else out
