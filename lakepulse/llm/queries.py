@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakepulse.llm.byte_bpe import op5_byte_bpe
 from lakepulse.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from lakepulse.llm.language_id import op2_language_id
+from lakepulse.llm.license_scan import op3_license_scan
 from lakepulse.llm.line_dedup import OP1_SQL, op1_line_dedup
 from lakepulse.llm.mixing import op8_mixing
 from lakepulse.llm.quality_rules import op4_quality_rules
@@ -17,6 +19,8 @@ from lakepulse.llm.url_filter import OP7_SQL, op7_url_filter
 
 _ALL = [
     op1_line_dedup,
+    op2_language_id,
+    op3_license_scan,
     op4_quality_rules,
     op5_byte_bpe,
     op6_token_files,
