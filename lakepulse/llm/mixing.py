@@ -99,7 +99,7 @@ def rake(
         if moved <= tolerance:
             break
     rate = F.when(F.col("tokens") > 0, F.col("__goal") / F.col("tokens")).otherwise(0.0)
-    return now.withColumn("rate", rate).drop("__goal")
+    return now.select(*cells.columns, rate.alias("rate"))
 
 
 def mix(
