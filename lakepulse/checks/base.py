@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakepulse.functions.exprs import HALF
 from lakepulse.session import pin
 from lakepulse.sources.fixture import STEPS
 
@@ -42,7 +41,7 @@ def check(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def rounded(x: str, digits: int = 2) -> str:
     scale = f"{10**digits}.0e0"
-    return f"(floor(({x}) * {scale} + {HALF}e0) / {scale})"
+    return f"(floor(({x}) * {scale} + 0.5e0) / {scale})"
 
 
 def quotient(part: str, whole: str, digits: int | None = 2, scale: int = 1) -> str:
@@ -75,7 +74,6 @@ SOURCE = f"""src AS (
   SELECT event_id AS src_id, user_id, event_type AS kind, value, {MS} AS src_ms, {K} AS k,
     strftime(ts, '%Y%m%d') AS ymd
   FROM events
-  WHERE NOT (user_id % 7 = 3 AND day(ts) > 12) AND NOT (user_id % 7 = 5 AND day(ts) > 22)
 )"""
 
 FLAT = f"""steps(kind, step, event_type, m, r) AS (VALUES {_VALUES}),
@@ -126,6 +124,14 @@ ev AS (
   FROM (SELECT *, CAST(device_id[8:] AS INTEGER) AS u FROM f)
 )"""
 
+# The same events once more, 30 days earlier.
+HISTORY = f"""{MART.replace("ev AS (", "base AS (")},
+ev AS (
+  SELECT * FROM base UNION ALL
+  SELECT * EXCLUDE (t) REPLACE (strftime(t, '%Y') AS year, strftime(t, '%m') AS month, strftime(t, '%d') AS day)
+  FROM (SELECT * REPLACE (ts_ms - 2592000000 AS ts_ms), make_timestamp((ts_ms - 2592000000) * 1000) AS t FROM base)
+)"""
+
 HTTP = f"""http AS (
   SELECT {MS} AS ms, value / 100.0e0 AS latency_s,
     CASE WHEN event_type = 'error' AND {K} % 2 = 0 THEN 1 ELSE 0 END AS is_4xx,
@@ -162,6 +168,10 @@ def with_mart(body: str) -> str:
     return f"WITH {MART}\n{body.strip()}"
 
 
+def with_history(body: str) -> str:
+    return f"WITH {HISTORY}\n{body.strip()}"
+
+
 def with_http(body: str) -> str:
     return f"WITH {HTTP}\n{body.strip()}"
 

@@ -79,7 +79,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     kinds = ("crash", "first_open", "error")
-    return _count(flat(spark, sf, *kinds).where(is_event(*kinds)), "event_type")
+    return _count(flat(spark, sf).where(is_event(*kinds)), "event_type")
 
 
 @check(
@@ -97,7 +97,7 @@ def _(spark, sf):
     with_flat("SELECT screen_name, count(*) AS n FROM f WHERE screen_name IS NOT NULL AND screen_name <> '' GROUP BY 1"),
 )
 def _(spark, sf):
-    return _count(flat(spark, sf, "screen_view").where(P.filled("screen_name")), "screen_name")
+    return _count(flat(spark, sf).where(P.filled("screen_name")), "screen_name")
 
 
 @check(
@@ -105,7 +105,7 @@ def _(spark, sf):
     with_flat("SELECT device_id, count(*) AS n FROM done GROUP BY device_id HAVING count(*) >= 3"),
 )
 def _(spark, sf):
-    return _count(flat(spark, sf, COMPLETED).where(is_event(COMPLETED)), "device_id").where("n >= 3")
+    return _count(flat(spark, sf).where(is_event(COMPLETED)), "device_id").where("n >= 3")
 
 
 @check(
@@ -116,7 +116,7 @@ SELECT focus, count(DISTINCT session_id) AS unique_sessions, avg(danger) AS avg_
   HAVING count(DISTINCT session_id) >= 10 AND avg(danger) >= 5.0 AND count(*) FILTER (WHERE danger >= 9) > 0"""),
 )
 def _(spark, sf):
-    grouped = completions(flat(spark, sf, COMPLETED)).groupBy("focus").agg(
+    grouped = completions(flat(spark, sf)).groupBy("focus").agg(
         count_ids("session_id").alias("unique_sessions"),
         F.avg("danger_level").alias("avg_danger"),
         tally(F.col("danger_level") >= 9).alias("extreme"),
@@ -167,7 +167,7 @@ NEXT = "device_id, event_id, ms, next_danger, next_prob AS next_probability, nex
 
 
 def _next(spark, sf):
-    pairs = responses.next_session(flat(spark, sf, COMPLETED))
+    pairs = responses.next_session(flat(spark, sf))
     return pairs.select("device_id", "event_id", "ms", "next_danger", "next_probability", "danger_change")
 
 
@@ -243,7 +243,7 @@ SELECT session_id, device_id, final_response, danger_assessment, probability_ass
 )
 def _(spark, sf):
     values = ["final_response", "danger_assessment", "probability_assessment"]
-    return sessions.flow_sessions(flat(spark, sf, *sessions.FLOW_STEPS.values()), AS_OF).select(
+    return sessions.flow_sessions(flat(spark, sf), AS_OF).select(
         "session_id", "device_id", *values
     )
 
@@ -256,7 +256,7 @@ SELECT device_id, {big('sum(foci)')} AS focus_steps, {_n('danger_step')} AS dang
   FROM s GROUP BY device_id"""),
 )
 def _(spark, sf):
-    rows = sessions.flow_sessions(flat(spark, sf, *sessions.FLOW_STEPS.values()), AS_OF)
+    rows = sessions.flow_sessions(flat(spark, sf), AS_OF)
     both = F.when((F.col("danger") == 1) & (F.col("probability") == 1), 1).otherwise(0)
     return rows.groupBy("device_id").agg(
         F.sum(F.col("new_focus") + F.col("specific_focus")).alias("focus_steps"),
@@ -273,7 +273,7 @@ SELECT focus, avg(danger) AS avg_danger, avg(CASE WHEN response = 'Reduce' THEN
   FROM done GROUP BY focus"""),
 )
 def _(spark, sf):
-    rows = flat(spark, sf, COMPLETED).where(is_event(COMPLETED))
+    rows = flat(spark, sf).where(is_event(COMPLETED))
     danger, prob = number("danger_level"), number("probability_level")
     return rows.groupBy("focus").agg(
         F.avg(danger).alias("avg_danger"),
@@ -307,7 +307,7 @@ SELECT device_id, focus AS usual_focus FROM f WHERE focus IS NOT NULL GROUP BY d
   QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY count(*) DESC, focus) = 1"""),
 )
 def _(spark, sf):
-    counted = _count(flat(spark, sf, COMPLETED, "new_focus_selected").where(F.col("focus").isNotNull()), "device_id", "focus")
+    counted = _count(flat(spark, sf).where(F.col("focus").isNotNull()), "device_id", "focus")
     return counted.groupBy("device_id").agg(most_common(F.col("focus"), F.col("n")).alias("usual_focus"))
 
 
@@ -319,7 +319,7 @@ SELECT year, month, day, string_agg(event_name || '=' || usage_count || '/' || u
   FROM ranked WHERE feature_rank <= 10 GROUP BY ALL"""),
 )
 def _(spark, sf):
-    top = mart.daily_top_features(mart_events(flat(spark, sf, "feature_usage")), AS_OF)
+    top = mart.daily_top_features(mart_events(flat(spark, sf)), AS_OF)
     text = F.transform(
         "top_features",
         lambda f: F.concat(
@@ -398,14 +398,14 @@ SELECT danger_assessment, probability_assessment, final_response, response_count
   FROM shares"""),
 )
 def _(spark, sf):
-    rows = sessions.response_patterns(sessions.flow_sessions(flat(spark, sf, *sessions.FLOW_STEPS.values()), AS_OF))
+    rows = sessions.response_patterns(sessions.flow_sessions(flat(spark, sf), AS_OF))
     return rows.withColumn("response_percentage", round_half_up("response_percentage", 2))
 
 
 def _signal(name, column):
     @check(name, with_flat(f"{SIGNALS} SELECT device_id, event_id, {column} FROM sig"))
     def _(spark, sf):
-        return risk.risk_signals(flat(spark, sf, COMPLETED), AS_OF).select("device_id", "event_id", column)
+        return risk.risk_signals(flat(spark, sf), AS_OF).select("device_id", "event_id", column)
 
 
 _signal("win_recency_rank", "recency_rank")
@@ -436,12 +436,12 @@ def _(spark, sf):
 
 @check("win_session_number", with_flat(f"{PAIRS} SELECT device_id, event_id, number AS user_session_number FROM pairs"))
 def _(spark, sf):
-    return responses.next_session(flat(spark, sf, COMPLETED)).select("device_id", "event_id", "user_session_number")
+    return responses.next_session(flat(spark, sf)).select("device_id", "event_id", "user_session_number")
 
 
 @check("win_trend_5", with_flat(f"{TREND} SELECT device_id, response, event_id, recent_effectiveness_trend FROM trend"))
 def _(spark, sf):
-    trend = responses.response_trend(flat(spark, sf, COMPLETED))
+    trend = responses.response_trend(flat(spark, sf), AS_OF)
     return trend.select("device_id", "response", "event_id", "recent_effectiveness_trend")
 
 
@@ -480,7 +480,7 @@ def _(spark, sf):
 SELECT year, month, day, event_name, usage_count, unique_users, feature_rank FROM ranked WHERE feature_rank <= 3"""),
 )
 def _(spark, sf):
-    return mart.top_feature_rows(mart_events(flat(spark, sf, "feature_usage")), AS_OF, n=3)
+    return mart.top_feature_rows(mart_events(flat(spark, sf)), AS_OF, n=3)
 
 
 @check(
@@ -494,7 +494,7 @@ def _(spark, sf):
     whole = rows.agg(
         F.lit("all").alias("part"), F.count(F.lit(1)).alias("n"), count_ids("device_id").alias("devices")
     )
-    parts = completions(flat(spark, sf, COMPLETED)).groupBy(F.col("response").alias("part")).agg(
+    parts = completions(flat(spark, sf)).groupBy(F.col("response").alias("part")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("danger_level").alias("avg_danger")
     )
     return whole.unionByName(parts, allowMissingColumns=True)
@@ -508,7 +508,7 @@ UNION ALL SELECT 'First Session Completed', c FROM n"""),
 )
 def _(spark, sf):
     kinds = ("app_install", "new_anxiety_created", COMPLETED)
-    return sessions.user_journey_funnel(flat(spark, sf, *kinds), AS_OF).select("stage", "users")
+    return sessions.user_journey_funnel(flat(spark, sf), AS_OF).select("stage", "users")
 
 
 @check(
@@ -517,7 +517,7 @@ def _(spark, sf):
               "WHERE unique_anxiety_sessions > 0"),
 )
 def _(spark, sf):
-    rows = focus.session_timing(flat(spark, sf, COMPLETED, "screen_view", "new_focus_selected"), AS_OF)
+    rows = focus.session_timing(flat(spark, sf), AS_OF)
     return rows.select("analysis_type", "time_dimension", "time_category", "total_events")
 
 

@@ -52,12 +52,8 @@ def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
-def _raw(spark: SparkSession, sf_dir: str, event_types: tuple[str, ...] | None) -> DataFrame:
-    rows = events(spark, sf_dir)
-    if event_types is not None:
-        rows = rows.where(F.col("event_type").isin(sorted({s[0] for s in STEPS if s[2] in event_types})))
-    stopped = "(user_id % 7 = 3 AND dayofmonth(ts) > 12) OR (user_id % 7 = 5 AND dayofmonth(ts) > 22)"
-    return rows.where(f"NOT ({stopped})").selectExpr(
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).selectExpr(
         "event_id AS src_id",
         "user_id",
         "event_type AS src",
@@ -68,14 +64,14 @@ def _raw(spark: SparkSession, sf_dir: str, event_types: tuple[str, ...] | None)
     )
 
 
-def _steps_of(event_types: tuple[str, ...] | None) -> str:
+def _steps_of() -> str:
     """The literal list of steps for a source type; constant folded, so it costs nothing per row."""
     arms = []
     for name in dict.fromkeys(s[0] for s in STEPS):
         items = [
             f"named_struct('step', {n}, 'type', '{kind}', 'm', {m}, 'r', {r})"
             for src, n, kind, m, r in STEPS
-            if src == name and (event_types is None or kind in event_types)
+            if src == name
         ]
         if items:
             arms.append(f"WHEN '{name}' THEN array({', '.join(items)})")
@@ -129,10 +125,9 @@ def _owner(*names: str) -> list[str]:
     return [f"{OWNER[n]} AS {n}" for n in names]
 
 
-def flat(spark: SparkSession, sf_dir: str, *event_types: str) -> DataFrame:
-    """One row per event. Naming event types reads only the source rows that can yield them."""
-    wanted = event_types or None
-    rows = _raw(spark, sf_dir, wanted).selectExpr("*", f"explode({_steps_of(wanted)}) AS s").where("k % s.m >= s.r")
+def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per event."""
+    rows = _raw(spark, sf_dir).selectExpr("*", f"explode({_steps_of()}) AS s").where("k % s.m >= s.r")
     fields = _fields()
     texts = ("screen_name", "danger_level", "probability_level", "response", "focus", "specific_focus")
     return rows.selectExpr(
@@ -154,12 +149,12 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         'danger_probability', named_struct('danger_level', {f['danger_level']},
             'probability_level', {f['probability_level']}),
         'response', {f['response']}, 'focus', {f['focus']}, 'specific_focus', {f['specific_focus']})"""
-    return _raw(spark, sf_dir, None).selectExpr(
+    return _raw(spark, sf_dir).selectExpr(
         "concat('batch_', CAST(src_id AS STRING)) AS batch_id",
         "ms AS batch_timestamp",
         f"""named_struct('user_id', CAST(user_id AS STRING), 'device_id', {OWNER['device_id']},
             'session_id', {OWNER['session_id']}) AS batch_metadata""",
-        f"transform(filter({_steps_of(None)}, s -> k % s.m >= s.r), s -> {event}) AS events",
+        f"transform(filter({_steps_of()}, s -> k % s.m >= s.r), s -> {event}) AS events",
         *_owner("year", "month", "day"),
         HOUR,
     )
@@ -186,6 +181,14 @@ def mart_events(flat_rows: DataFrame) -> DataFrame:
     )
 
 
+def mart_history(rows: DataFrame, days: int = 30) -> DataFrame:
+    """The same product events once more, so many days earlier."""
+    shifted = rows.withColumn("ts_ms", F.col("ts_ms") - days * 86_400_000)
+    day = F.timestamp_millis("ts_ms")
+    parts = {c: F.date_format(day, f) for c, f in (("year", "yyyy"), ("month", "MM"), ("day", "dd"))}
+    return rows.unionByName(shifted.withColumns(parts))
+
+
 def http_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.col("event_type") == "error"
     return events(spark, sf_dir).select(
@@ -266,7 +269,7 @@ def text_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Behaviour rows with every nested part; some keys are left out on purpose."""
-    return _raw(spark, sf_dir, None).selectExpr(
+    return _raw(spark, sf_dir).selectExpr(
         "concat('bhv_', CAST(src_id AS STRING)) AS behavior_id",
         "CAST(user_id AS STRING) AS user_id",
         *_owner("session_id", "device_id"),
@@ -289,7 +292,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feedback rows with 0, 1 or 2 attachments."""
     item = "named_struct('type', '{0}', 'filename', concat('shot_', CAST(src_id AS STRING)), 'size', CAST(k * {1} AS BIGINT))"
     one, two = item.format("image", 10), item.format("log", 20)
-    return _raw(spark, sf_dir, None).selectExpr(
+    return _raw(spark, sf_dir).selectExpr(
         "concat('fb_', CAST(src_id AS STRING)) AS feedback_id",
         *_owner("device_id"),
         "ms AS timestamp",
@@ -307,7 +310,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases with their optional parts."""
-    return _raw(spark, sf_dir, ("new_focus_selected",)).selectExpr(
+    return _raw(spark, sf_dir).where("src = 'purchase'").selectExpr(
         "concat('txn_', CAST(src_id AS STRING)) AS transaction_id",
         *_owner("device_id"),
         "ms AS timestamp",
