@@ -1,23 +1,25 @@
 """Window frames over long per-key runs, without putting a whole run into one task.
 
 A window partitioned by device sorts all rows of that device in one task, and one device may hold a
-third of the lake. ``ordered_runs`` gives the same answers while splitting such a run along time:
-
-1. Count rows per key (map-side combined). Keys above ``hot_rows`` are hot. The number comes from the
-   argument, the setting ``lakepulse.hotRows`` of the session, or the default of two million.
-2. Count the rows of hot keys per time bucket; the running count cuts each hot run into parts of
-   about ``hot_rows`` rows. This small table is written once and read by the steps below. There are at most ``rows / hot_rows`` hot keys and twice as many parts,
-   which bounds what is broadcast.
-3. Shuffle once by (key, part) and apply the window there; a key that is not hot is one part. Each
-   part of a hot run also receives copies of the few rows before (and after) it that its frames
-   reach into; the copies are dropped again after the window.
-
-Everything is derived from exact counts, so a task that is run again gives the same parts. Step 1 is
-a job of its own, of which the driver learns one bit: without hot keys the plan is a plain window.
+third of the lake. ``ordered_runs`` gives the same answers whatever the length of a run:
+
+1. Rows are counted per key (map-side combined); this reads the keys alone. If the longest run has at
+   most ``hot_rows`` rows, the plan is a plain window. The number comes from the argument, the setting
+   ``lakepulse.hotRows`` of the session, or the default of two million.
+2. Otherwise the rows are written once, dealt by ranges of (key, time, ties) into parts of about
+   ``hot_rows`` rows. Ranges cut a run wherever it is long, inside one millisecond if need be.
+3. Runs that lie in several parts are found from counts per key and part; a border between parts cuts
+   one run at most, so there are fewer than two such pieces for each part. A piece knows how many rows
+   of its run come before it.
+4. The window is applied by (key, part). Each piece of a cut run also receives copies of the few rows
+   before (and after) it that its frames reach into; the copies are dropped again after the window.
+
+Rows without a time come first, as in a plain window; NULL keys form one run.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, WindowSpec
@@ -27,11 +29,8 @@ from pyspark.sql.window import Window
 from lakepulse.session import written
 
 HOT_ROWS = 2_000_000
-BUCKET_MS = 60_000
-
-# A part: number, row span within the run, the run's length, and the buckets that hold the part's
-# last rows (from ``tail`` on) and first rows (up to ``head``).
-SPAN = ["part", "start", "end", "total", "tail", "head"]
+#: Pieces of cut runs that may be broadcast; a piece is a key and four numbers.
+BROADCAST_PIECES = 100_000
 
 Build = Callable[[WindowSpec], dict[str, Column]]
 
@@ -41,79 +40,40 @@ def _order(ms: str, ties: list[str], descending: bool = False) -> list[Column]:
     return [c.desc() for c in columns] if descending else columns
 
 
-def _cell() -> Column:
-    """A run's time span in as many equal cells as it has parts."""
-    return F.floor((F.col("_bucket") - F.col("lo")) * F.col("parts") / (F.col("hi") - F.col("lo") + 1))
-
-
-def _cuts(hot_rows: DataFrame, rows_per_part: int, before: int, after: int) -> DataFrame:
-    """Per hot run and non-empty bucket: the part it belongs to, and the run's extent."""
+def _pieces(dealt: DataFrame) -> DataFrame:
+    """Runs that lie in several parts: place among the run's parts, rows before, own rows, rows in all."""
     run = Window.partitionBy("_run")
-    ordered = run.orderBy("_bucket")
-    counted = hot_rows.groupBy("_run", "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    cumulated = counted.select(
-        "*",
-        (F.sum("n").over(ordered) - F.col("n")).alias("cum"),
-        F.sum("n").over(run).alias("total"),
-        F.min("_bucket").over(run).alias("lo"),
-        F.max("_bucket").over(run).alias("hi"),
-    ).withColumn("cut", F.floor(F.col("cum") / rows_per_part))
-    part = Window.partitionBy("_run", "cut")
-    spans = cumulated.select(
+    ordered = run.orderBy("_part")
+    counted = dealt.groupBy("_run", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.select(
         "*",
-        F.dense_rank().over(run.orderBy("cut")).cast("int").alias("part"),
-        F.min("cum").over(part).alias("start"),
-        (F.min("cum").over(part) + F.sum("n").over(part)).alias("end"),
-    )
-    bucket = F.col("_bucket")
-    return spans.select(
-        "*",
-        F.max("part").over(run).alias("parts"),
-        F.min(F.when(F.col("end") - F.col("cum") - F.col("n") < before, bucket)).over(part).alias("tail"),
-        F.max(F.when(F.col("cum") - F.col("start") < after, bucket)).over(part).alias("head"),
-    )
+        F.row_number().over(ordered).alias("_place"),
+        (F.sum("_n").over(ordered) - F.col("_n")).alias("_start"),
+        F.sum("_n").over(run).alias("_total"),
+        F.count(F.lit(1)).over(run).alias("_parts"),
+    ).where("_parts > 1")
 
 
-def _placed(rows: DataFrame, cuts: DataFrame, how: str) -> DataFrame:
-    """Add the part of each row as ``_p``: within a cell, the last part that starts no later than the row."""
-    extent = cuts.groupBy("_run").agg(*[F.max(c).alias(c) for c in ("lo", "hi", "parts")])
-    firsts = cuts.groupBy("_run", _cell().alias("_cell"), *SPAN).agg(F.min("_bucket").alias("first"))
-    lookup = firsts.groupBy("_run", "_cell").agg(F.collect_list(F.struct("first", *SPAN)).alias("_spans"))
-    celled = rows.join(F.broadcast(extent), "_run", how).withColumn("_cell", _cell())
-    found = celled.join(F.broadcast(lookup), ["_run", "_cell"], how)
-    reached = F.filter("_spans", lambda p: p["first"] <= F.col("_bucket"))
-    return found.withColumn("_p", F.array_max(reached)).drop("_spans", "_cell", "lo", "hi", "parts")
+def _copies(pieces_rows: DataFrame, pieces: DataFrame, ms: str, ties: list[str], before: int, after: int) -> DataFrame:
+    """The last ``before`` and first ``after`` rows of each piece, for the pieces whose frames reach them.
 
-
-def _copies(
-    placed: DataFrame, cuts: DataFrame, ms: str, ties: list[str], before: int, after: int
-) -> DataFrame:
-    """The last ``before`` and first ``after`` rows of each part, addressed to the parts that see them.
-
-    A small part may pass rows on to several others, so targets are checked by row distance.
+    A piece has a row at least, so frames reach no further than that many pieces; the distance in rows decides.
     """
-    b, part = F.col("_bucket"), F.col("_p.part")
-    near = F.coalesce(b >= F.col("_p.tail"), F.lit(False)) | F.coalesce(b <= F.col("_p.head"), F.lit(False))
-    w = Window.partitionBy("_run", part)
-    edge = placed.where(near).select(
-        "*",
-        F.row_number().over(w.orderBy(*_order(ms, ties, descending=True))).alias("_from_end"),
-        F.row_number().over(w.orderBy(*_order(ms, ties))).alias("_from_start"),
-    )
-    nowhere = F.array().cast("array<int>")
-    onward = F.when(F.col("_from_end") <= before, F.sequence(part + 1, part + before)) if before else None
-    back = F.when(F.col("_from_start") <= after, F.sequence(part - after, part - 1)) if after else None
-    targets = F.concat(*[F.coalesce(t, nowhere) for t in (onward, back) if t is not None])
-    addressed = edge.withColumn("_to", F.explode(targets))
-    to = cuts.select("_run", F.col("part").alias("_to"), *[F.col(c).alias(f"to_{c}") for c in SPAN[1:4]]).distinct()
-    gap_on = F.col("to_start") - F.col("_p.end") + F.col("_from_end")
-    gap_back = F.col("_p.start") - F.col("to_end") + F.col("_from_start")
-    seen = F.when(F.col("_to") > part, gap_on <= before).otherwise(gap_back <= after)
-    return (
-        addressed.join(to, ["_run", "_to"])
-        .where(seen)
-        .withColumns({"_part": F.col("_to"), "_start": F.col("to_start"), "_total": F.col("to_total")})
-    )
+    piece = Window.partitionBy("_run", "_part")
+    to = pieces.select("_run", F.col("_place").alias("_to"), *[F.col(c).alias(f"_to{c}") for c in ("_part", "_start", "_n")])
+    found = []
+    for reach, descending, sign in ((before, True, 1), (after, False, -1)):
+        if not reach:
+            continue
+        edge = F.row_number().over(piece.orderBy(*_order(ms, ties, descending)))
+        near = pieces_rows.withColumn("_edge", edge).where(F.col("_edge") <= reach)
+        places = F.sequence(F.col("_place") + sign, F.col("_place") + sign * reach, F.lit(sign))
+        sent = near.withColumn("_to", F.explode(places)).join(to, ["_run", "_to"])
+        ahead = F.col("_to_start") - F.col("_start") - F.col("_n")
+        behind = F.col("_start") - F.col("_to_start") - F.col("_to_n")
+        found.append(sent.where((ahead if descending else behind) + F.col("_edge") <= reach))
+    both = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    return both.withColumns({"_part": F.col("_to_part"), "_start": F.col("_to_start")})
 
 
 def ordered_runs(
@@ -125,23 +85,22 @@ def ordered_runs(
     before: int = 0,
     after: int = 0,
     hot_rows: int | None = None,
-    bucket_ms: int = BUCKET_MS,
     sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add window columns over ``keys`` ordered by ``ms, ties``.
 
     ``build`` receives the ordered window and returns expressions whose frames reach at most
     ``before`` rows back and ``after`` rows ahead. ``run_index`` (position from 1) and ``run_length``
-    (rows in the run) are added as well. NULL keys form one run, as in a plain window. ``sizes`` may
-    name a cheaper DataFrame with the same keys, row for row, to count the runs from.
+    (rows in the run) are added as well. ``sizes`` may name a cheaper DataFrame with the same keys,
+    row for row, to count the runs from.
     """
     columns = df.columns
     if hot_rows is None:
         hot_rows = int(df.sparkSession.conf.get("lakepulse.hotRows", str(HOT_ROWS)))
-    # A struct compares NULL fields as equal, so joins on it keep NULL keys.
+    # A struct compares NULL fields as equal, so grouping and joins on it keep NULL keys.
     counted = (df if sizes is None else sizes).groupBy(F.struct(*keys).alias("_run")).agg(F.count(F.lit(1)).alias("n"))
-    hot = counted.where(F.col("n") > hot_rows).select("_run")
-    if hot.isEmpty():
+    found = counted.agg(F.max("n").alias("longest"), F.sum("n").alias("rows")).first()
+    if (found["longest"] or 0) <= hot_rows:
         run = Window.partitionBy(*keys)
         w = run.orderBy(*_order(ms, ties))
         return df.select(
@@ -151,29 +110,35 @@ def ordered_runs(
             F.count(F.lit(1)).over(run).alias("run_length"),
         )
 
-    rows = df.withColumns({"_run": F.struct(*keys), "_bucket": F.floor(F.col(ms) / bucket_ms)})
-    cuts = written(_cuts(rows.join(F.broadcast(hot), "_run", "left_semi"), hot_rows, before, after), "cuts")
-
-    placement = {"_part": F.col("_p.part"), "_start": F.col("_p.start"), "_total": F.col("_p.total")}
-    own = [*columns, "_run", "_part", "_start", "_total"]
-    body = _placed(rows, cuts, "left").withColumns(placement).select(*own, F.lit(0).alias("_copy"))
+    rows = written(df.withColumn("_run", F.struct(*keys)), "runs")
+    parts = math.ceil(found["rows"] / hot_rows)
+    ranged = rows.repartitionByRange(parts, "_run", ms, *ties).withColumn("_part", F.spark_partition_id())
+    dealt = written(ranged, "run-parts")
+    pieces = written(_pieces(dealt), "run-pieces")
+    small = F.broadcast(pieces) if 2 * parts <= BROADCAST_PIECES else pieces
+    own = [*columns, "_run", "_part", "_start"]
+    body = dealt.join(small.select("_run", "_part", "_start"), ["_run", "_part"], "left")
+    body = body.select(*own, F.lit(0).alias("_copy"))
     if before or after:
-        copies = _copies(_placed(rows, cuts, "inner"), cuts, ms, ties, before, after)
+        copies = _copies(dealt.join(small, ["_run", "_part"]), small, ms, ties, before, after)
         body = body.unionByName(copies.select(*own, F.lit(1).alias("_copy")))
     part = Window.partitionBy("_run", "_part")
     w = part.orderBy(*_order(ms, ties))
     mine = 1 - F.col("_copy")
     windowed = body.select(
         *columns,
+        "_run",
+        "_part",
         "_copy",
         *[c.alias(name) for name, c in build(w).items()],
         (
             F.coalesce("_start", F.lit(0))
             + F.sum(mine).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         ).alias("run_index"),
-        F.coalesce("_total", F.sum(mine).over(part)).alias("run_length"),
+        F.sum(mine).over(part).alias("_length"),
     )
-    return windowed.where(F.col("_copy") == 0).drop("_copy")
+    whole = windowed.where(F.col("_copy") == 0).join(small.select("_run", "_part", "_total"), ["_run", "_part"], "left")
+    return whole.withColumn("run_length", F.coalesce("_total", "_length")).drop("_run", "_part", "_copy", "_length", "_total")
 
 
 def latest(df: DataFrame, keys: list[str], ms: str, ties: list[str], n: int) -> DataFrame:

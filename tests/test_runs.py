@@ -9,13 +9,14 @@ from pyspark.sql.window import Window
 from lakepulse.operators.runs import latest, ordered_runs
 
 
-def skewed(spark, burst=False):
+def skewed(spark, burst="no", n=300):
+    """Hot and NULL keys, times that are NULL, and bursts of rows at one time."""
     rng = random.Random(7)
     rows = []
-    for i in range(900):
-        key = "hot" if i % 3 == 0 else (None if i % 3 == 1 and i % 2 else f"k{rng.randrange(60)}")
-        ms = rng.randrange(40) if burst and i % 2 else rng.randrange(5_000)
-        rows.append((key, ms, i, rng.randrange(10)))
+    for i in range(n):
+        key = "hot" if i % 3 == 0 else (None if i % 3 == 1 and i % 2 else f"k{rng.randrange(30)}")
+        ms = {"no": rng.randrange(5_000), "some": rng.randrange(5_000) if i % 2 else rng.randrange(4), "all": 60_000}[burst]
+        rows.append((key, None if i % 11 == 0 else ms, i, rng.randrange(10)))
     return spark.createDataFrame(rows, "k string, ms bigint, id int, v int")
 
 
@@ -29,11 +30,11 @@ def frames(w):
     }
 
 
-@pytest.mark.parametrize("burst", [False, True])
+@pytest.mark.parametrize("burst", ["no", "some", "all"])
 @pytest.mark.parametrize("hot_rows", [3, 20, 100, 10_000])
 def test_split_equals_plain_window(spark, burst, hot_rows):
     df = skewed(spark, burst)
-    got = ordered_runs(df, ["k"], "ms", ["id"], frames, before=6, after=2, hot_rows=hot_rows, bucket_ms=5)
+    got = ordered_runs(df, ["k"], "ms", ["id"], frames, before=6, after=2, hot_rows=hot_rows)
     w = Window.partitionBy("k").orderBy("ms", "id")
     want = df.select(
         "*",
@@ -53,3 +54,18 @@ def test_latest_limits_before_the_shuffle(spark):
     w = Window.partitionBy("k").orderBy(F.desc("ms"), F.desc("id"))
     want = df.withColumn("recency", F.row_number().over(w)).where("recency <= 5")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_burst_of_one_key_is_cut(spark, monkeypatch):
+    """Rows at one time are cut by their ties, and no part is much larger than it should be."""
+    from lakepulse.operators import runs
+
+    tables = {}
+    plain = runs.written
+    monkeypatch.setattr(runs, "written", lambda df, name: tables.setdefault(name, plain(df, name)))
+    df = spark.range(5000).selectExpr("'bot' AS k", "60000 AS ms", "id", "1 AS v")
+    got = ordered_runs(df, ["k"], "ms", ["id"], lambda w: {}, hot_rows=500)
+    assert got.agg(F.max("run_index"), F.count_distinct("run_index"), F.min("run_length")).first()[:] == (5000, 5000, 5000)
+    sizes = [r["count"] for r in tables["run-parts"].groupBy("_part").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 1500
+    assert tables["run-pieces"].count() <= 2 * 10
