@@ -36,10 +36,20 @@ def _to_files(spark, name, stream, keys=None):
     return path
 
 
-@check("stream_content_dedup", with_messages("SELECT DISTINCT queue, group_id, dedup_id, body FROM messages"))
+@check(
+    "stream_content_dedup",
+    with_messages("""
+, keyed AS (
+  SELECT *, coalesce(dedup_id, CASE WHEN queue = 'analytics' THEN sha256(body) END, message_id) AS key FROM messages
+), spaced AS (
+  SELECT *, sent_ms - lag(sent_ms) OVER (PARTITION BY queue, key ORDER BY sent_ms, message_id) AS gap FROM keyed
+) SELECT message_id, queue, group_id, dedup_id, body, sent_ms FROM spaced WHERE gap IS NULL OR gap >= 300000"""),
+)
 def _(spark, sf):
-    path = _to_files(spark, "dedup", queues.drop_copies(_stream(spark, sf)))
-    return spark.read.schema(MESSAGE_SCHEMA).parquet(path).select("queue", "group_id", "dedup_id", "body")
+    path = scratch(spark, "dedup")
+    queues.run_batches(_stream(spark, sf), scratch(spark, "dedup-checkpoint"), queues.write_once(path))
+    back = spark.read.schema(f"{MESSAGE_SCHEMA}, epoch bigint").parquet(f"{path}/messages")
+    return back.select("message_id", "queue", "group_id", "dedup_id", "body", "sent_ms")
 
 
 @check(

@@ -6,14 +6,14 @@ Delivery is at least once, so every sink is idempotent: file sinks commit per mi
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakepulse.functions.exprs import DAY_MS, ms_date, ms_timestamp
+from lakepulse.functions.exprs import DAY_MS, HOUR_MS, ms_date
 from lakepulse.operators.runs import ordered_runs
+from lakepulse.session import written
 from lakepulse.sources import schemas
 
 # Queue settings.
@@ -21,6 +21,10 @@ MAX_BYTES = 262_144
 MAX_RECEIVES = 3
 RETENTION_DAYS = {"feedback": 14, "emails": 14, "analytics": 7, "testflight": 14}
 DEFAULT_RETENTION_DAYS = 4
+CONTENT_QUEUES = ("analytics",)
+DEDUP_MS = 300_000
+
+_SEEN = "queue string, key string, at bigint, epoch bigint, hour bigint"
 
 
 def read_messages(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -50,28 +54,58 @@ def run_to_files(
     writer.trigger(availableNow=True).start(path).awaitTermination()
 
 
-def dedup_key() -> Column:
-    """The sender's id, or the content when there is none."""
-    return F.coalesce("dedup_id", F.sha2("body", 256))
+def dedup_key(content_queues: Collection[str] = CONTENT_QUEUES) -> Column:
+    """The sender's id; without one the content, on queues that compare it, or else the message's own id."""
+    content = F.when(F.col("queue").isin(*content_queues), F.sha2("body", 256))
+    return F.coalesce("dedup_id", content, "message_id")
 
 
-def _collapse_copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        yield rows.drop_duplicates(["queue", "key"])
+def write_once(
+    path: str, interval_ms: int = DEDUP_MS, content_queues: Collection[str] = CONTENT_QUEUES
+) -> Callable[[DataFrame, int], None]:
+    """Epoch sink that stores one message per (queue, key) and interval, below ``path/messages``.
 
+    A message is a copy if a stored one with its key was sent less than ``interval_ms`` before it; a late message also
+    if a stored one was sent less than that after it. Messages of a batch are judged in the order they were sent, so
+    messages that arrive in order give the same result however they are batched. Copies sent at one time are combined on
+    the map side; a key's distinct times within a batch meet in one row, so bound the batches (``files_per_batch``).
+    What was stored is remembered below ``path/seen`` by the hour sent, and a batch reads only hours near its own.
+    """
 
-def drop_copies(messages: DataFrame, delay: str = "5 minutes", collapse: bool = True) -> DataFrame:
-    """One message per (queue, key) within ``delay``.
+    def each(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        names = batch.columns
+        keyed = batch.withColumn("key", dedup_key(content_queues))
+        first = F.min_by(F.struct(*names), "message_id").alias("message")
+        at_once = written(keyed.groupBy("queue", "key", F.col("sent_ms").alias("at")).agg(first), "copies")
+        span = at_once.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
+        times = at_once.groupBy("queue", "key").agg(F.sort_array(F.collect_list("at")).alias("times"))
+        if epoch and span["low"] is not None:
+            low, high = ((span["low"] - interval_ms) // HOUR_MS, (span["high"] + interval_ms) // HOUR_MS)
+            before = spark.read.schema(_SEEN).option("basePath", f"{path}/seen").parquet(f"{path}/seen")
+            before = before.where((F.col("epoch") < epoch) & F.col("hour").between(low, high))
+            before = before.groupBy("queue", "key").agg(F.collect_list("at").alias("stored"))
+            times = times.join(before, ["queue", "key"], "left")
+        else:
+            times = times.withColumn("stored", F.lit(None).cast("array<bigint>"))
+        start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("taken"))
+
+        def judge(state: Column, at: Column) -> Column:
+            copy = F.coalesce(at - state["last"] < interval_ms, F.lit(False)) | F.coalesce(
+                F.exists("stored", lambda s: F.abs(s - at) < interval_ms), F.lit(False)
+            )
+            taken = F.struct(at.alias("last"), F.concat(state["taken"], F.array(at)).alias("taken"))
+            return F.when(copy, state).otherwise(taken)
+
+        kept = times.select("queue", "key", F.explode(F.aggregate("times", start, judge)["taken"]).alias("at"))
+        stored = at_once.join(kept, ["queue", "key", "at"])
+        # A message without a time is no copy of any.
+        untimed = at_once.where("at IS NULL")
+        stored.unionByName(untimed).select("message.*").write.mode("overwrite").parquet(f"{path}/messages/epoch={epoch}")
+        seen = kept.withColumn("hour", F.floor(F.col("at") / HOUR_MS))
+        seen.write.mode("overwrite").partitionBy("hour").parquet(f"{path}/seen/epoch={epoch}")
 
-    State is bounded by the watermark, so choose ``delay`` no shorter than messages may arrive late:
-    a row older than the watermark is left out here (``worker_results`` lands every row). Streaming deduplication has no map-side step, so copies are
-    first collapsed inside each Arrow batch; otherwise a message that makes up a third of the input
-    would send all its copies to one task.
-    """
-    keyed = messages.withColumn("key", dedup_key()).withColumn("sent_at", ms_timestamp("sent_ms"))
-    if collapse:
-        keyed = keyed.mapInPandas(_collapse_copies, keyed.schema)
-    return keyed.withWatermark("sent_at", delay).dropDuplicatesWithinWatermark(["queue", "key"]).drop("key", "sent_at")
+    return each
 
 
 def write_in_order(path: str, hot_rows: int | None = None) -> Callable[[DataFrame, int], None]:
@@ -125,19 +159,29 @@ def parse_body(messages: DataFrame, fields: str) -> DataFrame:
 
 
 def settle(
-    landing: str, done: str, dead: str, fields: str, max_receives: int = MAX_RECEIVES, max_bytes: int = MAX_BYTES
+    landing: str,
+    done: str,
+    dead: str,
+    fields: str,
+    max_receives: int | dict[str, int] = MAX_RECEIVES,
+    max_bytes: int = MAX_BYTES,
 ) -> Callable[[DataFrame, int], None]:
     """Epoch sink of a worker: parsed messages are stored, failed ones return or go to dead letters.
 
     A failed message is landed again with one more receive on its count, so the next trigger picks
-    it up; after ``max_receives`` failures, or at once when its body is too large, it is dead.
+    it up; after ``max_receives`` failures, or at once when its body is too large, it is dead. The limit may be given
+    for each queue; queues without one have the default.
     """
+    limits = max_receives if isinstance(max_receives, dict) else {}
+    most = F.lit(MAX_RECEIVES if limits else max_receives)
+    for queue, n in limits.items():
+        most = F.when(F.col("queue") == queue, n).otherwise(most)
 
     def each(batch: DataFrame, epoch: int) -> None:
         received = parse_body(batch, fields).withColumn("receive_count", F.col("receive_count") + 1).persist()
         too_big = oversize(max_bytes)
         failed = received.where(~F.col("ok") | too_big).drop("payload", "ok")
-        final = (F.col("receive_count") >= max_receives) | too_big
+        final = (F.col("receive_count") >= most) | too_big
         stored = received.where(F.col("ok") & ~too_big).select(
             "message_id", "queue", "group_id", "sent_ms", "receive_count", "payload.*"
         )

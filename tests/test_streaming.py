@@ -33,24 +33,55 @@ def dirs(tmp_path):
     return lambda name: str(tmp_path / name)
 
 
-@pytest.mark.parametrize("collapse", [True, False])
-def test_copies_are_dropped_across_batches(spark, dirs, collapse):
-    def run():
-        stream = queues.drop_copies(queues.read_messages(spark, dirs("in")), "5 minutes", collapse)
-        queues.run_to_files(stream, dirs("out"), dirs("cp"))
-        return sorted(r.body for r in spark.read.schema(MESSAGES).parquet(dirs("out")).collect())
+HOUR = 3_600_000
+
+
+def deduplicated(spark, dirs, batches, **options):
+    each = queues.write_once(dirs("out"), **options)
+    for rows in batches:
+        land(spark, dirs("in"), rows)
+        queues.run_batches(queues.read_messages(spark, dirs("in")), dirs("cp"), each)
+    return sorted(r.message_id for r in spark.read.schema(MESSAGES).parquet(dirs("out") + "/messages").collect())
+
+
+@pytest.mark.parametrize("cuts", [[], [1], [1, 2, 3], [2]])
+def test_copies_an_hour_apart_are_messages_of_their_own(spark, dirs, cuts):
+    rows = [message(i, "same", queue="analytics", at=NOON + i * HOUR) for i in range(4)]
+    edges = [0, *cuts, 4]
+    got = deduplicated(spark, dirs, [rows[a:b] for a, b in zip(edges, edges[1:], strict=False)])
+    assert got == ["m0", "m1", "m2", "m3"]
 
-    land(spark, dirs("in"), [message(i, "hot") for i in range(50)] + [message(90, "x"), message(91, "x", queue="r")])
-    assert run() == ["hot", "x", "x"]
-    land(spark, dirs("in"), [message(92, "hot", at=NOON + 60_000), message(93, "new", at=NOON + 60_000)])
-    assert run() == ["hot", "new", "x", "x"]
-    assert run() == ["hot", "new", "x", "x"]
 
+@pytest.mark.parametrize("cut", [1, 3, 5, 9])
+def test_the_interval_runs_from_the_last_message_kept(spark, dirs, cut):
+    minute = 60_000
+    rows = [message(i, "same", queue="analytics", at=NOON + m * minute) for i, m in enumerate([0, 2, 4, 5, 9, 10, 14, 15, 30])]
+    assert deduplicated(spark, dirs, [rows[:cut], rows[cut:]] if cut < 9 else [rows]) == ["m0", "m3", "m5", "m7", "m8"]
 
-def test_an_explicit_id_beats_the_content(spark, dirs):
-    land(spark, dirs("in"), [message(1, "a", dedup="1"), message(2, "a", dedup="2"), message(3, "b", dedup="1")])
-    queues.run_to_files(queues.drop_copies(queues.read_messages(spark, dirs("in"))), dirs("out"), dirs("cp"))
-    assert spark.read.schema(MESSAGES).parquet(dirs("out")).count() == 2
+
+def test_a_hot_message_is_kept_once_and_late_copies_remove_nothing(spark, dirs):
+    hot = [message(i, "hot", queue="analytics") for i in range(50)]
+    late = [message(60, "z", queue="analytics", at=NOON - 2 * HOUR), message(61, "z", queue="analytics"), message(62, "hot", queue="analytics", at=NOON - 1000)]
+    assert deduplicated(spark, dirs, [hot, late]) == ["m0", "m60", "m61"]
+
+
+def test_content_counts_only_where_it_is_on_and_ids_come_first(spark, dirs):
+    rows = [
+        message(1, "a", dedup="1"), message(2, "a", dedup="2"), message(3, "b", dedup="1"),
+        message(4, "a"), message(5, "a"), message(6, "a", queue="analytics"), message(7, "a", queue="analytics"),
+        message(8, None, queue="analytics"), message(9, None, queue="analytics"),
+    ]
+    assert deduplicated(spark, dirs, [rows]) == ["m1", "m2", "m4", "m5", "m6", "m8", "m9"]
+
+
+def test_receive_limits_by_queue(spark, dirs):
+    rows = [message(1, "{bad", queue="once"), message(2, "{bad", queue="twice"), message(3, "{bad")]
+    land(spark, dirs("in") + "/first", rows)
+    each = queues.settle(dirs("in"), dirs("done"), dirs("dead"), BODY, max_receives={"once": 1, "twice": 2})
+    for _ in range(3):
+        queues.run_batches(queues.read_messages(spark, dirs("in")), dirs("cp"), each)
+    dead = {r.message_id: r.receive_count for r in spark.read.parquet(dirs("dead")).collect()}
+    assert dead == {"m1": 1, "m2": 2, "m3": queues.MAX_RECEIVES}
 
 
 @pytest.mark.parametrize("hot_rows", [None, 5])
