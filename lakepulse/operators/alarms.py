@@ -17,6 +17,8 @@ COMPARISONS = {
     "<=": lambda v, t: v <= t,
 }
 MISSING = ("missing", "notBreaching", "breaching", "ignore")
+#: Empty windows in a row that are filled in; ten years of minutes. More is taken for a wrong time and is an error.
+MAX_GAP = 5_256_000
 
 
 def window_start(ms: str, period_s: int) -> Column:
@@ -40,6 +42,9 @@ def fill_windows(series: DataFrame, period_s: int, by: list[str]) -> DataFrame:
     following = F.lead("window_start").over(Window.partitionBy(*by).orderBy("window_start"))
     values = [c for c in series.columns if c not in (*by, "window_start")]
     last = F.coalesce(F.col("following") - step, F.col("window_start"))
+    wide = (last - F.col("window_start")) / step > MAX_GAP
+    wrong = F.raise_error(F.concat(F.lit("too many empty windows behind "), F.col("window_start").cast("string")))
+    last = F.when(wide, wrong.cast("bigint")).otherwise(last)
     spread = series.withColumn("following", following).select(
         *by, F.col("window_start").alias("at"), *values, F.explode(F.sequence("window_start", last, step)).alias("window_start")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakepulse.functions.exprs import ratio
-from lakepulse.operators.alarms import alarm_states, fill_windows, window_series, window_start
+from lakepulse.operators.alarms import alarm_states, fill_windows, window_series
 
 # Alarm thresholds.
 ERROR_RATE_PERCENT = 5.0
@@ -108,47 +108,37 @@ def alarm_dead_letters(log: DataFrame, n_periods: int = 1) -> DataFrame:
 def queue_health(log: DataFrame, period_s: int = 300) -> DataFrame:
     """Per queue and window: depth, age of the oldest waiting message, messages sent, received, deleted.
 
-    The oldest message is found from (window sent, window gone) pairs with their earliest send time;
-    there are at most as many pairs as window pairs, however many messages there are.
+    The oldest message waiting at the end of a window is the earliest sent of those gone in a later window, or never,
+    if it was sent by then. So each window keeps the earliest send time of what it saw go, and a running
+    minimum over the later windows gives the rest: no more rows than windows.
     """
-    period = period_s * 1000
     kinds = {"sent": "sent_ms", "received": "received_ms", "deleted": "deleted_ms"}
     moves = [
         *[F.struct(F.col(t).alias("ms"), F.lit(k).alias("kind"), F.lit(int(k == "sent")).alias("delta")) for k, t in kinds.items()],
         F.struct(_gone().alias("ms"), F.lit("gone").alias("kind"), F.lit(-1).alias("delta")),
     ]
-    rows = log.select("queue", F.explode(F.array(*moves)).alias("m")).select("queue", "m.*").where("ms is not null")
+    rows = log.select("queue", "sent_ms", _gone().isNull().alias("stays"), F.explode(F.array(*moves)).alias("m"))
+    kind = F.col("kind")
     counts = window_series(
-        rows,
+        rows.select("queue", "sent_ms", "stays", "m.*"),
         "ms",
         period_s,
         ["queue"],
-        **{k: F.count_if(F.col("kind") == k) for k in kinds},
+        **{k: F.count_if(kind == k) for k in kinds},
         delta=F.sum("delta"),
+        gone_oldest=F.min(F.when(kind == "gone", F.col("sent_ms"))),
+        stays_oldest=F.min(F.when((kind == "sent") & F.col("stays"), F.col("sent_ms"))),
     )
-    filled = fill_windows(counts, period_s, ["queue"])
-    run = Window.partitionBy("queue").orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
-
-    waits = log.select(
-        "queue", "sent_ms", window_start("sent_ms", period_s).alias("ws"), (F.floor(_gone() / period) * period).alias("wg")
-    )
-    pairs = waits.groupBy("queue", "ws", "wg").agg(F.min("sent_ms").alias("oldest"))
-    step = F.lit(period).cast("bigint")
-    stays = F.col("wg").isNull()
-    through = F.when(stays, F.col("ws")).otherwise(F.col("wg") - period)
-    spread = pairs.where(stays | (F.col("wg") > F.col("ws"))).select(
-        "queue", F.explode(F.sequence("ws", through, step)).alias("window_start"), "oldest", stays.alias("stays")
-    )
-    waiting = spread.groupBy("queue", "window_start").agg(
-        F.min(F.when(~F.col("stays"), F.col("oldest"))).alias("oldest"),
-        F.min(F.when(F.col("stays"), F.col("oldest"))).alias("stuck"),
-    )
-    keys = ["queue", "window_start"]
-    joined = filled.join(waiting, keys, "left")
-    oldest = F.least("oldest", F.min("stuck").over(run))  # least() skips NULL
-    return joined.select(
-        *keys,
+    queue = Window.partitionBy("queue")
+    run = queue.orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
+    later = queue.orderBy("window_start").rowsBetween(1, Window.unboundedFollowing)
+    end = F.col("window_start") + period_s * 1000
+    # least() skips NULL
+    oldest = F.least(F.min("gone_oldest").over(later), F.min("stays_oldest").over(queue))
+    return fill_windows(counts, period_s, ["queue"]).select(
+        "queue",
+        "window_start",
         F.sum(F.coalesce("delta", F.lit(0))).over(run).alias("depth"),
-        (F.col("window_start") + period - oldest).alias("oldest_age_ms"),
+        F.when(oldest < end, end - oldest).alias("oldest_age_ms"),
         *[F.coalesce(k, F.lit(0)).alias(k) for k in kinds],
     )

@@ -93,3 +93,31 @@ def test_error_rate(spark):
     assert [r.value for r in m.error_rate_series(http).orderBy("window_start").collect()] == [50.0, 0.0]
     p99 = m.alarm_response_time_p99(http, n_periods=1).orderBy("window_start").collect()
     assert [r.state for r in p99] == [O, A]
+
+
+def test_windows_far_apart_are_an_error(spark):
+    from pyspark.errors import PySparkException
+
+    from lakepulse.operators.alarms import fill_windows
+
+    series = spark.createDataFrame([(0, 1), (1_700_000_000_000, 1)], "window_start bigint, value int")
+    with pytest.raises(PySparkException, match="too many empty windows"):
+        fill_windows(series, 60, []).count()
+
+
+def test_health_of_a_backlog_has_a_row_for_each_window(spark):
+    """Messages that wait for long spread over no more rows than there are windows."""
+    from lakepulse.plans.monitoring import queue_health
+
+    minute, n = 60_000, 400
+    rows = [("q", i * minute, i * minute + 10, i * minute + 200 * minute if i % 2 else None, None) for i in range(n)]
+    log = spark.createDataFrame(rows, "queue string, sent_ms bigint, received_ms bigint, deleted_ms bigint, dead_ms bigint")
+    got = queue_health(log, 60).orderBy("window_start").collect()
+    assert len(got) == n - 1 + 200 + 1
+    for r in got:
+        end = r["window_start"] + minute
+        waiting = [s for _, s, _, d, _ in rows if s < end and (d is None or d >= end)]
+        assert r["depth"] == len(waiting)
+        assert r["oldest_age_ms"] == end - min(waiting)
+    plan = queue_health(log, 60)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode(sequence") == 1 and "Join" not in plan
