@@ -309,6 +309,29 @@ def _(spark, sf):
     return sinks.retention_plan(fixture.object_listing(spark, sf), AS_OF)
 
 
-@check("scan_cost_audit")
+SCAN_LIMIT = 1_000_000
+
+
+@check(
+    "scan_cost_audit",
+    f"""
+WITH listing AS (SELECT {K} * 1024 AS size, ts FROM events),
+scans AS (
+  SELECT 'month' AS scan, size FROM listing WHERE ts < TIMESTAMP '2024-02-01'
+  UNION ALL SELECT 'day', size FROM listing WHERE CAST(ts AS DATE) = DATE '2024-01-05'
+  UNION ALL SELECT 'hour', size FROM listing WHERE date_trunc('hour', ts) = TIMESTAMP '2024-01-05 03:00:00'
+), named(scan) AS (VALUES ('month'), ('day'), ('hour'))
+SELECT scan, count(size) AS files, coalesce({big('sum(size)')}, 0) AS bytes,
+    CAST(coalesce(sum(size), 0) > {SCAN_LIMIT} AS INTEGER) AS over_limit
+  FROM named LEFT JOIN scans USING (scan) GROUP BY scan""",
+)
 def _(spark, sf):
-    return lake.scan_cost(spark, landed_raw(spark, sf), between_days(date(2024, 1, 1), date(2024, 1, 31)))
+    listing = sinks.with_partitions(fixture.object_listing(spark, sf).withColumn("ms", F.unix_millis("modified")), "ms")
+    day = between_days(date(2024, 1, 5), date(2024, 1, 5))
+    scans = {
+        "month": between_days(date(2024, 1, 1), date(2024, 1, 31)),
+        "day": day,
+        "hour": day & (F.col("hour") == "03"),
+    }
+    parts = [lake.scan_cost(listing, where, SCAN_LIMIT).withColumn("scan", F.lit(name)) for name, where in scans.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

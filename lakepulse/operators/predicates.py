@@ -6,7 +6,7 @@ from datetime import date, timedelta
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakepulse.functions.exprs import DAY_MS, epoch_ms, iso_weekday, month_start, ms_date, ms_hour, to_ms
@@ -23,6 +23,11 @@ def in_period(as_of: date, period: Column | None = None, history_months: int = 1
     return current_period(as_of, history_months) if period is None else period
 
 
+def scoped(flat: DataFrame, as_of: date | None, period: Column | None) -> DataFrame:
+    """Rows of the caller's period or of the month of ``as_of``; all rows only when neither is given."""
+    return flat if as_of is None and period is None else flat.where(in_period(as_of, period))
+
+
 def between_days(start: date, end: date) -> Column:
     """Partition filter for ``start``..``end``: per month, with day bounds at the two ends only."""
     if end < start:
@@ -40,26 +45,38 @@ def between_days(start: date, end: date) -> Column:
     return reduce(or_, terms)
 
 
-def last_days(as_of: date, days: int, slack_days: int = 1) -> Column:
+def landed_since(day: date) -> Column:
+    """Directories from a day on."""
+    year, month = F.col("year"), F.col("month")
+    return (
+        (year > f"{day:%Y}")
+        | ((year == f"{day:%Y}") & (month > f"{day:%m}"))
+        | ((year == f"{day:%Y}") & (month == f"{day:%m}") & (F.col("day") >= f"{day:%d}"))
+    )
+
+
+def last_days(as_of: date, days: int, slack_days: int | None = 1) -> Column:
     """Event date in the last ``days`` days, plus the partition filter this implies.
 
-    An event can sit in a neighbouring day's directory (a batch that runs over midnight), so the
-    directory bound is one day wider; there is no upper bound, as in the source rule.
+    An event can sit in a directory of a day before its own (a batch that runs over midnight). Directories are read from
+    ``slack_days`` days before the first; an event that lies in one further back is not found. None reads all
+    directories. There is no upper bound, as in the source rule.
     """
     first = as_of - timedelta(days=days)
-    edge = first - timedelta(days=slack_days)
-    year, month, day = F.col("year"), F.col("month"), F.col("day")
-    pruned = (
-        (year > f"{edge:%Y}")
-        | ((year == f"{edge:%Y}") & (month > f"{edge:%m}"))
-        | ((year == f"{edge:%Y}") & (month == f"{edge:%m}") & (day >= f"{edge:%d}"))
-    )
-    return pruned & (ms_date(epoch_ms()) >= F.lit(first))
+    wanted = ms_date(epoch_ms()) >= F.lit(first)
+    return wanted if slack_days is None else landed_since(first - timedelta(days=slack_days)) & wanted
 
 
-def since_ms(as_of: date, days: int = 90, ms: str = "ts_ms", min_year: str | None = None) -> Column:
-    """Epoch milliseconds within ``days`` of ``as_of``, the bound being a literal that can be pushed down."""
+def since_ms(
+    as_of: date, days: int = 90, ms: str = "ts_ms", min_year: str | None = None, slack_days: int | None = 1
+) -> Column:
+    """Epoch milliseconds within ``days`` of ``as_of``, as a literal bound, plus the partition filter this implies.
+
+    ``slack_days`` as in ``last_days``.
+    """
     bound = F.col(ms) >= F.lit(to_ms(as_of) - days * DAY_MS)
+    if slack_days is not None:
+        bound = landed_since(as_of - timedelta(days=days + slack_days)) & bound
     return bound if min_year is None else (F.col("year") >= min_year) & bound
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakepulse.functions.exprs import epoch_ms, flag, is_event, label, ms_date, percent, ratio, tally
-from lakepulse.operators.predicates import in_period, filled
+from lakepulse.operators.predicates import in_period, scoped, filled
 from lakepulse.operators.rollups import DONE, count_ids, device_days
 
 DAY = ["year", "month", "day"]
@@ -157,9 +157,9 @@ def dau_alerts(
     ).orderBy(*DAY)
 
 
-def new_vs_returning(flat: DataFrame) -> DataFrame:
-    """Per day: users seen for the first time and users seen before."""
-    days = device_days(flat).where(F.col("device_id").isNotNull())
+def new_vs_returning(flat: DataFrame, as_of: date | None = None, period: Column | None = None) -> DataFrame:
+    """Per day: users seen for the first time in the rows read (the month of ``as_of``, or ``period``) and users seen before."""
+    days = device_days(scoped(flat, as_of, period)).where(F.col("device_id").isNotNull())
     # One row per device and day, so this window is bounded by the days in the lake.
     first = F.min("activity_date").over(Window.partitionBy("device_id"))
     seen = days.withColumn("first_date", first)

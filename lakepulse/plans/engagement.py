@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakepulse.functions.exprs import HOUR_MS, epoch_ms, flag, is_event, ms_date, percent
-from lakepulse.operators.predicates import between_days
+from lakepulse.operators.predicates import between_days, scoped
 from lakepulse.operators.rollups import count_ids
 
 ACTIONS = ["submitted_feedback", "created_profile", "uploaded_content"]
@@ -38,10 +38,13 @@ def session_based(flat: DataFrame, at: datetime) -> DataFrame:
     return _score(counts, "active_sessions", "daily_active_users")
 
 
-def activity_based(flat: DataFrame, actions: list[str] | None = None) -> DataFrame:
+def activity_based(
+    flat: DataFrame, as_of: date | None = None, actions: list[str] | None = None, period: Column | None = None
+) -> DataFrame:
     """Users who took one of the listed actions, against all users."""
     users = (
-        flat.where(F.col("device_id").isNotNull())
+        scoped(flat, as_of, period)
+        .where(F.col("device_id").isNotNull())
         .groupBy("device_id")
         .agg(F.max(flag(is_event(*(actions or ACTIONS)))).alias("engaged"))
     )
@@ -51,10 +54,15 @@ def activity_based(flat: DataFrame, actions: list[str] | None = None) -> DataFra
     return _score(counts, "engaged_users", "total_users")
 
 
-def retention_based(flat: DataFrame, days: int = 7) -> DataFrame:
+def retention_based(
+    flat: DataFrame, as_of: date | None = None, days: int = 7, period: Column | None = None
+) -> DataFrame:
     """Users seen again within ``days`` days after their first day, against all users."""
     active = (
-        flat.where(F.col("device_id").isNotNull()).select("device_id", ms_date(epoch_ms()).alias("date")).distinct()
+        scoped(flat, as_of, period)
+        .where(F.col("device_id").isNotNull())
+        .select("device_id", ms_date(epoch_ms()).alias("date"))
+        .distinct()
     )
     first = F.min("date").over(Window.partitionBy("device_id"))  # bounded by the days in the lake
     since = active.withColumn("since", F.datediff("date", first))

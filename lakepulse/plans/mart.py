@@ -8,21 +8,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakepulse.functions.exprs import DAY_MS, flag, is_event, ratio, round_half_up, tally, to_ms
+from lakepulse.functions.exprs import DAY_MS, flag, is_event, ratio, round_half_up, tally
 from lakepulse.operators.predicates import since_ms
 from lakepulse.operators.rollups import most_common
+from lakepulse.session import written
 
 DAY = ["year", "month", "day"]
 HORIZONS = (1, 7, 30)
 
 
-def daily_aggregates(events: DataFrame, as_of: date, days: int = 90, min_year: str | None = None) -> DataFrame:
-    """Per day: users, segments, versions, countries, event mix, durations and quality.
+VALUES = ["event_type", "event_name", "screen_name", "app_version", "country", "subscription_status", "device_type"]
+
 
-    No distinct count runs over raw events: users, sessions and sums come from one compact
-    (day, user, session) table, the low-cardinality dimensions from counted values.
+def facts(events: DataFrame, as_of: date, days: int = 90, min_year: str | None = None) -> DataFrame:
+    """Events counted by day, user, session and every reported value, with duration sums and the first and last time.
+
+    Everything in the mart but the percentiles follows from this table, so raw events are read once for it.
     """
     rows = events.where(since_ms(as_of, days, min_year=min_year))
+    return rows.groupBy(*DAY, _day_number().alias("d"), "user_id", "session_id", *VALUES).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("duration").alias("duration_sum"),
+        F.count("duration").alias("duration_n"),
+        F.min("ts_ms").alias("oldest"),
+        F.max("ts_ms").alias("newest"),
+    )
+
+
+def daily_percentiles(events: DataFrame, as_of: date, days: int = 90, min_year: str | None = None) -> DataFrame:
+    load_time = F.when(is_event("performance"), F.col("duration"))
+    return events.where(since_ms(as_of, days, min_year=min_year)).groupBy(*DAY).agg(
+        F.percentile_approx("duration", 0.5).alias("median_session_duration"),
+        F.percentile_approx(load_time, 0.95).alias("p95_performance_load_time"),
+    )
+
+
+def daily_aggregates(events: DataFrame, as_of: date, days: int = 90, min_year: str | None = None) -> DataFrame:
+    """Per day: users, segments, versions, countries, event mix, durations and quality."""
+    counted = written(facts(events, as_of, days, min_year), "facts")
+    return aggregates_of(counted, daily_percentiles(events, as_of, days, min_year))
+
+
+def aggregates_of(counted: DataFrame, medians: DataFrame) -> DataFrame:
+    """The daily aggregates from ``facts`` and percentiles.
+
+    Users, sessions and sums come from one compact (day, user, session) table, the low-cardinality dimensions from
+    counted values.
+    """
     kind = {
         "session_starts": "session_start",
         "screen_views": "screen_view",
@@ -31,7 +63,6 @@ def daily_aggregates(events: DataFrame, as_of: date, days: int = 90, min_year: s
         "errors": "error",
         "crashes": "crash",
     }
-    load_time = F.when(is_event("performance"), F.col("duration"))
     segments = {
         "new_users": is_event("first_open"),
         "premium_users": F.col("subscription_status") == "premium",
@@ -40,10 +71,11 @@ def daily_aggregates(events: DataFrame, as_of: date, days: int = 90, min_year: s
         "ipad_users": F.col("device_type") == "iPad",
         "android_users": F.col("device_type") == "Android",
     }
-    sums = {"total_events": F.count(F.lit(1)), **{n: tally(is_event(k)) for n, k in kind.items()}}
-    for name, value in {"duration": F.col("duration"), "load": load_time}.items():
-        sums |= {f"{name}_sum": F.sum(value), f"{name}_n": F.count(value)}
-    compact = rows.groupBy(*DAY, "user_id", "session_id").agg(
+    only = lambda event, c: F.sum(F.when(is_event(event), F.col(c)))
+    sums = {"total_events": F.sum("n"), **{n: F.coalesce(only(k, "n"), F.lit(0)) for n, k in kind.items()}}
+    sums |= {"duration_sum": F.sum("duration_sum"), "duration_n": F.sum("duration_n")}
+    sums |= {"load_sum": only("performance", "duration_sum"), "load_n": only("performance", "duration_n")}
+    compact = counted.groupBy(*DAY, "user_id", "session_id").agg(
         *[F.max(flag(c)).alias(n) for n, c in segments.items()], *[c.alias(n) for n, c in sums.items()]
     )
     # Each compact row counts once for its user and once for its session, in a single shuffle.
@@ -64,21 +96,18 @@ def daily_aggregates(events: DataFrame, as_of: date, days: int = 90, min_year: s
         *[tally(user & (F.col(n) == 1)).alias(n) for n in segments],
         *[F.sum(F.when(session, F.col(n))).alias(n) for n in sums],
     )
-    medians = rows.groupBy(*DAY).agg(
-        F.percentile_approx("duration", 0.5).alias("median_session_duration"),
-        F.percentile_approx(load_time, 0.95).alias("p95_performance_load_time"),
-    )
 
-    values = rows.select(
+    values = counted.select(
         *DAY,
+        "n",
         F.expr(
             "stack(4, 'screen', screen_name, 'event', event_name, 'version', app_version, 'country', country)"
             " as (dim, value)"
         ),
     ).where(F.col("value").isNotNull())
-    counted = values.groupBy(*DAY, "dim", "value").agg(F.count(F.lit(1)).alias("n"))
+    by_value = values.groupBy(*DAY, "dim", "value").agg(F.sum("n").alias("n"))
     of = lambda dim: F.when(F.col("dim") == dim, F.col("value"))
-    dims = counted.groupBy(*DAY).agg(
+    dims = by_value.groupBy(*DAY).agg(
         F.count(of("screen")).alias("unique_screens_accessed"),
         F.count(of("event")).alias("unique_events_triggered"),
         F.count(of("version")).alias("app_versions_active"),
@@ -127,17 +156,13 @@ def _came_back(h: int, first: Column, last: Column) -> Column:
     return flag(F.col("user_id").isNotNull() & (F.coalesce(late, F.lit(False)) | F.coalesce(early, F.lit(False))))
 
 
-def _since(events: DataFrame, as_of: date, days: int) -> DataFrame:
-    """A return lies after its first open, so nothing older than the period can matter."""
-    return events.where(F.col("ts_ms") >= F.lit(to_ms(as_of) - days * DAY_MS))
-
-
 def first_open_returns(events: DataFrame, as_of: date, days: int = 90, min_year: str | None = None) -> DataFrame:
     """Each first open with flags for a return on the 1st, 7th and 30th day after it."""
-    opens = events.where(since_ms(as_of, days, min_year=min_year) & is_event("first_open"))
+    recent = events.where(since_ms(as_of, days, min_year=min_year))
+    opens = recent.where(is_event("first_open"))
+    # A return lies after its first open, so nothing older than the period can matter.
     user_days = (
-        _since(events, as_of, days)
-        .where(F.col("user_id").isNotNull())
+        recent.where(F.col("user_id").isNotNull())
         .groupBy("user_id", _day_number().alias("d"))
         .agg(F.min("ts_ms").alias("oldest"), F.max("ts_ms").alias("newest"))
     )
@@ -147,22 +172,22 @@ def first_open_returns(events: DataFrame, as_of: date, days: int = 90, min_year:
 
 
 def daily_retention(events: DataFrame, as_of: date, days: int = 90, min_year: str | None = None) -> DataFrame:
-    """Per day of first open: users, and how many of them came back 1, 7 and 30 days later.
+    """Per day of first open: users, and how many of them came back 1, 7 and 30 days later."""
+    return retention_of(facts(events, as_of, days, min_year))
+
+
+def retention_of(counted: DataFrame) -> DataFrame:
+    """Retention from ``facts``.
 
     Of a user's first opens within one day only the earliest and the latest can decide, so one table
     of (user, day) spans serves both sides: one scan, and no join.
     """
-    opened = is_event("first_open") & (F.lit(True) if min_year is None else F.col("year") >= min_year)
-    open_ms = F.when(opened, F.col("ts_ms"))
-    spans = (
-        _since(events, as_of, days)
-        .groupBy("user_id", _day_number().alias("d"), *DAY)
-        .agg(
-            F.min("ts_ms").alias("oldest"),
-            F.max("ts_ms").alias("newest"),
-            F.min(open_ms).alias("first"),
-            F.max(open_ms).alias("last"),
-        )
+    opened = is_event("first_open")
+    spans = counted.groupBy("user_id", "d", *DAY).agg(
+        F.min("oldest").alias("oldest"),
+        F.max("newest").alias("newest"),
+        F.min(F.when(opened, F.col("oldest"))).alias("first"),
+        F.max(F.when(opened, F.col("newest"))).alias("last"),
     )
     opens = _return_windows(spans).where(F.col("first").isNotNull())
     users = opens.groupBy(*DAY, "user_id").agg(
@@ -178,8 +203,12 @@ def top_feature_rows(
     events: DataFrame, as_of: date, n: int = 10, days: int = 90, min_year: str | None = None
 ) -> DataFrame:
     """The ``n`` most used features of each day, one row each."""
-    rows = events.where(since_ms(as_of, days, min_year=min_year) & is_event("feature_usage"))
-    compact = rows.groupBy(*DAY, "event_name", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return feature_rows_of(facts(events.where(is_event("feature_usage")), as_of, days, min_year), n)
+
+
+def feature_rows_of(counted: DataFrame, n: int = 10) -> DataFrame:
+    used = counted.where(is_event("feature_usage"))
+    compact = used.groupBy(*DAY, "event_name", "user_id").agg(F.sum("n").alias("n"))
     features = compact.groupBy(*DAY, "event_name").agg(
         F.sum("n").alias("usage_count"), F.count("user_id").alias("unique_users")
     )
@@ -191,7 +220,10 @@ def daily_top_features(
     events: DataFrame, as_of: date, n: int = 10, days: int = 90, min_year: str | None = None
 ) -> DataFrame:
     """Per day: an array of its top features, most used first."""
-    ranked = top_feature_rows(events, as_of, n, days, min_year)
+    return features_of(top_feature_rows(events, as_of, n, days, min_year))
+
+
+def features_of(ranked: DataFrame) -> DataFrame:
     item = F.struct("feature_rank", "event_name", "usage_count", "unique_users")
     ordered = F.sort_array(F.collect_list(item))  # at most n items
     return ranked.groupBy(*DAY).agg(
@@ -207,10 +239,14 @@ def daily_top_features(
 
 
 def daily_metrics_mart(events: DataFrame, as_of: date, days: int = 90, min_year: str | None = None) -> DataFrame:
-    """The mart: one row per day. All three inputs are already one row per day when joined."""
-    daily = daily_aggregates(events, as_of, days, min_year)
-    retention = daily_retention(events, as_of, days, min_year)
-    features = daily_top_features(events, as_of, 10, days, min_year)
+    """The mart: one row per day, from two pruned scans of the events: for ``facts``, written once, and the percentiles.
+
+    All inputs are already one row per day when joined.
+    """
+    counted = written(facts(events, as_of, days, min_year), "facts")
+    daily = aggregates_of(counted, daily_percentiles(events, as_of, days, min_year))
+    retention = retention_of(counted)
+    features = features_of(feature_rows_of(counted))
     joined = daily.join(retention, DAY, "left").join(features, DAY, "left")
     whole = lambda part, base: round_half_up(ratio(part, base, digits=None) * 100.0, 2)
     return joined.select(

@@ -2,16 +2,20 @@
 
 No SQL exists for these analyses in what we follow, only descriptions; ``anxiety_trend`` and
 ``wellness_journey`` have one line each, so their exact columns are our definition. Rows without a
-device are left out, as nothing follows them from one session to the next.
+device are left out, as nothing follows them from one session to the next. Each reads the month of
+``as_of`` or the given ``period``, and looks no further for the next or the first session.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import date
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakepulse.functions.exprs import label, ms_date, percent, ratio, round_half_up, tally
+from lakepulse.operators.predicates import scoped
 from lakepulse.operators.rollups import completions, count_ids
 from lakepulse.operators.runs import ordered_runs
 
@@ -38,10 +42,16 @@ def next_session(flat: DataFrame, hot_rows: int | None = None) -> DataFrame:
     ).drop("run_index", "run_length")
 
 
-def response_effectiveness(flat: DataFrame, min_sessions: int = 1, hot_rows: int | None = None) -> DataFrame:
+def response_effectiveness(
+    flat: DataFrame,
+    as_of: date | None = None,
+    min_sessions: int = 1,
+    period: Column | None = None,
+    hot_rows: int | None = None,
+) -> DataFrame:
     """Per response and focus: change to the next session, improvement rates, a rating."""
     keys = ["response", "focus"]
-    pairs = next_session(flat, hot_rows).where(F.col("response").isNotNull())
+    pairs = next_session(scoped(flat, as_of, period), hot_rows).where(F.col("response").isNotNull())
     sums = {
         "initial": F.col("danger_level"),
         "subsequent": F.col("next_danger"),
@@ -88,8 +98,11 @@ def response_effectiveness(flat: DataFrame, min_sessions: int = 1, hot_rows: int
     )
 
 
-def response_trend(flat: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def response_trend(
+    flat: DataFrame, as_of: date | None = None, period: Column | None = None, hot_rows: int | None = None
+) -> DataFrame:
     """Rolling five-session effect of each response for each device."""
+    flat = scoped(flat, as_of, period)
     pairs = next_session(flat, hot_rows).select(
         "device_id", "session_id", "event_id", "ms", "response", "danger_change", "user_session_number"
     )
@@ -105,9 +118,13 @@ def response_trend(flat: DataFrame, hot_rows: int | None = None) -> DataFrame:
     ).drop("run_index", "run_length")
 
 
-def anxiety_trend(flat: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def anxiety_trend(
+    flat: DataFrame, as_of: date | None = None, period: Column | None = None, hot_rows: int | None = None
+) -> DataFrame:
     """Per device and completed session: number, level, 3-session average, change since the first."""
-    done = completions(flat).where(F.col("device_id").isNotNull() & F.col("danger_level").isNotNull())
+    done = completions(scoped(flat, as_of, period)).where(
+        F.col("device_id").isNotNull() & F.col("danger_level").isNotNull()
+    )
     runs = ordered_runs(
         done,
         ["device_id"],
@@ -131,9 +148,9 @@ def anxiety_trend(flat: DataFrame, hot_rows: int | None = None) -> DataFrame:
     )
 
 
-def wellness_journey(flat: DataFrame) -> DataFrame:
+def wellness_journey(flat: DataFrame, as_of: date | None = None, period: Column | None = None) -> DataFrame:
     """Per device and week (from Monday): sessions, average levels, change against the week before."""
-    done = completions(flat).where(F.col("device_id").isNotNull())
+    done = completions(scoped(flat, as_of, period)).where(F.col("device_id").isNotNull())
     day = ms_date("ms")
     week = F.date_sub(day, F.weekday(day))
     levels = {"danger": "danger_level", "probability": "probability_level"}

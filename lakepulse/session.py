@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -44,15 +47,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path for one written table, in the shared folder the cluster names.
 
     The folder is ``spark.checkpoint.dir``. Only a local session, where every task runs on this
-    machine, may fall back to a temporary folder.
+    machine, may fall back to a temporary folder, which goes with the process. All paths of an application lie in
+    one folder, which ``clear_scratch`` deletes.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        context = spark.sparkContext
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _root(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _LOCAL_ROOTS.get(context.applicationId)
-        if root is None:
-            root = tempfile.mkdtemp(prefix="lakepulse-")
-            _LOCAL_ROOTS[context.applicationId] = root
-    return f"{root.rstrip('/')}/lakepulse/{name}-{uuid.uuid4().hex[:12]}"
+        shared = _LOCAL_ROOTS.get(context.applicationId)
+        if shared is None or not os.path.isdir(shared):
+            shared = _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="lakepulse-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    return f"{shared.rstrip('/')}/lakepulse/{context.applicationId}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what ``scratch`` gave this application; call it when no result that was made from it is read any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

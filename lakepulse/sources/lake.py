@@ -74,9 +74,9 @@ def partition_paths(base: str, start: date, end: date, hours: bool = False) -> l
     return [f"{d}/hour={h:02d}" for d in daily for h in range(24)] if hours else daily
 
 
-def scan_cost(spark: SparkSession, path: str, where: Column, limit_bytes: int = 10 * 1024**3) -> DataFrame:
-    """Files and bytes a partition filter would read, against the per-query limit."""
-    total = list_objects(spark, path).where(where).agg(
+def scan_cost(listing: DataFrame, where: Column, limit_bytes: int = 10 * 1024**3) -> DataFrame:
+    """Files and bytes of a listing (``size`` and partition columns) that a filter would read, against the per-query limit."""
+    total = listing.where(where).agg(
         F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")
     )
     return total.select("files", "bytes", (F.col("bytes") > limit_bytes).cast("int").alias("over_limit"))

@@ -122,11 +122,11 @@ def retention_plan(listing: DataFrame, as_of: date) -> DataFrame:
 
 
 def land_once(spark: SparkSession, landed: dict, key: tuple, write) -> str:
-    """Path of a table that ``write`` lands the first time it is asked for in this application."""
-    from lakepulse.session import scratch
+    """Path of a table that ``write`` lands the first time it is asked for in this application, and when it is gone."""
+    from lakepulse.session import exists, scratch
 
     key = (spark.sparkContext.applicationId, *key)
-    if key not in landed:
+    if key not in landed or not exists(spark, landed[key]):
         path = scratch(spark, "-".join(str(k).strip("/").replace("/", "_") for k in key[1:]))
         write(path)
         landed[key] = path

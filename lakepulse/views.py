@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, time
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lakepulse.operators.flatten import flatten_events
-from lakepulse.plans import activity, churn, focus, mart, responses, risk, sessions
+from lakepulse.plans import activity, churn, engagement, focus, mart, responses, risk, sessions
 from lakepulse.session import pin
 from lakepulse.sources import lake
 
@@ -33,12 +33,31 @@ NAMED_QUERIES = {
     "crisis_intervention_detection": risk.crisis_intervention,
     "user_retention_churn_analysis": churn.retention_churn,
     "user_engagement_analytics": activity.user_engagement,
-    "response_effectiveness_analysis": lambda flat, as_of: responses.response_effectiveness(flat),
-    "anxiety_improvement_tracking": lambda flat, as_of: responses.anxiety_trend(flat),
-    "user_wellness_journey": lambda flat, as_of: responses.wellness_journey(flat),
+    "response_effectiveness_analysis": responses.response_effectiveness,
+    "response_trend_analysis": responses.response_trend,
+    "anxiety_improvement_tracking": responses.anxiety_trend,
+    "user_wellness_journey": responses.wellness_journey,
+    "daily_alerts": activity.dau_alerts,
+    "new_vs_returning_users": activity.new_vs_returning,
+    "engagement_activity_based": engagement.activity_based,
+    "engagement_retention_based": engagement.retention_based,
+    "engagement_session_based": lambda flat, as_of: engagement.session_based(flat, end_of(as_of)),
 }
 
 
+# Each takes (events, as_of), events in the product-event shape.
+EVENT_QUERIES = {
+    "daily_aggregates": mart.daily_aggregates,
+    "daily_retention": mart.daily_retention,
+    "daily_top_features": mart.daily_top_features,
+    "daily_metrics": mart.daily_metrics_mart,
+}
+
+
+def end_of(day: date) -> datetime:
+    return datetime.combine(day, time.max)
+
+
 def register_lake(spark: SparkSession, paths: dict[str, str], min_year: str | None = None) -> dict[str, DataFrame]:
     """Temporary views over landed tables; ``analytics`` also gives ``flattened_analytics``."""
     pin(spark)
@@ -57,5 +76,6 @@ def register_daily_metrics(events: DataFrame, as_of: date, **options) -> DataFra
     return metrics
 
 
-def run(name: str, flat: DataFrame, as_of: date, **options) -> DataFrame:
-    return NAMED_QUERIES[name](flat, as_of, **options)
+def run(name: str, rows: DataFrame, as_of: date, **options) -> DataFrame:
+    """A query by its name, over the flattened events or, for ``EVENT_QUERIES``, product events."""
+    return (NAMED_QUERIES | EVENT_QUERIES)[name](rows, as_of, **options)

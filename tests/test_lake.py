@@ -123,9 +123,9 @@ def test_partition_paths_and_discovery(spark, tmp_path):
     found = lake.discover_partitions(spark, str(tmp_path), where).orderBy("day").collect()
     assert [(r.month, r.day, r.files) for r in found] == [(2, 1, 1), (2, 2, 1)]
     size = sum(p.stat().st_size for p in tmp_path.rglob("month=02/**/*.json"))
-    cost = lake.scan_cost(spark, str(tmp_path), where).first()
+    cost = lake.scan_cost(lake.list_objects(spark, str(tmp_path)), where).first()
     assert (cost.files, cost.bytes, cost.over_limit) == (2, size, 0)
-    assert lake.scan_cost(spark, str(tmp_path), where, limit_bytes=size - 1).first().over_limit == 1
+    assert lake.scan_cost(lake.list_objects(spark, str(tmp_path)), where, limit_bytes=size - 1).first().over_limit == 1
 
 
 def test_partitions_come_from_event_time(spark):
@@ -183,3 +183,15 @@ def test_scratch_is_the_folder_the_cluster_names(spark, tmp_path, monkeypatch):
     settings.clear()
     with pytest.raises(RuntimeError):
         scratch(Session(), "x")
+
+
+def test_the_mapping_reads_every_source_event(spark, tiny):
+    from pyspark.sql import functions as F
+
+    from lakepulse.sources import fixture
+
+    source = fixture.events(spark, tiny)
+    assert fixture.batches(spark, tiny).count() == source.count()
+    kinds = [k for k in ("view", "click", "error")]
+    some = fixture.flat(spark, tiny).select((F.substring("event_id", 5, 20).cast("long") / 10).cast("long").alias("i")).distinct()
+    assert some.count() >= source.where(F.col("event_type").isin(kinds)).count()

@@ -83,6 +83,23 @@ def test_retention_needs_no_join(spark, tiny):
     assert "Join" not in text and text.count("FileScan") == 1
 
 
+@pytest.mark.parametrize(
+    "analysis", [mart.daily_aggregates, mart.daily_retention, mart.daily_top_features, mart.daily_metrics_mart]
+)
+def test_the_mart_prunes_directories_and_reads_events_twice_at_most(spark, tiny, tmp_path, monkeypatch, analysis):
+    path = str(tmp_path / "events")
+    rows = fixture.mart_events(fixture.flat(spark, tiny))
+    rows.write.partitionBy("year", "month", "day").parquet(path)
+    landed = spark.read.schema(rows.schema).parquet(path)
+    found, plain = [], mart.written
+    monkeypatch.setattr(mart, "written", lambda df, name: (found.extend(scans(df)), plain(df, name))[1])
+    found += scans(analysis(landed, date(2024, 1, 31), days=10))
+    found = [s for s in found if path in s]
+    assert 1 <= len(found) <= 2
+    for scan in found:
+        assert re.search(r"PartitionFilters: \[.*year.*month.*day", scan)
+
+
 def test_newest_sessions_are_cut_before_the_shuffle(lake):
     assert plan(risk.crisis_intervention(lake, AS_OF)).count("WindowGroupLimit") == 2
 
