@@ -91,9 +91,13 @@ def test_the_mart_prunes_directories_and_reads_events_twice_at_most(spark, tiny,
     rows = fixture.mart_events(fixture.flat(spark, tiny))
     rows.write.partitionBy("year", "month", "day").parquet(path)
     landed = spark.read.schema(rows.schema).parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
     found, plain = [], mart.written
     monkeypatch.setattr(mart, "written", lambda df, name: (found.extend(scans(df)), plain(df, name))[1])
-    found += scans(analysis(landed, date(2024, 1, 31), days=10))
+    try:
+        found += scans(analysis(landed, date(2024, 1, 31), days=10))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
     found = [s for s in found if path in s]
     assert 1 <= len(found) <= 2
     for scan in found:
