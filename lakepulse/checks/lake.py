@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lakepulse.checks.base import K, SOURCE, big, check, rounded, with_flat
 from lakepulse.functions.exprs import round_half_up
-from lakepulse.operators.flatten import flatten_events, to_flat
+from lakepulse.operators.flatten import flatten_events
 from lakepulse.operators.predicates import between_days
 from lakepulse.session import scratch
 from lakepulse.sources import fixture, lake, sinks
@@ -62,15 +62,40 @@ def _(spark, sf):
     )
 
 
+# Output names of nested fields that are renamed, and the ones that are filled apart.
+_RENAMED = {
+    ("focus_session", "duration_seconds"): "focus_duration",
+    ("breathing_exercise", "session_duration"): "breathing_duration",
+    ("danger_probability", "context"): "danger_context",
+}
+_FILLED = [
+    *[f"{sql} AS {name}" for name, sql in (fixture.OWNER_FILL | fixture.EVENT_FILL).items()],
+    *[
+        f"{sql} AS {_RENAMED.get((part, name), name)}"
+        for part, fields in fixture.PART_FILL.items()
+        for name, sql in fields.items()
+        if name != "position"
+    ],
+    "k * 2e0 AS click_x",
+    "k * 4e0 AS click_y",
+]
+
+
 @check(
     "flatten_events",
-    with_flat("""
-SELECT event_id, device_id, session_id, event_type, event_timestamp, screen_name, danger_level, probability_level,
-    response, focus, specific_focus, duration, year, month, day
-  FROM flat"""),
+    with_flat(f"""
+SELECT 'batch_' || src_id AS batch_id, src_ms AS batch_timestamp, CAST(user_id AS VARCHAR) AS user_id, device_id, session_id,
+    event_id, ms AS event_timestamp, event_type, screen_name, duration, danger_level, probability_level, response, focus,
+    specific_focus, year, month, day, {HOUR_TEXT} AS hour, * EXCLUDE (src_id, src_ms, user_id, device_id, session_id, event_id,
+      ms, event_type, screen_name, duration, danger_level, probability_level, response, focus, specific_focus, year, month, day)
+  FROM (
+    SELECT src_id, src_ms, user_id, event_id, ms, event_type, device_id, session_id, screen_name, duration, danger_level,
+      probability_level, response, focus, specific_focus, year, month, day, {", ".join(_FILLED)}
+    FROM (SELECT *, CAST(event_id[5:] AS BIGINT) // 10 AS src_id FROM flat) JOIN (SELECT src_id, src_ms, user_id, k FROM src) USING (src_id)
+  )"""),
 )
 def _(spark, sf):
-    return to_flat(flatten_events(lake.read_batches(spark, landed_batches(spark, sf)), min_year="2024"))
+    return flatten_events(lake.read_batches(spark, landed_batches(spark, sf)), min_year="2024")
 
 
 @check(

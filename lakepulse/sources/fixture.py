@@ -141,19 +141,79 @@ def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# How the fields that no analysis reads are filled, in SQL that both engines understand.
+OWNER_FILL = {
+    "app_version": "concat('1.0.', CAST(k % 3 AS STRING))",
+    "os_version": "CAST(15 + k % 4 AS STRING)",
+    "device_model": "CASE WHEN k % 4 = 3 THEN NULL ELSE concat('model_', CAST(k % 4 AS STRING)) END",
+    "platform": "CASE WHEN k % 2 = 0 THEN 'ios' ELSE 'android' END",
+    "timezone": "CASE WHEN k % 5 = 0 THEN 'UTC' ELSE 'Europe/Paris' END",
+    "network_type": "CASE WHEN k % 3 = 0 THEN 'wifi' ELSE 'cell' END",
+}
+EVENT_FILL = {
+    "event_name": "concat('name_', CAST(k % 12 AS STRING))",
+    "action": "CASE WHEN k % 2 = 0 THEN 'tap' END",
+    "category": "concat('cat_', CAST(k % 6 AS STRING))",
+    "label": "CASE WHEN k % 7 > 0 THEN concat('label_', CAST(k AS STRING)) END",
+    "value": "k / 4e0",
+}
+PART_FILL = {
+    "focus_session": {
+        "session_type": "concat('type_', CAST(k % 3 AS STRING))",
+        "duration_seconds": "k * 1.5e0",
+        "completion_rate": "k / 128e0",
+        "technique_used": "concat('focus_', CAST(k % 4 AS STRING))",
+        "difficulty_level": "CASE WHEN k % 2 = 0 THEN 'easy' ELSE 'hard' END",
+        "mood_before": "concat('before_', CAST(k % 5 AS STRING))",
+        "mood_after": "concat('after_', CAST(k % 4 AS STRING))",
+        "interruptions": "k % 9",
+    },
+    "breathing_exercise": {
+        "exercise_type": "concat('breath_', CAST(k % 3 AS STRING))",
+        "breaths_per_minute": "4 + k / 16e0",
+        "total_breaths": "k * 3",
+        "session_duration": "k * 2.5e0",
+        "pattern_type": "concat('pattern_', CAST(k % 4 AS STRING))",
+        "guide_used": "k % 2 = 1",
+        "completion_status": "CASE WHEN k % 3 = 0 THEN 'done' ELSE 'left' END",
+    },
+    "danger_probability": {
+        "context": "concat('context_', CAST(k % 8 AS STRING))",
+        "user_confidence": "k / 8e0",
+        "technique_applied": "concat('technique_', CAST(k % 5 AS STRING))",
+        "outcome_rating": "CASE WHEN k % 3 = 1 THEN 'better' END",
+    },
+    "user_interaction": {
+        "interaction_type": "CASE WHEN k % 2 = 0 THEN 'tap' ELSE 'swipe' END",
+        "element_id": "concat('element_', CAST(k % 10 AS STRING))",
+        "position": "named_struct('x', k * 2e0, 'y', k * 4e0)",
+        "gesture": "concat('gesture_', CAST(k % 6 AS STRING))",
+        "response_time_ms": "k * 10",
+    },
+}
+
+
+def _struct(fields: dict[str, str]) -> str:
+    return f"named_struct({', '.join(f'{name!r}, {value}' for name, value in fields.items())})"
+
+
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested event batches: one batch per source event holding its steps, which may be none."""
     f = _fields()
-    event = f"""named_struct('event_id', {f['event_id']}, 'timestamp', {f['ms']}, 'event_type', s.type,
-        'screen_name', {f['screen_name']}, 'duration', value,
-        'danger_probability', named_struct('danger_level', {f['danger_level']},
-            'probability_level', {f['probability_level']}),
-        'response', {f['response']}, 'focus', {f['focus']}, 'specific_focus', {f['specific_focus']})"""
+    levels = {"danger_level": f["danger_level"], "probability_level": f["probability_level"]}
+    parts = {name: _struct((levels if name == "danger_probability" else {}) | fill) for name, fill in PART_FILL.items()}
+    event = _struct(
+        {"event_id": f["event_id"], "timestamp": f["ms"], "event_type": "s.type", "screen_name": f["screen_name"]}
+        | EVENT_FILL
+        | {"duration": "value"}
+        | parts
+        | {"response": f["response"], "focus": f["focus"], "specific_focus": f["specific_focus"]}
+    )
+    owner = {"user_id": "CAST(user_id AS STRING)", "device_id": OWNER["device_id"], "session_id": OWNER["session_id"]}
     return _raw(spark, sf_dir).selectExpr(
         "concat('batch_', CAST(src_id AS STRING)) AS batch_id",
         "ms AS batch_timestamp",
-        f"""named_struct('user_id', CAST(user_id AS STRING), 'device_id', {OWNER['device_id']},
-            'session_id', {OWNER['session_id']}) AS batch_metadata""",
+        f"{_struct(owner | OWNER_FILL)} AS batch_metadata",
         f"transform(filter({_steps_of()}, s -> k % s.m >= s.r), s -> {event}) AS events",
         *_owner("year", "month", "day"),
         HOUR,
