@@ -1,7 +1,7 @@
 """Licence notices in documents: a trained classifier of paragraphs, confirmed by templates.
 
 1. Paragraphs are the lines of a text that hold a word. Features are word n-grams (one to three words, lower-cased,
-   punctuation dropped) out of those that templates and the sample's notices have.
+   punctuation dropped): those of the templates, and those that several of the sample's notices have.
 2. The classifier is a multinomial logistic regression with a class for each licence family and one for none of them. It is
    trained on templates, cut and framed in other words, and on a sample of paragraphs: those that hold a template's
    phrase are of its family, those that hold no n-gram of three words of any are of none.
@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
@@ -154,12 +155,15 @@ def train(paragraphs: list[str]) -> Model:
             rows += [(ngrams([*frames[0], *tokens]), family), (ngrams([*tokens, *frames[1]]), family)]
             rows += [(ngrams([*frames[2], *tokens, *frames[3]]), family)]
     rows += [(set(), NONE)]
+    n_made = len(rows)
     for p in plain:
         found = ngrams(words(p))
         family = label(found, templates)
         if family is not None:
             rows.append((found, family))
-    features = {f: i for i, f in enumerate(sorted({f for found, family in rows if family != NONE for f in found}))}
+    known = {f for ts in templates.values() for t in ts for f in t}
+    repeated = Counter(f for found, family in rows[n_made:] if family != NONE for f in found)
+    features = {f: i for i, f in enumerate(sorted(known | {f for f, n in repeated.items() if n >= 3}))}
     y = np.array([classes.index(family) for _, family in rows])
     keep = np.arange(len(rows)) % 4 != 3
     x = _matrix([found for found, _ in rows], features)
