@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from lakepulse.functions.exprs import flag, is_event, percent, rank_of, round_half_up, tally
 from lakepulse.operators.predicates import in_period
 from lakepulse.operators.rollups import DONE, count_ids, session_table
+from lakepulse.session import written
 
 TREATMENT_STEPS = {
     "be_cool": "be_cool_step_completed",
@@ -121,9 +122,10 @@ def anxiety_flow_effectiveness(
     """Rates of the whole flow, then one row per response pattern.
 
     Pattern rows carry their count in ``total_anxiety_sessions`` and their share in
-    ``focus_selection_rate_percent``; their other columns are empty.
+    ``focus_selection_rate_percent``; their other columns are empty. Events are read once: both parts
+    start from the sessions, which are written.
     """
-    sessions = flow_sessions(flat, as_of, period)
+    sessions = written(flow_sessions(flat, as_of, period), "flow-sessions")
     complete = (
         (F.col("danger") == 1) & (F.col("probability") == 1) & (F.col("responded") == 1) & (F.col("completed") == 1)
     )
