@@ -10,6 +10,7 @@ from lakepulse.checks.base import K, SOURCE, big, check, rounded, with_flat
 from lakepulse.functions.exprs import round_half_up
 from lakepulse.operators.flatten import flatten_events
 from lakepulse.operators.predicates import between_days
+from lakepulse.plans.mart import write_mart
 from lakepulse.session import scratch
 from lakepulse.sources import fixture, lake, sinks
 from lakepulse.sources.fixture import AS_OF
@@ -360,3 +361,32 @@ def _(spark, sf):
     }
     parts = [lake.scan_cost(listing, where, SCAN_LIMIT).withColumn("scan", F.lit(name)) for name, where in scans.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@check(
+    "partition_paths",
+    """
+SELECT event_type, count(*) AS event_count FROM events
+  WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09' GROUP BY event_type""",
+)
+def _(spark, sf):
+    base = landed_raw(spark, sf)
+    paths = lake.partition_paths(base, date(2024, 1, 5), date(2024, 1, 9))
+    return lake.count_by_type(lake.read_raw_events(spark, paths, base), F.lit(True))
+
+
+@check(
+    "mart_refresh",
+    """
+SELECT strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day,
+    count(*) * CASE WHEN day(ts) BETWEEN 10 AND 12 THEN 2 ELSE 1 END AS events
+  FROM events GROUP BY ALL""",
+)
+def _(spark, sf):
+    """All days, then three of them anew with twice the count; the others stay."""
+    path = scratch(spark, "refreshed")
+    rows = sinks.with_partitions(fixture.raw_events(spark, sf), "ms")
+    daily = rows.groupBy(*DAY).agg(F.count(F.lit(1)).alias("events"))
+    write_mart(daily, path)
+    write_mart(daily.where(F.col("day").between("10", "12")).withColumn("events", F.col("events") * 2), path)
+    return spark.read.schema(f"events bigint, {DAILY}").parquet(path)

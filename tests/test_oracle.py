@@ -46,7 +46,7 @@ def skewed(tiny, tmp_path_factory):
 
 @pytest.mark.parametrize("name", ORDERED)
 def test_equals_sql_when_runs_are_split(spark, skewed, name):
-    spark.conf.set("lakepulse.hotRows", "15")
+    spark.conf.set("lakepulse.hotRows", "40")
     try:
         assert differences(QUERIES[name](spark, skewed), connect(skewed), ORACLES[name]) is None
     finally:
