@@ -17,7 +17,7 @@ import numpy as np
 import public_tokenizers
 import regex
 
-from lakepulse.llm.spans import concatenated, distinct
+from lakepulse.llm.spans import Distinct, concatenated
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _OTHER, _LETTER, _NUMBER, _WHITE = range(4)
@@ -92,6 +92,7 @@ class WordEncoder:
 
     def __init__(self, classes: np.ndarray, learn: Callable[[list[bytes], Cache], None], entries: int, size: int) -> None:
         self.classes, self.learn, self.words = classes, learn, Cache(entries, size)
+        self.distinct = Distinct()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each text has."""
@@ -100,7 +101,7 @@ class WordEncoder:
         starts, first = word_starts(texts, self.classes)
         items = np.frombuffer(raw, np.uint8)
         sizes = np.diff(starts, append=len(items))
-        kinds, kind = distinct(items, starts, sizes)
+        kinds, kind = self.distinct(items, starts, sizes)
         words = [raw[s : s + n] for s, n in zip(starts[kinds].tolist(), sizes[kinds].tolist(), strict=True)]
         self.learn([w for w in words if w not in self.words], self.words)
         ids, per_word = concatenated([self.words[w] for w in words], kind, 4)

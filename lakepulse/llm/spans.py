@@ -15,8 +15,9 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def _values(items: np.ndarray) -> np.ndarray:
-    x = (items.astype(np.uint64) + np.uint64(1)) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(29))) * _MIX
+    """A random-looking number for each byte."""
+    x = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(29))) * _MIX)[items]
 
 
 def inside(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -26,19 +27,30 @@ def inside(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - first, sizes) + np.arange(total)
 
 
-def distinct(items: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Distinct:
+    """Finds equal spans of bytes; keeps what depends on the number of bytes alone from call to call."""
+
+    def __init__(self) -> None:
+        self.forth = self.back = np.zeros(0, np.uint64)
+
+    def __call__(self, items: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(items) >= len(self.back):
+            self.forth, self.back = _powers(_BASE, len(items)), _powers(pow(_BASE, -1, 2**64), len(items) + 1)
+        return _distinct(items, starts, sizes, self.forth, self.back)
+
+
+def _distinct(items: np.ndarray, starts: np.ndarray, sizes: np.ndarray, forth: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the first span of each kind, and for each span the number of its kind.
 
     Spans are grouped by a polynomial hash from running sums, and then compared with the first of their kind item by
     item; should a hash have brought together different spans, they are told apart by their contents.
     """
     hashed = _values(items)
-    hashed *= _powers(_BASE, len(items))
+    hashed *= forth[: len(items)]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed, dtype=np.uint64)])
     del hashed
-    back = _powers(pow(_BASE, -1, 2**64), len(items) + 1)
     keys = (sums[starts + sizes] - sums[starts]) * back[starts]
-    del sums, back
+    del sums
     keys = (keys ^ (keys >> np.uint64(31))) * _MIX + sizes.astype(np.uint64)
     _, first, kind = np.unique(keys, return_index=True, return_inverse=True)
     same = (sizes[first][kind] == sizes).all()

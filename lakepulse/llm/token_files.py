@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,7 +37,7 @@ BLOCK_IDS = 1 << 16
 #: A file is closed behind the document that brings it to so many ids.
 FILE_IDS = 1 << 23
 #: Bounds of memory in a task: bytes of texts handled at a time, words that are remembered, ids handed on at a time.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 4_500_000
 CACHE_ENTRIES = 700_000
 CACHE_BYTES = 32_000_000
 READ_IDS = 1 << 21
@@ -145,7 +146,7 @@ def library_encoder(content: str, classes: np.ndarray) -> WordEncoder:
         for i in range(0, len(words), 50_000):
             part = words[i : i + 50_000]
             for word, found in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                cache.keep(word, np.array(found.ids, "<i4").tobytes())
+                cache.keep(word, array("i", found.ids).tobytes())
 
     return WordEncoder(classes, learn, CACHE_ENTRIES, CACHE_BYTES)
 
