@@ -43,3 +43,17 @@ def test_another_period(spark, tiny):
 def test_daily_metrics_view(spark, tiny):
     views.register_daily_metrics(fixture.mart_events(fixture.flat(spark, tiny)), AS_OF, min_year="2024")
     assert spark.sql("SELECT sum(total_events) n FROM daily_metrics").first().n == fixture.flat(spark, tiny).count()
+
+
+@pytest.mark.parametrize("name", views.EVENT_QUERIES)
+def test_event_queries_run_by_name(spark, tiny, name):
+    events = fixture.mart_events(fixture.flat(spark, tiny))
+    assert views.run(name, events, AS_OF).count() > 0
+    assert views.run(name, events, date(2030, 1, 1)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["response_trend_analysis", "new_vs_returning_users", "user_wellness_journey"])
+def test_the_day_bounds_what_is_read(spark, tiny, name):
+    flat = fixture.flat(spark, tiny)
+    assert views.run(name, flat, AS_OF).count() > 0
+    assert views.run(name, flat, date(2030, 1, 1)).count() == 0
