@@ -6,9 +6,6 @@ rows, one row for each byte. The recursive query joins neighbouring rows to the
 pair of minimum rank, contracts it, and goes on with the words that had such a pair. A word that is itself in the
 vocabulary is that token.
 
-Rows stay in the order of words and positions from step to step: the queries run in one thread and keep insertion
-order, so neighbours are found by ``lead`` without sorting; a row out of order would be an error.
-
 Words of over ``LONG_WORD`` bytes would need as many steps as bytes. For these, a step contracts every pair that no
 other contraction can reach first (see ``_LONG``), with the same result.
 
@@ -19,7 +16,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import partial
+from functools import cached_property, partial
 
 import duckdb
 import numpy as np
@@ -48,19 +45,16 @@ WITH RECURSIVE step(k, tok, live) AS (
   SELECT k, tok, true FROM start
   UNION ALL (
     WITH paired AS (
-      SELECT k, tok, lead(tok) OVER () AS right_tok, lead(k) OVER () AS right_k FROM step WHERE live
+      SELECT k, tok, lead(tok) OVER w AS right_tok, lead(k) OVER w AS right_k FROM step WHERE live WINDOW w AS (ORDER BY k)
     ),
     ranked AS MATERIALIZED (
-      SELECT k, tok, (merges.rank << 32) | (k & 4294967295) AS code
-      FROM paired LEFT JOIN merges ON merges.pair = CASE
-        WHEN right_k < k THEN error('rows out of order')::BIGINT
-        WHEN right_k >> 32 = k >> 32 THEN (tok::BIGINT << 32) | right_tok END
+      SELECT k, tok, right_k, (merges.rank << 32) | (k & 4294967295) AS code
+      FROM paired LEFT JOIN merges ON merges.pair =
+        CASE WHEN right_k >> 32 = k >> 32 THEN (tok::BIGINT << 32) | right_tok END
     ),
-    best AS (SELECT k >> 32 AS word, min(code) AS best FROM ranked GROUP BY ALL)
+    best AS (SELECT k >> 32 AS word, min(code) AS best, arg_min(right_k, code) AS taken FROM ranked GROUP BY ALL)
     SELECT k, CASE WHEN code = best THEN (best >> 32)::INTEGER ELSE tok END, best IS NOT NULL
-    FROM (
-      SELECT k, tok, code, best, lag(code = best) OVER () AS taken FROM ranked JOIN best ON word = k >> 32
-    ) WHERE taken IS NULL OR NOT taken
+    FROM ranked JOIN best ON word = k >> 32 WHERE taken IS NULL OR k <> taken
   )
 )
 SELECT k >> 32 AS word, list(tok ORDER BY k) AS ids FROM step WHERE NOT live GROUP BY word
@@ -116,7 +110,11 @@ class Vocabulary:
     def __init__(self, content: bytes) -> None:
         pairs = (line.split() for line in content.splitlines() if line)
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.starts = {token[:n] for token in self.ranks for n in range(1, len(token))}
+
+    @cached_property
+    def starts(self) -> set[bytes]:
+        """What longer tokens begin with; only needed for long words."""
+        return {token[:n] for token in self.ranks for n in range(1, len(token))}
 
     def longest_in(self, word: bytes) -> int:
         """The most bytes of a token that the word holds somewhere."""

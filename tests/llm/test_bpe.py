@@ -56,6 +56,16 @@ def test_encodes_as_the_library(merger, library):
         assert got == [library.encode_ordinary(t) for t in texts]
 
 
+def test_many_words_in_a_query(merger, library):
+    """So many that rows fill many of DuckDB's vectors; their order in between doesn't matter."""
+    rng = random.Random(5)
+    parts = "th er in tion on re st le ing ed an the ou sh wh ha".split()
+    words = sorted({" " + "".join(rng.choices(parts, k=rng.randint(1, 7))) for _ in range(40_000)})
+    cache = Cache(10**6, 10**9)
+    merger.learn([w.encode() for w in words], cache)
+    assert all(np.frombuffer(cache[w.encode()], "<i4").tolist() == library.encode_ordinary(w) for w in words)
+
+
 @pytest.mark.parametrize("letters", ["a", "ab", "the", "=-", "aehinorst", "abcdef0123456789", "é", "日本", " ", "ÃÂ"])
 def test_long_words(merger, library, letters):
     rng = random.Random(letters)
