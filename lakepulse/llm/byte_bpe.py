@@ -31,12 +31,12 @@ from lakepulse.llm.text import arrow_schema, documents, hex_digest, raw_texts
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes of words in a query, and entries and bytes of a cache. They bound memory; results don't depend on them.
-QUERY_BYTES = 400_000
-CACHE_ENTRIES = 700_000
-CACHE_BYTES = 32_000_000
+QUERY_BYTES = 200_000
+CACHE_ENTRIES = 300_000
+CACHE_BYTES = 14_000_000
 #: Bytes of texts that are handed on at a time.
-SLICE_BYTES = 3_000_000
-DUCKDB_MEMORY = "250MB"
+SLICE_BYTES = 1_500_000
+DUCKDB_MEMORY = "120MB"
 LONG_WORD = 300
 
 # k is the word's number and the position in the word; code is a pair's rank and its position.
