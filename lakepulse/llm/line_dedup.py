@@ -34,6 +34,8 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 #: Distinct hashes in a shard, at most about; a shard takes 17 bytes a key.
 SHARD_KEYS = 250_000
+#: Shards whose table of probe counts (two numbers a shard) is broadcast; with more of them it is joined.
+BROADCAST_SHARDS = 1_000_000
 #: Bits per key in a level of the perfect hash.
 GAMMA = 2
 
@@ -193,6 +195,8 @@ def lost_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         .agg(F.sum("n_docs").alias("probes"))
         .select("shard", F.ceil(F.col("probes") / fair).alias("parts"))
     )
+    if shards <= BROADCAST_SHARDS:
+        parts = F.broadcast(parts)
     index = (
         build_index(counted, shards)
         .join(parts, "shard")
