@@ -134,27 +134,46 @@ class Reader:
         return np.concatenate(out)[start - first * self.block_ids : end - first * self.block_ids]
 
 
-def library_encoder(content: str, classes: np.ndarray) -> WordEncoder:
-    """The tokenizers library on distinct words; its pre-tokenizer has the same pattern, so a text is its words."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
+class LibraryEncoder:
+    """What the tokenizers library gives for whole texts, by way of their distinct words.
 
-    tokenizer = Tokenizer.from_str(content)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    Its pre-tokenizer has the same pattern, so a text is its words. A text that holds the string of an added token is cut
+    there first; such texts are given to the library whole.
+    """
+
+    def __init__(self, content: str, classes: np.ndarray) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(content)
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
+        self.words = WordEncoder(classes, self._learn, CACHE_ENTRIES, CACHE_BYTES)
 
-    def learn(words: list[bytes], cache: Cache) -> None:
+    def _learn(self, words: list[bytes], cache: Cache) -> None:
         for i in range(0, len(words), 50_000):
             part = words[i : i + 50_000]
-            for word, found in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 cache.keep(word, array("i", found.ids).tobytes())
 
-    return WordEncoder(classes, learn, CACHE_ENTRIES, CACHE_BYTES)
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each text has."""
+        whole = {i for i, text in enumerate(texts) if any(x in text for x in self.added)}
+        if not whole:
+            return self.words.encode(texts)
+        flat, sizes = self.words.encode(["" if i in whole else text for i, text in enumerate(texts)])
+        ends = np.cumsum(sizes)
+        parts, sizes, before = [], sizes.copy(), 0
+        for i in sorted(whole):
+            ids = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, flat.dtype)
+            parts += [flat[before : ends[i]], ids]
+            sizes[i], before = len(ids), ends[i]
+        return np.concatenate([*parts, flat[before:]]), sizes
 
 
 def _write(shared, folder: str, end: int, file_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content, width, classes = shared.value
-        encoder = library_encoder(content, classes)
+        encoder = LibraryEncoder(content, classes)
         store, root = fs.FileSystem.from_uri(folder)
         part, written_files = TaskContext.get().partitionId(), 0
 
@@ -186,7 +205,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = END, f
     """Write the ids of all texts, each closed by ``end``, in ascending order of ``doc_id``; nulls come first.
 
     ``tokenizer`` is the path of a byte-level BPE's JSON file (read on the driver), ``folder`` one that all executors
-    reach. Returns a table of the files: ``part, file, path, n_docs, n_ids, start`` (ids of all files before). A null or
+    reach. The ids of a text are the library's for the whole text without special tokens added; the string of an added
+    token in a text is that token. Returns a table of the files: ``part, file, path, n_docs, n_ids, start`` (ids of all files before). A null or
     empty text has the closing id alone. Rows with the same id stand next to each other, ordered by a hash of their text;
     other columns are left out. An empty table gives no file.
     """

@@ -61,6 +61,20 @@ def test_files_hold_what_the_library_gives(spark, tmp_path):
     assert starts[-1][0] + starts[-1][1] == total
 
 
+def test_strings_of_added_tokens_are_those_tokens(spark, tmp_path):
+    path = public_tokenizers.path(t.VOCABULARY)
+    end = "<|endoftext|>"
+    texts = ["plain text", f"a{end}b", end, f"{end}{end} two", "none", "", f"It's {end[:-1]} and {end}\n\n über", f"last {end} one", "after it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    files = t.write_tokens(docs, path, str(tmp_path / "tokens"))
+    got = sorted(t.read_tokens(files, str(tmp_path / "tokens")).collect())
+    library = Tokenizer.from_file(path)
+    expected = [[*library.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert expected[1] == [64, 50256, 65, 0]
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in got] == expected
+    assert [r["start"] for r in got] == np.cumsum([0, *map(len, expected[:-1])]).tolist()
+
+
 def test_empty_table(spark, tmp_path):
     files = t.write_tokens(frame(spark, []), public_tokenizers.path(t.VOCABULARY), str(tmp_path / "none"))
     assert files.count() == 0 and t.read_tokens(files, str(tmp_path / "none")).count() == 0
