@@ -1,13 +1,15 @@
 """Licence notices in documents: a trained classifier of paragraphs, confirmed by templates.
 
-1. Paragraphs are the lines of a text that hold a word. Features are word n-grams (one to three words, lower-cased,
+1. Paragraphs are the lines of a text that hold a word; a notice may be wrapped over lines, so where a template's three words
+   are found, lines that follow each other are also scored together. Features are word n-grams (one to three words, lower-cased,
    punctuation dropped): those of the templates, and those that several of the sample's notices have.
 2. The classifier is a multinomial logistic regression with a class for each licence family and one for none of them. It is
    trained on templates, cut and framed in other words, and on a sample of paragraphs: those that hold a template's
    phrase are of its family, those that hold no n-gram of three words of any are of none.
 3. A held-out part of the sample calibrates it: a temperature makes its probabilities match what is found there, and
-   the smallest probability that keeps notices apart from other text becomes the threshold. Below it the answer is unknown.
-4. A predicted family is confirmed if a large part of one of its templates' n-grams is in the paragraph.
+   the smallest probability that keeps notices apart from other text becomes the threshold; another is set likewise on the probability of any notice.
+4. A predicted family is confirmed if a large part of one of its templates' n-grams is in the paragraph. A paragraph that is
+   a notice by its probability, but of no family that is sure and confirmed, is of family unknown.
 """
 
 from __future__ import annotations
@@ -51,9 +53,10 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.",
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "proprietary": ["Copyright. All rights reserved.", "Proprietary and confidential. Unauthorized copying is prohibited."],
+    "proprietary": ["Copyright. All rights reserved.", "All rights reserved.", "Proprietary and confidential. Unauthorized copying is prohibited."],
 }
 NONE = "none"
+UNKNOWN = "unknown"
 #: The sample: so many documents, and as many with a telling word; of each so many paragraphs of up to so many characters.
 #: The driver trains on no more than these, whatever the table's size.
 SAMPLE_DOCS = 1_000
@@ -90,6 +93,7 @@ class Model:
     weights: np.ndarray  # a row for each feature, the last one for the bias
     temperature: float
     threshold: float
+    doubt: float = 0.5  # probability of any notice from which a paragraph without a sure family is unknown
 
     def probabilities(self, scores: np.ndarray) -> np.ndarray:
         z = scores / self.temperature
@@ -180,6 +184,8 @@ def train(paragraphs: list[str]) -> Model:
     p = model.probabilities(held) if len(held) else np.zeros((0, len(classes)))
     wrong = p[:, :-1].max(axis=1)[(p[:, :-1].argmax(axis=1) != truth) if len(p) else []] if len(p) else np.zeros(0)
     model.threshold = float(min(0.95, max(0.5, 1.01 * wrong.max(initial=0.0))))
+    plainly = 1 - p[truth == classes.index(NONE), -1]
+    model.doubt = float(min(0.95, max(0.5, 1.01 * plainly.max(initial=0.0))))
     return model
 
 
@@ -202,8 +208,11 @@ def sample(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n: int = SAMPLE_PARAGRAPH
 class Scanner:
     """All paragraphs of many texts at once: words become numbers, and n-grams of known words are looked up sorted."""
 
-    def __init__(self, model: Model) -> None:
-        self.model, self.templates = model, template_ngrams()
+    def __init__(self, model: Model, confirmed: float = CONFIRMED) -> None:
+        self.model, self.templates, self.confirmed = model, template_ngrams(), confirmed
+        self.longest = max(len(words(t)) for ts in TEMPLATES.values() for t in ts)
+        three = {g for ts in self.templates.values() for t in ts for g in t if g.count(" ") == 2}
+        self.three = np.array([f in three for f in sorted(model.features, key=model.features.get)], bool)
         known = sorted({w for f in model.features for w in f.split(" ")})
         self.numbers = {w: i + 1 for i, w in enumerate(known)}
         base = len(known) + 1
@@ -239,15 +248,79 @@ class Scanner:
         both = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
         return both // (len(self.rows) + 1), both % (len(self.rows) + 1)
 
+    def _judged(self, grams: set[str], p: np.ndarray) -> tuple[str, float, float] | None:
+        """Family, probability and similarity; ``p`` has the classes' probabilities. None if it is no notice."""
+        best = int(p[:-1].argmax())
+        near = max(similarity(grams, t) for t in self.templates[self.model.classes[best]])
+        if p[best] >= self.model.threshold and near >= self.confirmed:
+            return self.model.classes[best], float(p[best]), near
+        if p[best] >= self.model.threshold or 1 - p[-1] >= self.model.doubt:
+            return UNKNOWN, float(1 - p[-1]), near
+        return None
+
+    def _nearest(self, tokens: list[list[str]]) -> float:
+        grams = ngrams([w for t in tokens for w in t])
+        return max(similarity(grams, t) for ts in self.templates.values() for t in ts)
+
+    def _wrapped(self, tokens: list[list[str]], block: np.ndarray, paragraph: np.ndarray, numbers: np.ndarray) -> Iterator[tuple[int, int, str, float, float]]:
+        """Notices over several lines: first and last line, family, probability, similarity.
+
+        Around each break that a template's three words cross or stand next to, lines are taken together as far as the
+        longest template reaches, and cut to those that the nearest template needs.
+        """
+        if not len(numbers) or not len(self.codes):
+            return
+        # Three words of a template, in one line or over breaks within a block.
+        m = len(numbers) - 2
+        if m < 1:
+            return
+        code = (numbers[:m] * self.base + numbers[1 : m + 1]) * self.base + numbers[2:]
+        ok = (numbers[:m] > 0) & (numbers[1 : m + 1] > 0) & (numbers[2:] > 0) & (block[paragraph[:m]] == block[paragraph[2:]])
+        at = np.flatnonzero(ok)
+        place = np.minimum(np.searchsorted(self.codes, code[at]), len(self.codes) - 1)
+        at = at[(self.codes[place] == code[at]) & self.three[self.rows[place]]]
+        seen, windows = set(), []
+        for s, e in sorted(set(zip(paragraph[at].tolist(), paragraph[at + 2].tolist(), strict=True))):
+            first, left = s, self.longest
+            while left > 0:
+                if first not in seen:
+                    seen.add(first)
+                    last, room = first, self.longest - 1
+                    while room > 0 and last + 1 < len(tokens) and block[last + 1] == block[first]:
+                        last += 1
+                        room -= len(tokens[last])
+                    if last > first:
+                        windows.append((first, last, e))
+                if first == 0 or block[first - 1] != block[s]:
+                    break
+                first -= 1
+                left -= len(tokens[first + 1]) if first + 1 < s else 0
+                if s - first >= self.longest:
+                    break
+        for first, last, _ in sorted(windows):
+            near = self._nearest(tokens[first : last + 1])
+            if near >= self.confirmed:
+                while last > first and self._nearest(tokens[first:last]) >= near:
+                    last -= 1
+                while last > first and self._nearest(tokens[first + 1 : last + 1]) >= near:
+                    first += 1
+            elif last > first:
+                last = first + 1
+            if last == first:
+                continue
+            grams = ngrams([w for t in tokens[first : last + 1] for w in t])
+            judged = self._judged(grams, self.model.probabilities(self.model.scores([grams]).astype(np.float64))[0])
+            if judged:
+                yield first, last, *judged
+
     def scan(self, texts: list[str]) -> list[tuple[int, list[tuple[int, str, float, float]]]]:
-        """For each text the number of paragraphs, and of those with a family its line, family, probability, similarity."""
+        """For each text the number of paragraphs, and for each notice its line, family, probability, similarity."""
         lines = [(i, k, line) for i, text in enumerate(texts) for k, line in enumerate(text.split("\n")) if line.strip()]
         tokens = [words(line) for _, _, line in lines]
         lines, tokens = [x for x, t in zip(lines, tokens, strict=True) if t], [t for t in tokens if t]
         counts = [0] * len(texts)
         for i, _, _ in lines:
             counts[i] += 1
-        found: list[list[tuple[int, str, float, float]]] = [[] for _ in texts]
         get = self.numbers.get
         numbers = np.array([get(w, 0) for t in tokens for w in t], np.int64)
         paragraph = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
@@ -255,15 +328,31 @@ class Scanner:
         touched, place = np.unique(which, return_inverse=True)
         scores = np.tile(self.model.weights[-1].astype(np.float64), (len(touched), 1))
         np.add.at(scores, place, self.model.weights[rows])
+        notices: dict[int, tuple[str, float, float]] = {}
         if len(touched):
-            p = self.model.probabilities(scores)[:, :-1]
-            best = p.argmax(axis=1)
-            for j in np.flatnonzero(p.max(axis=1) >= self.model.threshold):
-                family = self.model.classes[best[j]]
-                i, k, _ = lines[touched[j]]
-                grams = ngrams(tokens[touched[j]])
-                near = max(similarity(grams, t) for t in self.templates[family])
-                found[i].append((k, family, float(p[j, best[j]]), near))
+            p = self.model.probabilities(scores)
+            for j in np.flatnonzero((p[:, :-1].max(axis=1) >= self.model.threshold) | (1 - p[:, -1] >= self.model.doubt)):
+                judged = self._judged(ngrams(tokens[touched[j]]), p[j])
+                if judged:
+                    notices[int(touched[j])] = judged
+        # Lines with a word that follow each other are a block.
+        new = [j == 0 or lines[j - 1][0] != i or lines[j - 1][1] != k - 1 for j, (i, k, _) in enumerate(lines)]
+        joined = sorted(self._wrapped(tokens, np.cumsum(new), paragraph, numbers), key=lambda x: (x[2] == UNKNOWN, -x[4], x[0]))
+        taken: set[int] = set()
+        for first, last, family, probability, near in joined:
+            inside = range(first, last + 1)
+            if family == UNKNOWN:
+                if any(j in notices or j in taken for j in inside):
+                    continue
+            elif any(j in taken or notices.get(j, (UNKNOWN,))[0] != UNKNOWN for j in inside):
+                continue
+            for j in inside:
+                notices.pop(j, None)
+            taken.update(inside)
+            notices[first] = (family, probability, near)
+        found: list[list[tuple[int, str, float, float]]] = [[] for _ in texts]
+        for j in sorted(notices):
+            found[lines[j][0]].append((lines[j][1], *notices[j]))
         return list(zip(counts, found, strict=True))
 
 
@@ -271,7 +360,9 @@ def scan_licenses(docs: DataFrame, model: Model, confirmed: float = CONFIRMED) -
     """``doc_id, n_paragraphs, notices``: a row for each row of ``docs``, whole texts.
 
     ``notices`` are structs of ``line`` (from 0), ``family``, ``probability``, ``similarity`` (to the family's nearest
-    template) and ``confirmed``; paragraphs of class none or under the threshold aren't listed. Null and empty texts have
+    template) and ``confirmed``; a notice over several lines has its first. Family ``unknown`` (never confirmed; its probability
+    is that of any notice) is for notices whose family is under the threshold or not confirmed. Paragraphs of class none
+    aren't listed. Null and empty texts have
     no paragraphs. Repeated rows give repeated rows; other columns are left out. An empty table gives an empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(astuple(model))  # sized by the templates and the sample
@@ -281,14 +372,14 @@ def scan_licenses(docs: DataFrame, model: Model, confirmed: float = CONFIRMED) -
     )
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(Model(*shared.value))
+        scanner = Scanner(Model(*shared.value), confirmed)
         for whole in batches:
             given = [x or "" for x in whole.column("text").to_pylist()]
             for i, j in slices([len(x) + 1 for x in given], SLICE_CHARS):
                 found = scanner.scan(given[i:j])
                 notices = [
                     [
-                        {"line": k, "family": f, "probability": p, "similarity": s, "confirmed": s >= confirmed}
+                        {"line": k, "family": f, "probability": p, "similarity": s, "confirmed": f != UNKNOWN}
                         for k, f, p, s in rows
                     ]
                     for _, rows in found
@@ -309,6 +400,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_paragraphs",
         F.size("notices").cast("long").alias("n_notices"),
         F.size(sure).cast("long").alias("n_confirmed"),
+        F.size(F.filter("notices", lambda x: x["family"] == UNKNOWN)).cast("long").alias("n_unknown"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"),
         F.coalesce(F.array_max(F.transform(sure, lambda x: x["probability"])), F.lit(0.0)).alias("probability"),
     )

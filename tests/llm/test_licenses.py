@@ -47,6 +47,48 @@ def test_awkward_rows(spark, model):
     assert ls.train(ls.sample(frame(spark, []))).threshold >= 0.5
 
 
+@pytest.mark.parametrize(
+    "text, line, family",
+    [
+        ("All rights reserved.", 0, "proprietary"),
+        ("Copyright (c) 2020 Example Ltd. All rights reserved.", 0, "proprietary"),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that", 0, "BSD"),
+        ("First.\n\n# This program is free software: you can redistribute it\n# under the terms of the GNU General Public License.\n", 2, "GPL"),
+        ("A line of its own.\nThis program is free software:\nyou can redistribute it under\nthe terms of the GNU\nGeneral Public License.", 1, "GPL"),
+        ("Released under\nthe MIT License.", 0, "MIT"),
+    ],
+)
+def test_wrapped_headers_and_reserved_rights(model, text, line, family):
+    ((_, found),) = ls.Scanner(model).scan([text])
+    assert [(k, f) for k, f, _, s in found if s >= ls.CONFIRMED] == [(line, family)]
+    assert all(f == ls.UNKNOWN or s >= ls.CONFIRMED for _, f, _, s in found)
+
+
+def test_blank_lines_and_texts_part_notices(model):
+    for texts in (["Released under\n\nthe MIT License."], ["Released under", "the MIT License."]):
+        assert not [f for _, found in ls.Scanner(model).scan(texts) for f in found if f[1] == "MIT"]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Licensed under the Eclipse Public License, Version 2.0.",
+        "This work is licensed under the European Union Public License, version 1.2.",
+        "Released under the Boost Software License.",
+        "This work is licensed under the\nArtistic License.",
+    ],
+)
+def test_notices_of_other_families_are_unknown(spark, model, text):
+    ((_, found),) = ls.Scanner(model).scan([text])
+    assert found and {f for _, f, _, _ in found} == {ls.UNKNOWN}
+    ((row),) = ls.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    assert row["notices"] and not any(x["confirmed"] for x in row["notices"])
+
+
+def test_query_counts_unknown_notices(spark):
+    assert "n_unknown" in QUERIES["op3_license_scan"](spark, "/root/testdata/sf0.001").columns
+
+
 def test_query_finds_every_notice(spark):
     sf = "/root/testdata/sf0.01"
     got = QUERIES["op3_license_scan"](spark, sf).join(ls.documents(spark, sf).select("doc_id", "text"), "doc_id").collect()
