@@ -49,6 +49,12 @@ def quotient(part: str, whole: str, digits: int | None = 2, scale: int = 1) -> s
     return q if digits is None else rounded(q, digits)
 
 
+def mean(x: str, where: str = "") -> str:
+    """The mean of a double from an exact sum of whole millionths."""
+    total = f"sum(CAST(floor({x} * 1000000.0e0 + 0.5e0) AS HUGEINT)){where}"
+    return f"({quotient(total, f'count({x}){where}', None)} / 1000000.0e0)"
+
+
 def pct(part: str, whole: str, digits: int | None = 2) -> str:
     return quotient(part, whole, digits, 100)
 

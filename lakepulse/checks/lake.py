@@ -6,8 +6,8 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from lakepulse.checks.base import K, SOURCE, big, check, rounded, with_flat
-from lakepulse.functions.exprs import round_half_up
+from lakepulse.checks.base import K, SOURCE, big, check, mean, rounded, with_flat
+from lakepulse.functions.exprs import exact_mean, round_half_up
 from lakepulse.operators.flatten import flatten_events
 from lakepulse.operators.predicates import between_days
 from lakepulse.plans.mart import write_mart
@@ -210,7 +210,7 @@ def _(spark, sf):
     "src_metrics_csv",
     f"""
 SELECT event_type || '_usage' AS metric_name, 'web-0' || (user_id % 4) AS host, count(*) AS n, {big(f'sum({K}) FILTER (WHERE user_id IS NOT NULL)')} AS k_sum,
-    {rounded('avg(value)')} AS avg_value, max(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS newest
+    {rounded(mean('value'))} AS avg_value, max(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS newest
   FROM events GROUP BY ALL""",
 )
 def _(spark, sf):
@@ -221,7 +221,7 @@ def _(spark, sf):
     return rows.groupBy("metric_name", F.col("tags")["host"].alias("host")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("tags")["k"].cast("bigint")).alias("k_sum"),
-        round_half_up(F.avg("value"), 2).alias("avg_value"),
+        round_half_up(exact_mean("value"), 2).alias("avg_value"),
         F.max("timestamp").alias("newest"),
     )
 

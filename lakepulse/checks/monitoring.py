@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakepulse.checks.base import HTTP, K, MESSAGES, MS, big, check, rounded
+from lakepulse.checks.base import HTTP, K, MESSAGES, MS, big, check, mean, rounded
 from lakepulse.functions.exprs import round_half_up
 from lakepulse.plans import monitoring as m
 from lakepulse.sources.fixture import app_metrics, http_metrics, message_log, query_log
@@ -66,7 +66,7 @@ def _(spark, sf):
 @check(
     "alarm_low_engagement",
     alarm(
-        f"""WITH series AS (SELECT {window(MS, 900)}, avg(value) AS value FROM events
+        f"""WITH series AS (SELECT {window(MS, 900)}, {mean('value')} AS value FROM events
   WHERE event_type = 'view' GROUP BY 1)""",
         900,
         "value < 50",
@@ -126,11 +126,11 @@ def _(spark, sf):
 @check(
     "metric_dashboard_series",
     f"""WITH {HTTP}, api AS (
-  SELECT {window('ms', 300)}, count(*) AS requests, {rounded('avg(latency_s)', 6)} AS latency_avg,
+  SELECT {window('ms', 300)}, count(*) AS requests, {rounded(mean('latency_s'), 6)} AS latency_avg,
     quantile_disc(latency_s, 0.99) AS latency_p99, {big('sum(is_4xx)')} AS errors_4xx, {big('sum(is_5xx)')} AS errors_5xx
   FROM http GROUP BY 1
 ), app AS (
-  SELECT {window(MS, 300)}, {rounded("avg(value) FILTER (WHERE event_type = 'view')", 6)} AS engagement_avg,
+  SELECT {window(MS, 300)}, {rounded(mean('value', " FILTER (WHERE event_type = 'view')"), 6)} AS engagement_avg,
     count(*) FILTER (WHERE event_type = 'click') AS active_sessions
   FROM events GROUP BY 1
 ) SELECT * FROM api FULL JOIN app USING (window_start)""",

@@ -30,6 +30,21 @@ def ratio(part: Column | str, whole: Column | str, digits: int | None = 2, scale
     return value if digits is None else round_half_up(value, digits)
 
 
+def micros(c: Column | str) -> Column:
+    """A double in whole millionths, as a decimal: its sums don't depend on the order of the rows."""
+    return F.floor(col(c) * 1e6 + 0.5).cast("decimal(20,0)")
+
+
+def mean_of_micros(total: Column | str, n: Column | str) -> Column:
+    """The mean from a sum of ``micros`` and the number of values; NULL without any."""
+    return ratio(total, n, digits=None) / 1e6
+
+
+def exact_mean(c: Column | str) -> Column:
+    """Aggregate: the mean of a double, the same for any order and partitioning of the rows."""
+    return mean_of_micros(F.sum(micros(c)), F.count(col(c)))
+
+
 def percent(part: Column | str, whole: Column | str, digits: int | None = 2) -> Column:
     return ratio(part, whole, digits, 100.0)
 

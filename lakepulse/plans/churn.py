@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakepulse.functions.exprs import flag, label, percent, rank_of, round_half_up, tally
+from lakepulse.functions.exprs import exact_mean, flag, label, percent, rank_of, round_half_up, tally
 from lakepulse.operators.predicates import in_period
 from lakepulse.operators.rollups import device_days
 
@@ -82,7 +82,7 @@ def retention_churn(
     cohorts = users.groupBy(*keys).agg(
         everyone.alias("user_count"),
         *[
-            round_half_up(F.avg(source), 1).alias(name)
+            round_half_up(exact_mean(source) if source == "activity_consistency_percentage" else F.avg(source), 1).alias(name)
             for name, source in {
                 "avg_days_since_first_use": "days_since_first_use",
                 "avg_days_since_last_activity": "days_since_last_activity",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakepulse.functions.exprs import DAY_MS, flag, is_event, ratio, round_half_up, tally
+from lakepulse.functions.exprs import DAY_MS, flag, is_event, mean_of_micros, micros, ratio, round_half_up, tally
 from lakepulse.operators.predicates import since_ms
 from lakepulse.operators.rollups import most_common
 from lakepulse.session import written
@@ -21,14 +21,14 @@ VALUES = ["event_type", "event_name", "screen_name", "app_version", "country", "
 
 
 def facts(events: DataFrame, as_of: date, days: int = 90, min_year: str | None = None) -> DataFrame:
-    """Events counted by day, user, session and every reported value, with duration sums and the first and last time.
+    """Events counted by day, user, session and every reported value, with exact duration sums and the first and last time.
 
     Everything in the mart but the percentiles follows from this table, so raw events are read once for it.
     """
     rows = events.where(since_ms(as_of, days, min_year=min_year))
     return rows.groupBy(*DAY, _day_number().alias("d"), "user_id", "session_id", *VALUES).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("duration").alias("duration_sum"),
+        F.sum(micros("duration")).alias("duration_sum"),
         F.count("duration").alias("duration_n"),
         F.min("ts_ms").alias("oldest"),
         F.max("ts_ms").alias("newest"),
@@ -121,10 +121,10 @@ def aggregates_of(counted: DataFrame, medians: DataFrame) -> DataFrame:
     counts = ["unique_screens_accessed", "unique_events_triggered", "app_versions_active", "countries_active"]
     return joined.fillna(0, subset=counts).select(
         *DAY, "daily_active_users", "new_users", "total_sessions", "total_events",
-        ratio("duration_sum", "duration_n", digits=None).alias("avg_session_duration"), "median_session_duration", "unique_screens_accessed", "unique_events_triggered", "premium_users",
+        mean_of_micros("duration_sum", "duration_n").alias("avg_session_duration"), "median_session_duration", "unique_screens_accessed", "unique_events_triggered", "premium_users",
         "free_users", "iphone_users", "ipad_users", "android_users", "app_versions_active",
         "most_common_app_version", "countries_active", "most_common_country", *kind,
-        ratio("load_sum", "load_n", digits=None).alias("avg_performance_load_time"), "p95_performance_load_time",
+        mean_of_micros("load_sum", "load_n").alias("avg_performance_load_time"), "p95_performance_load_time",
         rate("errors", "total_events").alias("error_rate_percent"),
         rate("crashes", "total_sessions").alias("crash_rate_percent"),
     )
@@ -173,21 +173,22 @@ def first_open_returns(events: DataFrame, as_of: date, days: int = 90, min_year:
 
 def daily_retention(events: DataFrame, as_of: date, days: int = 90, min_year: str | None = None) -> DataFrame:
     """Per day of first open: users, and how many of them came back 1, 7 and 30 days later."""
-    return retention_of(facts(events, as_of, days, min_year))
+    rows = events.where(since_ms(as_of, days, min_year=min_year))
+    return retention_of(rows.withColumn("d", _day_number()), "ts_ms", "ts_ms")
 
 
-def retention_of(counted: DataFrame) -> DataFrame:
-    """Retention from ``facts``.
+def retention_of(rows: DataFrame, oldest: str = "oldest", newest: str = "newest") -> DataFrame:
+    """Retention from ``facts``, or from events with their day number ``d`` and time.
 
     Of a user's first opens within one day only the earliest and the latest can decide, so one table
-    of (user, day) spans serves both sides: one scan, and no join.
+    of (user, day) spans serves both sides: one scan, and no join. Only user and day are shuffled.
     """
     opened = is_event("first_open")
-    spans = counted.groupBy("user_id", "d", *DAY).agg(
-        F.min("oldest").alias("oldest"),
-        F.max("newest").alias("newest"),
-        F.min(F.when(opened, F.col("oldest"))).alias("first"),
-        F.max(F.when(opened, F.col("newest"))).alias("last"),
+    spans = rows.groupBy("user_id", "d", *DAY).agg(
+        F.min(oldest).alias("oldest"),
+        F.max(newest).alias("newest"),
+        F.min(F.when(opened, F.col(oldest))).alias("first"),
+        F.max(F.when(opened, F.col(newest))).alias("last"),
     )
     opens = _return_windows(spans).where(F.col("first").isNotNull())
     users = opens.groupBy(*DAY, "user_id").agg(
@@ -203,12 +204,13 @@ def top_feature_rows(
     events: DataFrame, as_of: date, n: int = 10, days: int = 90, min_year: str | None = None
 ) -> DataFrame:
     """The ``n`` most used features of each day, one row each."""
-    return feature_rows_of(facts(events.where(is_event("feature_usage")), as_of, days, min_year), n)
+    return feature_rows_of(events.where(since_ms(as_of, days, min_year=min_year)), n, F.lit(1))
 
 
-def feature_rows_of(counted: DataFrame, n: int = 10) -> DataFrame:
-    used = counted.where(is_event("feature_usage"))
-    compact = used.groupBy(*DAY, "event_name", "user_id").agg(F.sum("n").alias("n"))
+def feature_rows_of(rows: DataFrame, n: int = 10, count: Column | str = "n") -> DataFrame:
+    """The same from ``facts``, or from events that count once each."""
+    used = rows.where(is_event("feature_usage"))
+    compact = used.groupBy(*DAY, "event_name", "user_id").agg(F.sum(count).alias("n"))
     features = compact.groupBy(*DAY, "event_name").agg(
         F.sum("n").alias("usage_count"), F.count("user_id").alias("unique_users")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakepulse.functions.exprs import ratio
+from lakepulse.functions.exprs import exact_mean, ratio
 from lakepulse.operators.alarms import alarm_states, fill_windows, window_series
 
 # Alarm thresholds.
@@ -34,7 +34,7 @@ def alarm_response_time_p99(http: DataFrame, threshold: float = RESPONSE_P99_SEC
 
 
 def alarm_low_engagement(app: DataFrame, threshold: float = ENGAGEMENT_SCORE, n_periods: int = 4) -> DataFrame:
-    series = window_series(app.where(F.col("engagement").isNotNull()), "ms", 900, [], value=F.avg("engagement"))
+    series = window_series(app.where(F.col("engagement").isNotNull()), "ms", 900, [], value=exact_mean("engagement"))
     return alarm_states(series, 900, "<", threshold, n_periods, missing="notBreaching")
 
 
@@ -51,13 +51,13 @@ def dashboard_series(http: DataFrame, app: DataFrame, period_s: int = 300) -> Da
         period_s,
         [],
         requests=F.count(F.lit(1)),
-        latency_avg=F.avg("latency_s"),
+        latency_avg=exact_mean("latency_s"),
         latency_p99=F.percentile_approx("latency_s", 0.99),
         errors_4xx=F.sum("is_4xx"),
         errors_5xx=F.sum("is_5xx"),
     )
     usage = window_series(
-        app, "ms", period_s, [], engagement_avg=F.avg("engagement"), active_sessions=F.sum("sessions")
+        app, "ms", period_s, [], engagement_avg=exact_mean("engagement"), active_sessions=F.sum("sessions")
     )
     return api.join(usage, "window_start", "full")
 
@@ -131,7 +131,7 @@ def queue_health(log: DataFrame, period_s: int = 300) -> DataFrame:
     )
     queue = Window.partitionBy("queue")
     run = queue.orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
-    later = queue.orderBy("window_start").rowsBetween(1, Window.unboundedFollowing)
+    later = queue.orderBy(F.desc("window_start")).rowsBetween(Window.unboundedPreceding, -1)  # grows by one row a step
     end = F.col("window_start") + period_s * 1000
     # least() skips NULL
     oldest = F.least(F.min("gone_oldest").over(later), F.min("stays_oldest").over(queue))

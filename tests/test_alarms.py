@@ -1,6 +1,9 @@
 """Alarm streaks, gaps and queue series."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from lakepulse.operators.alarms import alarm_states
 from lakepulse.plans import monitoring as m
@@ -121,3 +124,20 @@ def test_health_of_a_backlog_has_a_row_for_each_window(spark):
         assert r["oldest_age_ms"] == end - min(waiting)
     plan = queue_health(log, 60)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate explode(sequence") == 1 and "Join" not in plan
+
+
+def test_health_is_linear_in_the_windows(spark):
+    """A year's windows of one queue, and more: a frame that is computed anew for each row would take minutes."""
+    n = 150_000
+    rows = spark.range(n).select(
+        F.lit("q").alias("queue"),
+        F.col("id").cast("string").alias("message_id"),
+        (F.col("id") * 300_000).alias("sent_ms"),
+        (F.col("id") * 300_000 + 1).alias("received_ms"),
+        (F.col("id") * 300_000 + 900_000).alias("deleted_ms"),
+        F.lit(None).cast("bigint").alias("dead_ms"),
+    )
+    began = time.monotonic()
+    got = m.queue_health(rows).agg(F.count(F.lit(1)).alias("n"), F.max("oldest_age_ms").alias("age"), F.max("depth").alias("depth")).first()
+    assert tuple(got) == (n + 3, 900_000, 3)
+    assert time.monotonic() - began < 60

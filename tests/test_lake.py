@@ -179,7 +179,7 @@ def test_scratch_is_the_folder_the_cluster_names(spark, tmp_path, monkeypatch):
     class Session:
         conf, sparkContext = Conf(), Context()
 
-    assert scratch(Session(), "x").startswith("hdfs://shared/dir/lakepulse/x-")
+    assert scratch(Session(), "x").startswith("hdfs://shared/dir/lakepulse/app/x-")
     settings.clear()
     with pytest.raises(RuntimeError):
         scratch(Session(), "x")

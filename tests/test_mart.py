@@ -113,3 +113,21 @@ def test_refresh_replaces_only_the_days_it_holds(spark, tmp_path, mart_of):
     got = spark.read.schema(two.schema).parquet(path).orderBy("day").collect()
     assert [(r.day, r.daily_active_users) for r in got] == [("02", 2), ("03", 1)]
     assert got[0].year == "2024"
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 8, 16, 200])
+def test_averages_do_not_depend_on_the_shuffle(spark, mart_of, partitions):
+    """Sums of doubles would: these round differently at a tie, depending on their order."""
+    rng = random.Random(3)
+    events = [
+        {"user_id": f"u{i % 17}", "session_id": f"s{i % 40}", "event_type": "performance", "ts_ms": T0 + i * 1000, "duration": rng.choice([0.1, 0.2, 0.7, 3.3, 1e5 + 0.01])}
+        for i in range(800)
+    ]
+    total = sum(round(e["duration"] * 10**6) for e in events)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        daily = mart.daily_aggregates(mart_of(events).repartition(partitions), AS_OF).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [r.avg_session_duration for r in daily] == [float(total) / 800 / 1e6] == [r.avg_performance_load_time for r in daily]

@@ -78,6 +78,23 @@ def test_single_pass_analyses(lake):
         assert len(scans(f(lake, AS_OF))) == 1
 
 
+@pytest.mark.parametrize(
+    ("analysis", "columns"),
+    [
+        (mart.daily_retention, {"user_id", "event_type", "ts_ms", "year", "month", "day"}),
+        (mart.daily_top_features, {"user_id", "event_type", "event_name", "ts_ms", "year", "month", "day"}),
+    ],
+)
+def test_retention_and_features_read_and_shuffle_their_own_columns(spark, tiny, tmp_path, analysis, columns):
+    events = fixture.mart_events(fixture.flat(spark, tiny))
+    events.write.partitionBy("year", "month", "day").parquet(str(tmp_path / "events"))
+    df = analysis(spark.read.schema(events.schema).parquet(str(tmp_path / "events")), AS_OF)
+    text = plan(df)
+    read = [set(re.findall(r"(\w+):", x)) for x in re.findall(r"ReadSchema: struct<(.*?)>", text)]
+    assert len(read) == 1 and read[0] <= columns
+    assert "country" not in text and "app_version" not in text
+
+
 def test_retention_needs_no_join(spark, tiny):
     text = plan(mart.daily_retention(fixture.mart_events(fixture.flat(spark, tiny)), AS_OF))
     assert "Join" not in text and text.count("FileScan") == 1
