@@ -47,7 +47,6 @@ def test_files_hold_what_the_library_gives(spark, tmp_path):
     for r in t.read_tokens(files, str(tmp_path / "tokens"), most=1_000).collect():
         got.setdefault(r["doc_id"], []).append((r["start"], r["n_tokens"], zlib.crc32(r["ids"])))
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     expected, total = {}, 0
     for doc_id, text, *_ in awkward():
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
