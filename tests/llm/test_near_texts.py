@@ -10,6 +10,7 @@ import corpus_pipeline
 from lakepulse.llm import near_texts as n
 from lakepulse.llm import quality_rules as q
 from lakepulse.llm.text import documents
+from lakepulse.session import written
 
 
 def _set(text, k=5):
@@ -56,13 +57,77 @@ def _copies(seed, count):
     return out
 
 
-@pytest.mark.parametrize("tile", [n.TILE, 4])
+@pytest.mark.parametrize("tile", [n.TILE, 2_000, 500])
 def test_equals_comparing_all_pairs(spark, tile):
     docs = _copies(1, 150)
     got = n.near_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), tile=tile).collect()
     assert sorted(map(tuple, got)) == sorted(groups(docs))
 
 
+def _far_copies(count, seed=2):
+    """Copies of one text with so many words changed that few pairs are alike."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(150)]
+    pool = [f"x{k}" for k in range(40)]
+    out = []
+    for i in range(count):
+        words = list(base)
+        for _ in range(rng.randint(3, 9)):
+            words[rng.randrange(150)] = rng.choice(pool)
+        out.append((i, " ".join(words)))
+    return out
+
+
+def test_rows_between_steps_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    def rows_written(count):
+        most = []
+
+        def counted(df, name):
+            back = written(df, name)
+            most.append((back.count(), name))
+            return back
+
+        monkeypatch.setattr(n, "written", counted)
+        docs = _far_copies(count)
+        got = n.near_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+        if count == 200:
+            assert sorted(map(tuple, got)) == sorted(groups(docs))
+        return max(most)[0], sum(k for k, _ in most)
+
+    small, large = rows_written(200), rows_written(800)
+    # four times the copies; a square would be sixteen times (shared bands grow towards all bands)
+    assert large[0] <= 6 * small[0] and large[1] <= 6 * small[1]
+    assert large[0] <= 800 * n.BANDS
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_forest_links_connect_what_any_link_would(seed):
+    rng = np.random.default_rng(seed)
+    base = [rng.integers(0, 2**64, int(rng.integers(5, 80)), np.uint64) for _ in range(5)]
+    sets = []
+    for _ in range(60):
+        chosen = base[rng.integers(5)]
+        some = chosen[rng.random(len(chosen)) < rng.choice([0.8, 0.9, 0.97, 1.0])]
+        sets.append(np.unique(np.concatenate([some, chosen[:1], rng.integers(0, 50, int(rng.integers(0, 6)), np.uint64)])))
+    labels = rng.integers(0, 50, 60) if seed % 2 else np.arange(60)
+    sides = rng.integers(0, 2, 60) if seed % 3 == 2 else None
+    found = n.forest_links(np.concatenate(sets), np.array([len(x) for x in sets]), labels, sides, 0.8)
+
+    def alike(i, j):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        return 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both)
+
+    def partition(links):
+        root = np.unique(labels, return_inverse=True)[1]
+        for a, b in links:
+            root[root == root[a]] = root[b]
+        return {frozenset(np.flatnonzero(root == r).tolist()) for r in set(root.tolist())}
+
+    every = [(i, j) for i in range(60) for j in range(i) if (sides is None or sides[i] != sides[j]) and alike(i, j)]
+    assert all(alike(i, j) for i, j in found) and len(found) < 60
+    assert partition(found) == partition(every)
+
+
 def test_awkward_rows(spark):
     got = [tuple(r) for r in n.near_texts(frame(spark)).collect()]
     assert sorted(got, key=repr) == sorted(groups([(r[0], r[1]) for r in awkward()]), key=repr)

@@ -7,6 +7,7 @@ import tiktoken
 from brute import components, exact, line_dedup, quality, sha
 from cases import awkward, frame, split_words
 from test_mixing import raked
+from test_near_texts import groups
 
 import corpus_pipeline
 from lakepulse.llm import mixing, quality_rules
@@ -25,7 +26,7 @@ def test_pipeline_equals_brute_force(spark, tiny, docs):
     of = {d: (lang, source) for d, _, lang, source in docs}
     now = [(d, t) for d, t, *_ in docs if quality(t, quality_rules.MAX_COVERED, quality_rules.MAX_LINE_COPIES)[-1]]
     now = [(d, t) for d, _, _, t in line_dedup(now)]
-    stay = {d for d, _, least in components(now) if d == least}
+    stay = {d for d, least in groups(now) if d == least}
     now = [(d, t) for d, t in now if d in stay]
     table = spark.createDataFrame([(d, t, *of[d]) for d, t in now], "doc_id long, text string, lang string, source string")
     marked = {r["doc_id"]: r for r in mixing.mix(table).collect()}
