@@ -14,6 +14,7 @@ from lakepulse.llm.line_dedup import OP1_SQL, op1_line_dedup
 from lakepulse.llm.mixing import op8_mixing
 from lakepulse.llm.quality_rules import op4_quality_rules
 from lakepulse.llm.simhash import op10_simhash
+from lakepulse.llm.token_alignment import op11_token_alignment
 from lakepulse.llm.token_files import op6_token_files
 from lakepulse.llm.url_filter import OP7_SQL, op7_url_filter
 
@@ -28,6 +29,7 @@ _ALL = [
     op8_mixing,
     op9_exact_dedup,
     op10_simhash,
+    op11_token_alignment,
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
