@@ -17,6 +17,7 @@ from lakepulse.llm.simhash import op10_simhash
 from lakepulse.llm.token_alignment import op11_token_alignment
 from lakepulse.llm.token_files import op6_token_files
 from lakepulse.llm.url_filter import OP7_SQL, op7_url_filter
+from lakepulse.llm.vector_codes import OP12_SQL, op12_vector_codes
 
 _ALL = [
     op1_line_dedup,
@@ -30,7 +31,13 @@ _ALL = [
     op9_exact_dedup,
     op10_simhash,
     op11_token_alignment,
+    op12_vector_codes,
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op7_url_filter": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
+    "op7_url_filter": OP7_SQL,
+    "op9_exact_dedup": OP9_SQL,
+    "op12_vector_codes": OP12_SQL,
+}
