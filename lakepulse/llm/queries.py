@@ -12,6 +12,7 @@ from lakepulse.llm.language_id import op2_language_id
 from lakepulse.llm.license_scan import op3_license_scan
 from lakepulse.llm.line_dedup import OP1_SQL, op1_line_dedup
 from lakepulse.llm.mixing import op8_mixing
+from lakepulse.llm.personal_data import op13_personal_data
 from lakepulse.llm.quality_rules import op4_quality_rules
 from lakepulse.llm.simhash import op10_simhash
 from lakepulse.llm.token_alignment import op11_token_alignment
@@ -32,6 +33,7 @@ _ALL = [
     op10_simhash,
     op11_token_alignment,
     op12_vector_codes,
+    op13_personal_data,
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
