@@ -11,10 +11,12 @@ The ids before a file are a running sum over that table, which has a row for eac
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import uuid
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakepulse.llm.pretokens import Cache, WordEncoder, class_table, slices
+from lakepulse.llm.pretokens import Cache, WordEncoder, class_table, slices, word_starts
 from lakepulse.llm.text import documents, raw_texts
 from lakepulse.session import scratch, written
 
@@ -37,10 +39,15 @@ BLOCK_IDS = 1 << 16
 #: A file is closed behind the document that brings it to so many ids.
 FILE_IDS = 1 << 23
 #: Bounds of memory in a task: bytes of texts handled at a time, words that are remembered, ids handed on at a time.
-SLICE_BYTES = 4_500_000
+SLICE_BYTES = 3_000_000
 CACHE_ENTRIES = 700_000
 CACHE_BYTES = 32_000_000
 READ_IDS = 1 << 21
+#: Words that tasks know from the start: the most frequent ones of a bounded sample, the beginnings of the documents with the
+#: smallest hashes of their ids. They save time; all other words are encoded where they occur.
+KNOWN_WORDS = 80_000
+SAMPLE_DOCS = 3_000
+SAMPLE_CHARS = 3_000
 
 _HEADER = "<4sHHIQQ"
 _MAGIC, _VERSION = b"TIDS", 1
@@ -134,6 +141,20 @@ class Reader:
         return np.concatenate(out)[start - first * self.block_ids : end - first * self.block_ids]
 
 
+class KnownWords(Cache):
+    """A cache that begins with given words, and does so again when it is emptied."""
+
+    def __init__(self, known: dict[bytes, bytes], entries: int, size: int) -> None:
+        super().__init__(entries, size)
+        self.known = known
+        self.update(known)
+
+    def trim(self) -> None:
+        super().trim()
+        if not self:
+            self.update(self.known)
+
+
 class LibraryEncoder:
     """What the tokenizers library gives for whole texts, by way of their distinct words.
 
@@ -141,13 +162,14 @@ class LibraryEncoder:
     there first; such texts are given to the library whole.
     """
 
-    def __init__(self, content: str, classes: np.ndarray) -> None:
+    def __init__(self, content: str, classes: np.ndarray, known: dict[bytes, bytes] | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
         self.words = WordEncoder(classes, self._learn, CACHE_ENTRIES, CACHE_BYTES)
+        self.words.words = KnownWords(known or {}, CACHE_ENTRIES, CACHE_BYTES)
 
     def _learn(self, words: list[bytes], cache: Cache) -> None:
         for i in range(0, len(words), 50_000):
@@ -155,6 +177,15 @@ class LibraryEncoder:
             for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 cache.keep(word, array("i", found.ids).tobytes())
 
+    def frequent(self, texts: list[str], most: int) -> dict[bytes, bytes]:
+        """The ids of the texts' most frequent words."""
+        starts, _ = word_starts(texts, self.words.classes)
+        raw = "".join(texts).encode()
+        counts = Counter(raw[a:b] for a, b in itertools.pairwise([*starts.tolist(), len(raw)]))
+        found = Cache(0, 0)
+        self._learn([w for w, _ in counts.most_common(most)], found)
+        return dict(found)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each text has."""
         whole = {i for i, text in enumerate(texts) if any(x in text for x in self.added)}
@@ -172,8 +203,8 @@ class LibraryEncoder:
 
 def _write(shared, folder: str, end: int, file_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        content, width, classes = shared.value
-        encoder = LibraryEncoder(content, classes)
+        content, width, classes, known = shared.value
+        encoder = LibraryEncoder(content, classes, known)
         store, root = fs.FileSystem.from_uri(folder)
         part, written_files = TaskContext.get().partitionId(), 0
 
@@ -201,6 +232,11 @@ def _write(shared, folder: str, end: int, file_ids: int):
     return write
 
 
+def _sample(docs: DataFrame) -> list[str]:
+    part = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("t"), F.xxhash64("doc_id").alias("place")).where("t IS NOT NULL")
+    return [r["t"] for r in part.orderBy("place", "t").limit(SAMPLE_DOCS).select("t").collect()]
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = END, file_ids: int = FILE_IDS) -> DataFrame:
     """Write the ids of all texts, each closed by ``end``, in ascending order of ``doc_id``; nulls come first.
 
@@ -221,7 +257,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = END, f
         raise ValueError("only plain byte-level tokenizers are cut into words here")
     added = [t["id"] for t in settings["added_tokens"]]
     size = max([*settings["model"]["vocab"].values(), *added, end]) + 1
-    shared = spark.sparkContext.broadcast((content, width_of(size), class_table()))
+    classes = class_table()
+    known = LibraryEncoder(content, classes).frequent(_sample(docs), KNOWN_WORDS)
+    shared = spark.sparkContext.broadcast((content, width_of(size), classes, known))
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,6 +8,7 @@ from pyarrow import fs
 from tokenizers import Tokenizer
 
 from lakepulse.llm import token_files as t
+from lakepulse.llm.pretokens import class_table
 
 
 @pytest.mark.parametrize("width", [1, 3, 7, 8, 13, 16, 17, 31, 32])
@@ -77,3 +78,20 @@ def test_strings_of_added_tokens_are_those_tokens(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     files = t.write_tokens(frame(spark, []), public_tokenizers.path(t.VOCABULARY), str(tmp_path / "none"))
     assert files.count() == 0 and t.read_tokens(files, str(tmp_path / "none")).count() == 0
+
+
+def test_known_words_stay_when_the_cache_is_emptied(monkeypatch):
+    with open(public_tokenizers.path(t.VOCABULARY), encoding="utf-8") as file:
+        content = file.read()
+    monkeypatch.setattr(t, "CACHE_ENTRIES", 20)
+    classes = class_table()
+    texts = ["It's the same the same the end", " of it", "unheard-of words: " + " ".join(f"w{i}" for i in range(60))]
+    known = t.LibraryEncoder(content, classes).frequent(texts[:2], 4)
+    assert set(known) <= {b" the", b" same", b"It", b"'s", b" end", b" of", b" it"} and b" the" in known
+    encoder = t.LibraryEncoder(content, classes, known)
+    library = Tokenizer.from_str(content)
+    for text in [*texts, *texts]:
+        ids, sizes = encoder.encode([text, ""])
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and sizes.tolist() == [len(ids), 0]
+        encoder.words.words.trim()
+        assert known.items() <= encoder.words.words.items()
