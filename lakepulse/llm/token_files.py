@@ -43,13 +43,14 @@ SLICE_BYTES = 3_000_000
 CACHE_ENTRIES = 700_000
 CACHE_BYTES = 32_000_000
 READ_IDS = 1 << 21
-#: Words that tasks know from the start: the most frequent ones of a bounded sample, the beginnings of the documents with the
-#: smallest hashes of their ids. They save time; all other words are encoded where they occur.
-KNOWN_WORDS = 80_000
+#: Words that tasks know from the start: the most frequent ones in the beginnings of some documents, whichever come first. They
+#: save time; all other words are encoded where they occur, so ids don't depend on the choice.
+KNOWN_WORDS = 150_000
 SAMPLE_DOCS = 3_000
 SAMPLE_CHARS = 3_000
 
 _HEADER = "<4sHHIQQ"
+_PLAIN = frozenset(bytes([b]) for b in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _MAGIC, _VERSION = b"TIDS", 1
 _MANIFEST = "part int, file int, path string, n_docs long, n_ids long"
 
@@ -168,12 +169,29 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_str(content)
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = [len(token) for token in vocabulary]  # a character stands for a byte
         self.words = WordEncoder(classes, self._learn, CACHE_ENTRIES, CACHE_BYTES)
         self.words.words = KnownWords(known or {}, CACHE_ENTRIES, CACHE_BYTES)
 
     def _learn(self, words: list[bytes], cache: Cache) -> None:
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
+        """A space and a plain letter or digit begin a word wherever they stand, so such words are encoded as one text."""
+        plain, others = [], []
+        for word in words:
+            (plain if word[:1] == b" " and word[1:2] in _PLAIN else others).append(word)
+        for i in range(0, len(plain), 20_000):
+            part = plain[i : i + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, "<i4")
+            ends, word_ends = np.cumsum(self.sizes[ids]), np.cumsum([len(w) for w in part])
+            last = np.searchsorted(ends, word_ends) + 1
+            if not np.array_equal(ends[last - 1], word_ends):
+                raise AssertionError("a token spans two words")
+            raw, cuts = ids.tobytes(), (4 * np.concatenate([[0], last])).tolist()
+            for word, a, b in zip(part, cuts, cuts[1:], strict=False):
+                cache.keep(word, raw[a:b])
+        for i in range(0, len(others), 50_000):
+            part = others[i : i + 50_000]
             for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 cache.keep(word, array("i", found.ids).tobytes())
 
@@ -233,8 +251,8 @@ def _write(shared, folder: str, end: int, file_ids: int):
 
 
 def _sample(docs: DataFrame) -> list[str]:
-    part = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("t"), F.xxhash64("doc_id").alias("place")).where("t IS NOT NULL")
-    return [r["t"] for r in part.orderBy("place", "t").limit(SAMPLE_DOCS).select("t").collect()]
+    part = docs.where("text IS NOT NULL").limit(SAMPLE_DOCS).select(F.substring("text", 1, SAMPLE_CHARS).alias("t"))
+    return [r["t"] for r in part.collect()]
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = END, file_ids: int = FILE_IDS) -> DataFrame:
