@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lakepulse.checks.base import HTTP, check, with_flat, with_messages
 from lakepulse.checks.lake import DAY, LANDED, landed_batches
@@ -16,7 +17,7 @@ from lakepulse.sources.schemas import DAILY
 from lakepulse.sources.schemas import MESSAGES as MESSAGE_SCHEMA
 from lakepulse.sources.sinks import land_once
 from lakepulse.streaming import lake as lake_streams
-from lakepulse.streaming import queues
+from lakepulse.streaming import queues, reorder
 
 BODY = "event_id bigint, user_id bigint"
 
@@ -36,33 +37,68 @@ def _to_files(spark, name, stream, keys=None):
     return path
 
 
+PIECES = 4
+
+
+def _arriving(spark, sf):
+    """A stream of one file an epoch, in order of arrival."""
+
+    def land(path):
+        rows = fixture.late_messages(spark, sf, PIECES)
+        for piece in range(PIECES):  # one after the other: a file's time is its place in the stream
+            rows.where(F.col("piece") == piece).drop("piece").coalesce(1).write.parquet(f"{path}/in/{piece}")
+
+    return queues.read_messages(spark, land_once(spark, LANDED, ("late-messages", "stream", sf), land), files_per_batch=1)
+
+
+def _released(spark, sf, name, sink):
+    """What a sink releases of the arriving messages, with the rest of what waits at the end."""
+    path = scratch(spark, name)
+    queues.run_batches(_arriving(spark, sf), scratch(spark, f"{name}-checkpoint"), sink(path))
+    reorder.flush(spark, sink(path, everything=True), path)
+    return f"{path}/messages"
+
+
+# Messages sent once more after 4, 8 and 12 minutes.
+LATE = """
+, late AS (
+  SELECT * REPLACE (CASE WHEN a = 0 THEN message_id ELSE message_id || '_again' || a END AS message_id, sent_ms + a * 240000 AS sent_ms)
+  FROM (SELECT *, unnest(CASE WHEN event_id % 20 = 3 AND message_id LIKE '%\\_0' ESCAPE '\\' THEN [0, 1, 2, 3] ELSE [0] END) AS a FROM messages)
+)"""
+
+
 @check(
     "stream_content_dedup",
-    with_messages("""
-, keyed AS (
-  SELECT *, coalesce(dedup_id, CASE WHEN queue = 'analytics' THEN sha256(body) END, message_id) AS key FROM messages
-), spaced AS (
-  SELECT *, sent_ms - lag(sent_ms) OVER (PARTITION BY queue, key ORDER BY sent_ms, message_id) AS gap FROM keyed
-) SELECT message_id, queue, group_id, dedup_id, body, sent_ms FROM spaced WHERE gap IS NULL OR gap >= 300000"""),
+    with_messages(f"""{LATE}
+, ordered AS (
+  SELECT *, coalesce(dedup_id, CASE WHEN queue = 'analytics' THEN sha256(body) END, message_id) AS key,
+    row_number() OVER (PARTITION BY queue, key ORDER BY sent_ms, message_id) AS n
+  FROM late
+), walk AS (
+  SELECT queue, key, n, message_id, sent_ms AS last, true AS stored FROM ordered WHERE n = 1
+  UNION ALL
+  SELECT o.queue, o.key, o.n, o.message_id, CASE WHEN o.sent_ms - w.last >= 300000 THEN o.sent_ms ELSE w.last END,
+    o.sent_ms - w.last >= 300000
+  FROM walk w JOIN ordered o ON o.queue = w.queue AND o.key = w.key AND o.n = w.n + 1
+) SELECT o.message_id, o.queue, o.group_id, o.dedup_id, o.body, o.sent_ms
+  FROM ordered o JOIN walk w USING (queue, key, n) WHERE w.stored""").replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def _(spark, sf):
-    path = scratch(spark, "dedup")
-    queues.run_batches(_stream(spark, sf), scratch(spark, "dedup-checkpoint"), queues.write_once(path))
-    back = spark.read.schema(f"{MESSAGE_SCHEMA}, epoch bigint").parquet(f"{path}/messages")
+    back = spark.read.schema(f"{MESSAGE_SCHEMA}, epoch bigint").parquet(_released(spark, sf, "dedup", reorder.dedup_in_order))
     return back.select("message_id", "queue", "group_id", "dedup_id", "body", "sent_ms")
 
 
 @check(
     "stream_group_order",
-    with_messages("""
-SELECT queue, group_id, message_id, row_number() OVER (PARTITION BY queue, group_id ORDER BY sent_ms, message_id) AS seq
-  FROM messages"""),
+    with_messages(f"""{LATE}
+SELECT queue, group_id, message_id, row_number() OVER (PARTITION BY queue, group_id ORDER BY sent_ms, message_id) AS seq, false AS late
+  FROM late"""),
 )
 def _(spark, sf):
-    path = scratch(spark, "ordered")
-    queues.run_batches(_stream(spark, sf), scratch(spark, "ordered-checkpoint"), queues.write_in_order(path))
-    rows = spark.read.schema("queue string, group_id string, message_id string, seq bigint, epoch bigint").parquet(path)
-    return rows.drop("epoch")
+    schema = "queue string, group_id string, message_id string, seq bigint, late boolean, epoch bigint"
+    rows = spark.read.schema(schema).parquet(_released(spark, sf, "ordered", reorder.groups_in_order))
+    place = F.row_number().over(Window.partitionBy("queue", "group_id").orderBy("epoch", "seq"))
+    return rows.select("queue", "group_id", "message_id", place.alias("seq"), "late")
 
 
 @check(

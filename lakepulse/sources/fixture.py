@@ -300,6 +300,24 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def late_messages(spark: SparkSession, sf_dir: str, pieces: int = 4, lateness_ms: int = 480_000) -> DataFrame:
+    """Messages of which 1 in 20 is sent again after 4, 8 and 12 minutes; ``piece`` numbers the files they arrive in.
+
+    They arrive up to ``lateness_ms`` after they were sent, so a piece holds messages older than some of the piece before.
+    """
+    rows = messages(spark, sf_dir)
+    number = F.regexp_extract("message_id", r"^m(\d+)_0$", 1)
+    chain = F.when((number != "") & (number.cast("bigint") % 20 == 3), F.sequence(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("again", F.explode(chain))
+    name = F.when(F.col("again") > 0, F.concat("message_id", F.lit("_again"), F.col("again").cast("string"))).otherwise(F.col("message_id"))
+    rows = rows.withColumns({"message_id": name, "sent_ms": F.col("sent_ms") + F.col("again") * 240_000}).drop("again")
+    arrival = F.col("sent_ms") + F.pmod(F.xxhash64("message_id"), F.lit(lateness_ms))
+    span = rows.agg(F.min("sent_ms").alias("low"), F.max("sent_ms").alias("high")).first()
+    step = max(1, ((span["high"] or 0) - (span["low"] or 0)) // pieces)
+    piece = F.least(F.floor((arrival - F.lit(span["low"] or 0)) / step), F.lit(pieces - 1))
+    return rows.withColumn("piece", piece.cast("int"))
+
+
 def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each message was sent, first received, deleted, or given up after three receives 300 s apart."""
     sent, bad = F.col("sent_ms"), F.col("body") == "{bad"

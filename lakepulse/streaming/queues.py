@@ -15,14 +15,14 @@ from lakepulse.functions.exprs import DAY_MS, HOUR_MS, ms_date
 from lakepulse.operators.runs import ordered_runs
 from lakepulse.session import written
 from lakepulse.sources import schemas
+from lakepulse.streaming.keys import CONTENT_QUEUES, DEDUP_MS, dedup_key
+from lakepulse.streaming.reorder import judged
 
 # Queue settings.
 MAX_BYTES = 262_144
 MAX_RECEIVES = 3
 RETENTION_DAYS = {"feedback": 14, "emails": 14, "analytics": 7, "testflight": 14}
 DEFAULT_RETENTION_DAYS = 4
-CONTENT_QUEUES = ("analytics",)
-DEDUP_MS = 300_000
 
 _SEEN = "queue string, key string, at bigint, epoch bigint, hour bigint"
 
@@ -54,12 +54,6 @@ def run_to_files(
     writer.trigger(availableNow=True).start(path).awaitTermination()
 
 
-def dedup_key(content_queues: Collection[str] = CONTENT_QUEUES) -> Column:
-    """The sender's id; without one the content, on queues that compare it, or else the message's own id."""
-    content = F.when(F.col("queue").isin(*content_queues), F.sha2("body", 256))
-    return F.coalesce("dedup_id", content, "message_id")
-
-
 def write_once(
     path: str, interval_ms: int = DEDUP_MS, content_queues: Collection[str] = CONTENT_QUEUES
 ) -> Callable[[DataFrame, int], None]:
@@ -67,8 +61,8 @@ def write_once(
 
     A message is a copy if a stored one with its key was sent less than ``interval_ms`` before it; a late message also
     if a stored one was sent less than that after it. Messages of a batch are judged in the order they were sent, so
-    messages that arrive in order give the same result however they are batched. Copies sent at one time are combined on
-    the map side; a key's distinct times within a batch meet in one row, so bound the batches (``files_per_batch``).
+    messages that arrive in order give the same result however they are batched; ``reorder.dedup_in_order`` waits for late
+    ones. Copies sent at one time are combined on the map side; a key's distinct times are scanned, not gathered.
     What was stored is remembered below ``path/seen`` by the hour sent, and a batch reads only hours near its own.
     """
 
@@ -79,25 +73,12 @@ def write_once(
         first = F.min_by(F.struct(*names), "message_id").alias("message")
         at_once = written(keyed.groupBy("queue", "key", F.col("sent_ms").alias("at")).agg(first), "copies")
         span = at_once.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
-        times = at_once.groupBy("queue", "key").agg(F.sort_array(F.collect_list("at")).alias("times"))
+        before = spark.createDataFrame([], _SEEN)
         if epoch and span["low"] is not None:
             low, high = ((span["low"] - interval_ms) // HOUR_MS, (span["high"] + interval_ms) // HOUR_MS)
             before = spark.read.schema(_SEEN).option("basePath", f"{path}/seen").parquet(f"{path}/seen")
             before = before.where((F.col("epoch") < epoch) & F.col("hour").between(low, high))
-            before = before.groupBy("queue", "key").agg(F.collect_list("at").alias("stored"))
-            times = times.join(before, ["queue", "key"], "left")
-        else:
-            times = times.withColumn("stored", F.lit(None).cast("array<bigint>"))
-        start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("taken"))
-
-        def judge(state: Column, at: Column) -> Column:
-            copy = F.coalesce(at - state["last"] < interval_ms, F.lit(False)) | F.coalesce(
-                F.exists("stored", lambda s: F.abs(s - at) < interval_ms), F.lit(False)
-            )
-            taken = F.struct(at.alias("last"), F.concat(state["taken"], F.array(at)).alias("taken"))
-            return F.when(copy, state).otherwise(taken)
-
-        kept = times.select("queue", "key", F.explode(F.aggregate("times", start, judge)["taken"]).alias("at"))
+        kept = written(judged(at_once.where("at IS NOT NULL"), before, interval_ms), "kept")
         stored = at_once.join(kept, ["queue", "key", "at"])
         # A message without a time is no copy of any.
         untimed = at_once.where("at IS NULL")
