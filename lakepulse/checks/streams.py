@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakepulse.checks.base import HTTP, check, with_flat, with_messages
+from lakepulse.checks.base import HTTP, MS, check, rounded, with_flat, with_messages
 from lakepulse.checks.lake import DAY, LANDED, landed_batches
 from lakepulse.checks.monitoring import alarm, window
 from lakepulse.functions.exprs import round_half_up, to_ms
@@ -18,6 +18,7 @@ from lakepulse.sources.schemas import MESSAGES as MESSAGE_SCHEMA
 from lakepulse.sources.sinks import land_once
 from lakepulse.streaming import lake as lake_streams
 from lakepulse.streaming import queues, reorder
+from lakepulse.streaming.alarms import alarm_state_stream
 
 BODY = "event_id bigint, user_id bigint"
 
@@ -189,3 +190,28 @@ def _(spark, sf):
     path = _to_files(spark, "windows", lake_streams.error_rate_stream(stream))
     series = spark.read.schema("window_start bigint, value double").parquet(path)
     return alarm_states(series, 300, ">", 5.0, 2).withColumn("value", round_half_up("value", 6))
+
+
+# Each host has a row for every closed window from its own first to the last of any host.
+HOSTS = f"""WITH requests AS (
+  SELECT {MS} AS ms, 'web-' || (user_id % 4) AS host, CAST(event_type = 'error' AS INTEGER) AS failed FROM events
+), series AS (
+  SELECT host, {window('ms', 300)}, CAST(sum(failed) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0e0 AS value
+  FROM requests GROUP BY 1, 2 HAVING window_start + 300000 <= (SELECT max(ms) FROM requests) - 600000
+), spine AS (
+  SELECT host, unnest(range(min(window_start), (SELECT max(window_start) FROM series) + 1, 300000)) AS window_start FROM series GROUP BY host
+), filled AS (SELECT *, CAST(value > 5 AS INTEGER) AS breach FROM spine LEFT JOIN series USING (host, window_start))
+SELECT host, window_start, {rounded('value', 6)} AS value, breach,
+    CASE WHEN sum(breach) OVER w = 2 THEN 'ALARM' WHEN count(breach) OVER w = 0 THEN 'INSUFFICIENT_DATA' ELSE 'OK' END AS state
+  FROM filled WINDOW w AS (PARTITION BY host ORDER BY window_start ROWS 1 PRECEDING)"""
+
+
+@check("stream_alarm_states", HOSTS)
+def _(spark, sf):
+    landed = _landed(spark, sf, "host_requests")
+    stream = spark.readStream.schema("ms bigint, host string, is_4xx int, is_5xx int").option("recursiveFileLookup", True).parquet(landed)
+    closed = _to_files(spark, "closed", lake_streams.error_rate_stream(stream, by=["host"]))
+    series = spark.readStream.schema("host string, window_start bigint, value double").parquet(closed)
+    states = _to_files(spark, "states", alarm_state_stream(series, 300, ">", 5.0, 2, by=["host"]))
+    found = spark.read.schema("host string, window_start bigint, value double, breach int, state string").parquet(states)
+    return found.withColumn("value", round_half_up("value", 6))

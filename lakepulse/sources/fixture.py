@@ -259,6 +259,17 @@ def http_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def host_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with the host that served them."""
+    failed = F.col("event_type") == "error"
+    return events(spark, sf_dir).select(
+        _millis().alias("ms"),
+        F.concat(F.lit("web-"), (F.col("user_id") % 4).cast("string")).alias("host"),
+        F.when(failed & (_k() % 2 == 0), 1).otherwise(0).alias("is_4xx"),
+        F.when(failed & (_k() % 2 == 1), 1).otherwise(0).alias("is_5xx"),
+    )
+
+
 def app_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engagement scores and session counts as an application would publish them."""
     kind = F.col("event_type")

@@ -22,17 +22,21 @@ def flat_stream(batches: DataFrame, min_year: str | None = None) -> DataFrame:
     return to_flat(flatten_events(batches, min_year))
 
 
-def windowed(stream: DataFrame, ms: str, period_s: int, watermark: str, **aggregates: Column) -> DataFrame:
-    """Closed windows of a stream; rows later than the watermark no longer count."""
+def windowed(
+    stream: DataFrame, ms: str, period_s: int, watermark: str, by: list[str] | None = None, **aggregates: Column
+) -> DataFrame:
+    """Closed windows of a stream, for each key of ``by``; rows later than the watermark no longer count."""
+    by = by or []
     at = stream.withColumn("at", F.timestamp_millis(F.col(ms))).withWatermark("at", watermark)
-    grouped = at.groupBy(F.window("at", f"{period_s} seconds").alias("w")).agg(
+    grouped = at.groupBy(*by, F.window("at", f"{period_s} seconds").alias("w")).agg(
         *[c.alias(name) for name, c in aggregates.items()]
     )
-    return grouped.select(F.unix_millis(F.col("w.start")).alias("window_start"), *aggregates)
+    return grouped.select(*by, F.unix_millis(F.col("w.start")).alias("window_start"), *aggregates)
 
 
-def error_rate_stream(http: DataFrame, period_s: int = 300, watermark: str = "10 minutes") -> DataFrame:
-    sums = windowed(
-        http, "ms", period_s, watermark, failed=F.sum(F.col("is_4xx") + F.col("is_5xx")), requests=F.count(F.lit(1))
-    )
-    return sums.select("window_start", (ratio("failed", "requests", digits=None) * 100.0).alias("value"))
+def error_rate_stream(
+    http: DataFrame, period_s: int = 300, watermark: str = "10 minutes", by: list[str] | None = None
+) -> DataFrame:
+    failed, requests = F.sum(F.col("is_4xx") + F.col("is_5xx")), F.count(F.lit(1))
+    sums = windowed(http, "ms", period_s, watermark, by, failed=failed, requests=requests)
+    return sums.select(*(by or []), "window_start", (ratio("failed", "requests", digits=None) * 100.0).alias("value"))
