@@ -12,7 +12,7 @@ from lakepulse.operators.flatten import flatten_events
 from lakepulse.operators.predicates import between_days
 from lakepulse.plans.mart import write_mart
 from lakepulse.session import scratch
-from lakepulse.sources import fixture, lake, sinks
+from lakepulse.sources import fixture, lake, listing, sinks
 from lakepulse.sources.fixture import AS_OF
 from lakepulse.sources.schemas import DAILY, HOURLY
 
@@ -390,3 +390,22 @@ def _(spark, sf):
     write_mart(daily, path)
     write_mart(daily.where(F.col("day").between("10", "12")).withColumn("events", F.col("events") * 2), path)
     return spark.read.schema(f"events bigint, {DAILY}").parquet(path)
+
+
+@check(
+    "partition_changes",
+    """
+SELECT strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day,
+    CASE WHEN day(ts) = 3 THEN 'dropped' WHEN day(ts) = 30 THEN 'added' ELSE 'changed' END AS change,
+    CAST(day(ts) <> 30 AS INTEGER) AS files_before, CASE WHEN day(ts) = 3 THEN 0 WHEN day(ts) = 30 THEN 1 ELSE 2 END AS files_after
+  FROM events WHERE day(ts) IN (3, 30) OR day(ts) BETWEEN 10 AND 12 GROUP BY ALL""",
+)
+def _(spark, sf):
+    """One day is landed later, one is deleted, three get another file."""
+    path = scratch(spark, "changing")
+    rows = sinks.with_partitions(fixture.raw_events(spark, sf), "ms").repartition(*DAY)
+    rows.where("day <> '30'").write.partitionBy(*DAY).parquet(path)
+    before = listing.list_files(spark, path)
+    rows.where("day = '30' OR day BETWEEN '10' AND '12'").write.mode("append").partitionBy(*DAY).parquet(path)
+    after = listing.list_files(spark, path).where("path NOT LIKE '%/day=03/%'")
+    return listing.partition_changes(before, after).select(*DAY, "change", "files_before", "files_after")

@@ -246,9 +246,15 @@ def daily_metrics_mart(events: DataFrame, as_of: date, days: int = 90, min_year:
     All inputs are already one row per day when joined.
     """
     counted = written(facts(events, as_of, days, min_year), "facts")
-    daily = aggregates_of(counted, daily_percentiles(events, as_of, days, min_year))
+    return metrics_of(counted, daily_percentiles(events, as_of, days, min_year))
+
+
+def metrics_of(counted: DataFrame, medians: DataFrame, only: Column | None = None) -> DataFrame:
+    """The mart from ``facts`` and percentiles; with ``only``, the days that this filter on directories names."""
+    own = counted if only is None else counted.where(only)
+    daily = aggregates_of(own, medians)
     retention = retention_of(counted)
-    features = features_of(feature_rows_of(counted))
+    features = features_of(feature_rows_of(own))
     joined = daily.join(retention, DAY, "left").join(features, DAY, "left")
     whole = lambda part, base: round_half_up(ratio(part, base, digits=None) * 100.0, 2)
     return joined.select(
