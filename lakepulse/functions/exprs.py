@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 HOUR_MS = 3_600_000
 DAY_MS = 86_400_000
+#: Whole numbers that a sum over any number of rows fits in.
+WIDE = "decimal(38,0)"
 
 
 def col(c: Column | str) -> Column:
@@ -31,8 +33,11 @@ def ratio(part: Column | str, whole: Column | str, digits: int | None = 2, scale
 
 
 def micros(c: Column | str) -> Column:
-    """A double in whole millionths, as a decimal: its sums don't depend on the order of the rows."""
-    return F.floor(col(c) * 1e6 + 0.5).cast("decimal(20,0)")
+    """A double in whole millionths: sums of them don't depend on the order of the rows.
+
+    A sum beyond 9.2e12 is an error in 64 bits; cast to ``WIDE`` before summing over very many rows.
+    """
+    return F.floor(col(c) * 1e6 + 0.5)
 
 
 def mean_of_micros(total: Column | str, n: Column | str) -> Column:
@@ -42,7 +47,7 @@ def mean_of_micros(total: Column | str, n: Column | str) -> Column:
 
 def exact_mean(c: Column | str) -> Column:
     """Aggregate: the mean of a double, the same for any order and partitioning of the rows."""
-    return mean_of_micros(F.sum(micros(c)), F.count(col(c)))
+    return mean_of_micros(F.sum(micros(c).cast(WIDE)), F.count(col(c)))
 
 
 def percent(part: Column | str, whole: Column | str, digits: int | None = 2) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakepulse.functions.exprs import DAY_MS, flag, is_event, mean_of_micros, micros, ratio, round_half_up, tally
+from lakepulse.functions.exprs import DAY_MS, WIDE, flag, is_event, mean_of_micros, micros, ratio, round_half_up, tally
 from lakepulse.operators.predicates import since_ms
 from lakepulse.operators.rollups import most_common
 from lakepulse.session import written
@@ -75,6 +75,7 @@ def aggregates_of(counted: DataFrame, medians: DataFrame) -> DataFrame:
     sums = {"total_events": F.sum("n"), **{n: F.coalesce(only(k, "n"), F.lit(0)) for n, k in kind.items()}}
     sums |= {"duration_sum": F.sum("duration_sum"), "duration_n": F.sum("duration_n")}
     sums |= {"load_sum": only("performance", "duration_sum"), "load_n": only("performance", "duration_n")}
+    wide = ("duration_sum", "load_sum")  # 64 bits hold those of a session, but maybe not those of a day
     compact = counted.groupBy(*DAY, "user_id", "session_id").agg(
         *[F.max(flag(c)).alias(n) for n, c in segments.items()], *[c.alias(n) for n, c in sums.items()]
     )
@@ -94,7 +95,7 @@ def aggregates_of(counted: DataFrame, medians: DataFrame) -> DataFrame:
         tally(user).alias("daily_active_users"),
         tally(session & F.col("id").isNotNull()).alias("total_sessions"),
         *[tally(user & (F.col(n) == 1)).alias(n) for n in segments],
-        *[F.sum(F.when(session, F.col(n))).alias(n) for n in sums],
+        *[F.sum(F.when(session, F.col(n).cast(WIDE) if n in wide else F.col(n))).alias(n) for n in sums],
     )
 
     values = counted.select(
