@@ -12,7 +12,7 @@ from lakepulse.operators.flatten import flatten_events
 from lakepulse.operators.predicates import between_days
 from lakepulse.plans.mart import write_mart
 from lakepulse.session import scratch
-from lakepulse.sources import fixture, lake, listing, sinks
+from lakepulse.sources import compaction, fixture, lake, listing, sinks
 from lakepulse.sources.fixture import AS_OF
 from lakepulse.sources.schemas import DAILY, HOURLY
 
@@ -409,3 +409,26 @@ def _(spark, sf):
     rows.where("day = '30' OR day BETWEEN '10' AND '12'").write.mode("append").partitionBy(*DAY).parquet(path)
     after = listing.list_files(spark, path).where("path NOT LIKE '%/day=03/%'")
     return listing.partition_changes(before, after).select(*DAY, "change", "files_before", "files_after")
+
+
+@check(
+    "compaction",
+    """
+SELECT strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day, event_type,
+    count(*) AS events, count(DISTINCT user_id) AS users, 1 AS files
+  FROM events GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Days land in several small files each, in two goes; afterwards each day is one file."""
+    path = scratch(spark, "packed")
+    schema = f"event_id string, user_id string, event_type string, {DAILY}"
+    rows = sinks.with_partitions(fixture.raw_events(spark, sf), "ms").select("event_id", "user_id", "event_type", *DAY)
+    late = F.pmod(F.xxhash64("event_id"), F.lit(5)) == 0
+    for part in (rows.where(~late), rows.where(late)):
+        part.repartition(3).write.mode("append").partitionBy(*DAY).parquet(path)
+        compaction.compact_small(spark, path, schema)
+    live = compaction.read_live(spark, path, schema)
+    keys = [F.regexp_extract("directory", f"{k}=([0-9]+)", 1).alias(k) for k in DAY]
+    files = compaction.manifest(spark, path).where("live").groupBy(*keys).agg(F.count(F.lit(1)).alias("files"))
+    counted = live.groupBy(*DAY, "event_type").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("user_id").alias("users"))
+    return counted.join(files, DAY, "left")
