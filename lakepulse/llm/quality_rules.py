@@ -22,9 +22,10 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 #: At most so many percent of the words may be in repeated windows of three.
 MAX_REPEAT_PERCENT = 50
-#: Share of the words' characters that repeated windows of so many words may cover, their first occurrence
-#: included: a passage that a text has twice is allowed, a text that is mostly repetition is not.
-MAX_COVERED = {5: 0.50, 7: 0.45, 10: 0.40}
+#: Characters that repeated windows may cover in any text, their first occurrence included: a short passage twice.
+ALLOWED_CHARS = 600
+#: What they cover beyond that, by their number of words, as a share of the words' characters.
+MAX_COVERED = {5: 0.15, 7: 0.13, 10: 0.10}
 #: Share of the characters of lines that may be in copies of earlier lines.
 MAX_LINE_COPIES = 0.30
 
@@ -113,11 +114,12 @@ def quality_rules(
     max_repeat_percent: int = MAX_REPEAT_PERCENT,
     max_covered: dict[int, float] | None = None,
     max_line_copies: float = MAX_LINE_COPIES,
+    allowed_chars: int = ALLOWED_CHARS,
 ) -> DataFrame:
     """``docs`` with its measures, ``base_failed`` and ``kept`` behind its columns; no row is dropped.
 
     Measures are ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words`` (long), ``covered_<n>``
-    and ``line_copies`` (shares from 0 to 1). A null or empty text has no words, so it fails; each row is judged by
+    and ``line_copies`` (shares from 0 to 1). ``allowed_chars`` of what is covered never count against a text. A null or empty text has no words, so it fails; each row is judged by
     its own text, whatever its other columns hold. Columns of ``docs`` with these names are replaced. An empty
     table gives an empty table.
     """
@@ -145,7 +147,7 @@ def quality_rules(
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     fine = F.col("line_copies") <= max_line_copies
     for n in lengths:
-        fine &= F.col(f"covered_{n}") <= limits[n]
+        fine &= F.col(f"covered_{n}") * F.col("word_chars") - allowed_chars <= limits[n] * F.col("word_chars")
     return (
         own.mapInArrow(measured, schema)
         .withColumn("base_failed", base)

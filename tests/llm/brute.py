@@ -41,7 +41,7 @@ def repeat_mask(words, n):
     return {i + j for i, w in enumerate(windows) if counts[w] > 1 for j in range(n)}
 
 
-def quality(text, limits, max_line_copies):
+def quality(text, limits, max_line_copies, allowed=600):
     """The base measures, base_failed and kept."""
     words = split_words(text)
     chars = sum(map(len, words))
@@ -51,7 +51,7 @@ def quality(text, limits, max_line_copies):
     failed = len(words) < 50 or 100 * repeat > 50 * len(words)
     fine = sum(map(len, copies)) / max(1, sum(map(len, lines))) <= max_line_copies
     for n, limit in limits.items():
-        fine = fine and sum(len(words[i]) for i in repeat_mask(words, n)) / max(1, chars) <= limit
+        fine = fine and sum(len(words[i]) for i in repeat_mask(words, n)) - allowed <= limit * chars
     base = (len(words), chars, len(re.findall(r"[#*$%&|<>]", text or "")), len(copies), repeat)
     return (*base, failed, not failed and fine)
 

@@ -47,3 +47,24 @@ def test_copied_lines(lines, kept):
     body = " ".join(f"w{i}" for i in range(100)) + "\n" + "\n".join(["two words"] * lines)
     got = q.measure(body.encode(), [5])
     assert (got["line_copies"] <= q.MAX_LINE_COPIES) == kept
+
+
+def text_of(n, seed):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(n))
+
+
+@pytest.mark.parametrize(
+    "name, text, kept",
+    [
+        ("a short clean text with one line twice", f"{text_of(50, 1)}\n{text_of(12, 2)}\n{text_of(40, 3)}\n{text_of(12, 2)}", True),
+        ("a long text with one passage of 40 words twice", f"{text_of(2000, 4)} {text_of(40, 5)} {text_of(500, 6)} {text_of(40, 5)}", True),
+        ("a long text without repetition", text_of(5000, 7), True),
+        ("40 percent of a long text in passages that it has twice", " ".join([text_of(600, 8), *[text_of(100, s) for s in (9, 10)] * 2]), False),
+        ("many passages of six words", " ".join([text_of(1500, 11), *[f"{text_of(6, s % 40)} {text_of(2, 100 + s)}" for s in range(120)]]), False),
+    ],
+)
+def test_verdicts_beyond_the_base_rules(spark, name, text, kept):
+    row = q.quality_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert not row["base_failed"] and row["kept"] == kept, name
+    assert quality(text, q.MAX_COVERED, q.MAX_LINE_COPIES)[-1] == kept
