@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from lakepulse.llm.text import WHITE_PATTERN, documents, hex_digest, raw_texts
 
-#: Bytes of strings that a task's tries may hold.
+#: Bytes that a task's tries may hold: their strings, and about as many bytes a node as Python needs for it.
 HELD_BYTES = 64_000_000
+NODE_BYTES = 300
 
 _RUNS = re.compile(rb"[\x20\x09-\x0D]+")
 _RECORD = "<qq?q"
@@ -60,10 +61,14 @@ class Node:
 
 
 class Trie:
-    """Byte strings with the smallest id and the number of rows; ``held`` counts the bytes on edges."""
+    """Byte strings with the smallest id and the number of rows; ``held`` counts the bytes on edges, ``nodes`` the edges."""
 
     def __init__(self) -> None:
-        self.root, self.held, self.terminals = Node(b""), 0, 0
+        self.root, self.held, self.nodes, self.terminals = Node(b""), 0, 0, 0
+
+    @property
+    def memory(self) -> int:
+        return self.held + NODE_BYTES * self.nodes
 
     def insert(self, key: bytes, owner: int | None, n: int = 1) -> None:
         node, at = self.root, 0
@@ -72,6 +77,7 @@ class Trie:
             if child is None:
                 child = node.children[key[at]] = Node(key[at:])
                 self.held += len(key) - at
+                self.nodes += 1
                 node, at = child, len(key)
             elif key.startswith(child.label, at):
                 node, at = child, at + len(child.label)
@@ -81,6 +87,7 @@ class Trie:
                 above.children[child.label[cut]] = child
                 node.children[key[at]] = above
                 child.label = child.label[cut:]
+                self.nodes += 1
                 node, at = above, at + cut
         if node.n:
             node.owner = smaller(node.owner, owner)
@@ -118,7 +125,7 @@ class Spill:
 
 
 def merged(rows: Iterable[Row], limit: int = HELD_BYTES, depth: int = 0) -> Iterator[Row]:
-    """One row for each string, with about ``limit`` bytes of strings in memory; strings agree up to ``depth``."""
+    """One row for each string, with about ``limit`` bytes of tries in memory; strings agree up to ``depth``."""
     tries: dict[bytes, Trie] = {}
     spilled: dict[bytes, Spill] = {}
     held = 0
@@ -128,13 +135,13 @@ def merged(rows: Iterable[Row], limit: int = HELD_BYTES, depth: int = 0) -> Iter
             spilled[branch].write(key, owner, n)
             continue
         trie = tries.setdefault(branch, Trie())
-        held -= trie.held
+        held -= trie.memory
         trie.insert(key, owner, n)
-        held += trie.held
+        held += trie.memory
         while held > limit and (large := [b for b, t in tries.items() if t.terminals > 1]):
-            branch = max(large, key=lambda b: tries[b].held)
+            branch = max(large, key=lambda b: tries[b].memory)
             trie = tries.pop(branch)
-            held -= trie.held
+            held -= trie.memory
             spilled[branch] = Spill()
             for row in trie.items():
                 spilled[branch].write(*row)
@@ -175,7 +182,7 @@ def _before(limit: int):
         for batch in batches:
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch.column("text")), strict=True):
                 trie.insert(_RUNS.sub(b" ", raw), doc_id)
-                if trie.held > limit:
+                if trie.memory > limit:
                     yield from handed(trie)
                     trie = Trie()
         yield from handed(trie)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import pytest
 from brute import exact
@@ -46,3 +47,18 @@ def test_equals_brute_force(spark, limit):
 
 def test_empty_table(spark):
     assert exact_dedup(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("size", [3, 16, 200, 5000])
+def test_a_full_trie_takes_about_the_memory_it_counts(size):
+    """Short texts cost nodes, long ones bytes; both count."""
+    rng, limit = random.Random(size), 4_000_000
+    tracemalloc.start()
+    trie = Trie()
+    for i in range(10**6):
+        if trie.memory > limit:
+            break
+        trie.insert(rng.randbytes(size), i)
+    taken, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert trie.memory > limit and taken < 2.5 * limit
