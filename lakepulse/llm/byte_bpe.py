@@ -15,6 +15,9 @@ Decoding joins id-position rows to the vocabulary and concatenates by an ordered
 from __future__ import annotations
 
 import base64
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import cached_property, partial
 
@@ -149,7 +152,10 @@ class Vocabulary:
 
 
 def _database(**tables: pa.Table) -> duckdb.DuckDBPyConnection:
-    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "preserve_insertion_order": True})
+    # DuckDB makes this folder if it must spill, and deletes it when the connection closes.
+    spill = os.path.join(tempfile.gettempdir(), f"words-{uuid.uuid4().hex}")
+    config = {"threads": 1, "memory_limit": DUCKDB_MEMORY, "preserve_insertion_order": True, "temp_directory": spill}
+    con = duckdb.connect(":memory:", config=config)
     for name, table in tables.items():
         con.register("given", table)
         con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
