@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
@@ -12,7 +12,7 @@ from lakepulse.operators.flatten import flatten_events
 from lakepulse.operators.predicates import between_days
 from lakepulse.plans.mart import write_mart
 from lakepulse.session import scratch
-from lakepulse.sources import compaction, fixture, lake, listing, sinks
+from lakepulse.sources import compaction, fixture, lake, listing, sinks, zones
 from lakepulse.sources.fixture import AS_OF
 from lakepulse.sources.schemas import DAILY, HOURLY
 
@@ -432,3 +432,32 @@ def _(spark, sf):
     files = compaction.manifest(spark, path).where("live").groupBy(*keys).agg(F.count(F.lit(1)).alias("files"))
     counted = live.groupBy(*DAY, "event_type").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("user_id").alias("users"))
     return counted.join(files, DAY, "left")
+
+
+@check(
+    "zone_scan_cost",
+    f"""
+WITH src AS (SELECT epoch_us(ts) // 1000 AS ms, CAST(ts AS DATE) AS d, event_id FROM events),
+days AS (SELECT d, min(ms) AS low_ms, max(ms) AS high_ms, min(event_id) AS low_id, max(event_id) AS high_id, count(*) AS n FROM src GROUP BY d),
+ends AS (SELECT epoch_ms(TIMESTAMP '2024-01-05 03:00:00') AS lo, epoch_ms(TIMESTAMP '2024-01-09 15:00:00') AS hi),
+scans AS (
+  SELECT 'time' AS scan, n FROM days, ends WHERE high_ms >= lo AND low_ms <= hi
+  UNION ALL SELECT 'time_and_id', n FROM days, ends WHERE high_ms >= lo AND low_ms <= hi AND low_id <= 50
+  UNION ALL SELECT 'no_user', count(*) FROM src JOIN events USING (event_id) GROUP BY d HAVING count(user_id) < count(*)
+), named(scan) AS (VALUES ('time'), ('time_and_id'), ('no_user'))
+SELECT scan, count(n) AS files, count(n) AS row_groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows, 0 AS over_limit
+  FROM named LEFT JOIN scans USING (scan) GROUP BY scan""",
+)
+def _(spark, sf):
+    """Days of one file each; filters on columns that no directory is named after."""
+    path = scratch(spark, "zoned")
+    rows = sinks.with_partitions(
+        fixture.events(spark, sf).select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")), "ms"
+    )
+    rows.repartition(*DAY).write.partitionBy(*DAY).parquet(path)
+    zone = zones.zone_map(spark, path, "ms bigint, event_id bigint, user_id bigint")
+    at = lambda text: int(datetime.fromisoformat(text + "+00:00").timestamp() * 1000)
+    time = zones.between("ms", at("2024-01-05T03:00:00"), at("2024-01-09T15:00:00"))
+    scans = {"time": time, "time_and_id": time & zones.between("event_id", high=50), "no_user": zones.is_null("user_id")}
+    parts = [zones.scan_cost(zone, w, 1 << 40).drop("bytes").withColumn("scan", F.lit(n)) for n, w in scans.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
