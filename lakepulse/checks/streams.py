@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from lakepulse.checks.base import HTTP, MS, check, rounded, with_flat, with_messages
 from lakepulse.checks.lake import DAY, LANDED, landed_batches
 from lakepulse.checks.monitoring import alarm, window
-from lakepulse.functions.exprs import round_half_up, to_ms
+from lakepulse.functions.exprs import HOUR_MS, round_half_up, to_ms
 from lakepulse.operators.alarms import alarm_states
 from lakepulse.session import scratch
 from lakepulse.sources import fixture
@@ -19,6 +19,7 @@ from lakepulse.sources.sinks import land_once
 from lakepulse.streaming import lake as lake_streams
 from lakepulse.streaming import queues, reorder
 from lakepulse.streaming.alarms import alarm_state_stream
+from lakepulse.streaming.sessions import active_sessions, gap_sessions
 
 BODY = "event_id bigint, user_id bigint"
 
@@ -215,3 +216,35 @@ def _(spark, sf):
     states = _to_files(spark, "states", alarm_state_stream(series, 300, ">", 5.0, 2, by=["host"]))
     found = spark.read.schema("host string, window_start bigint, value double, breach int, state string").parquet(states)
     return found.withColumn("value", round_half_up("value", 6))
+
+
+SESSIONS = f"""WITH src AS (SELECT 'device_' || user_id AS device_id, {MS} AS ms FROM events WHERE user_id IS NOT NULL),
+cut AS (
+  SELECT *, coalesce(ms - lag(ms) OVER (PARTITION BY device_id ORDER BY ms) > 3600000, true) AS begins FROM src
+),
+numbered AS (SELECT *, sum(CAST(begins AS INTEGER)) OVER (PARTITION BY device_id ORDER BY ms) AS n FROM cut),
+closed AS (
+  SELECT device_id, n, min(ms) AS start_ms, max(ms) AS last_ms, count(*) AS events FROM numbered GROUP BY device_id, n
+  HAVING max(ms) + 3600000 <= (SELECT max(ms) FROM src) - 600000
+)"""
+
+
+def _gap_sessions(spark, sf):
+    stream = spark.readStream.schema("device_id string, ms bigint").option("recursiveFileLookup", True).parquet(_landed(spark, sf, "activity"))
+    path = _to_files(spark, "sessions", gap_sessions(stream, ["device_id"], gap_ms=HOUR_MS))
+    return spark.read.schema("device_id string, start_ms bigint, last_ms bigint, events bigint").parquet(path)
+
+
+@check("stream_gap_sessions", f"{SESSIONS} SELECT device_id, start_ms, last_ms, events FROM closed")
+def _(spark, sf):
+    return _gap_sessions(spark, sf)
+
+
+@check(
+    "stream_active_sessions",
+    f"""{SESSIONS}, rows_of AS (SELECT device_id, n, ms FROM numbered JOIN closed USING (device_id, n)),
+moments AS (SELECT device_id, n, (ms + 3599999) // 3600000 * 3600000 AS at_ms FROM rows_of)
+SELECT at_ms, count(DISTINCT (device_id, n)) AS active_sessions FROM moments GROUP BY at_ms""",
+)
+def _(spark, sf):
+    return active_sessions(_gap_sessions(spark, sf), gap_ms=HOUR_MS)

@@ -270,6 +270,13 @@ def host_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each device did something, without a session id."""
+    return events(spark, sf_dir).select(
+        F.concat(F.lit("device_"), F.col("user_id").cast("string")).alias("device_id"), _millis().alias("ms")
+    )
+
+
 def app_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engagement scores and session counts as an application would publish them."""
     kind = F.col("event_type")
