@@ -8,8 +8,9 @@ Rule hosts and URLs are sorted by key together and swept once by a window. Its c
 for each depth (number of labels): the last rule host of that depth, which is still open if its interval's end is behind
 the URL's key. Of the open rules those whose path begins the URL's path fit, and the longest wins.
 
-URLs are dealt to the sweeps by a hash of the row, so a host of any frequency is spread evenly; each sweep
-has its own copy of the rule hosts.
+URLs and rule hosts are dealt together to parts, by ranges of key and, within a key, of a hash of the row: a frequent host
+spans several parts, and a rule host is in one. Each part is swept for itself. What is open at its first key are the rules of
+that key's ancestors, which are joined by equality; so there are as many rule rows as rule hosts, and a few for each part.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lakepulse.session import written
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Sweeps for each shuffle partition, so that partitions come out even.
-SWEEPS = 4
 
 
 def host_key(host: Column) -> Column:
@@ -53,6 +54,28 @@ def rule_hosts(rules: DataFrame) -> DataFrame:
     return parsed.groupBy("key", "end", "depth").agg(F.collect_set("own").alias("own"))
 
 
+def deal(urls: DataFrame, hosts: DataFrame) -> DataFrame:
+    """URLs (``page``, of kind 1) and rule hosts (kind 0) with their ``key`` and ``part``, as many parts as shuffle partitions.
+
+    The table is written, so that parts stay what they are. Rows of the same id and URL are in one part.
+    """
+    row = F.xxhash64(*[c for c in ("page_id", "url") if c in urls.columns])
+    pages = urls.select(F.struct(*urls.columns).alias("page"), host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), row.alias("row"))
+    both = pages.unionByName(hosts.withColumns({"kind": F.lit(0), "row": F.lit(0).cast("long")}), allowMissingColumns=True)
+    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.repartitionByRange(parts, "key", "kind", "row").withColumn("part", F.spark_partition_id())
+    return written(dealt.drop("row"), "url-parts")
+
+
+def open_before(dealt: DataFrame, hosts: DataFrame, depth: int) -> DataFrame:
+    """The rule hosts that are open at the first key of a part, up to the given depth: those of its ancestors and its own."""
+    first = dealt.groupBy("part").agg(F.min("key").alias("first"))
+    labels = F.split("first", r"\.")
+    lengths = F.sequence(F.lit(1), F.least(F.size(labels) - 1, F.lit(depth)))
+    ancestors = F.transform(lengths, lambda n: F.concat(F.array_join(F.slice(labels, F.lit(1), n), "."), F.lit(".")))
+    return first.select("part", F.explode(ancestors).alias("key")).join(hosts, "key").withColumn("kind", F.lit(0))
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict`` behind its columns; no row is dropped.
 
@@ -63,21 +86,16 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     Columns of ``pages`` with the added names are replaced. Rules without text are left out; rules of one host are held
     in one row, so a host should have thousands of them at most.
     """
-    spark = pages.sparkSession
     own = with_host_and_path(pages.drop("host", "path", "rule", "verdict"))
     names = own.columns
-    hosts = rule_hosts(rules)
+    hosts = written(rule_hosts(rules), "rule-hosts")
     depths = sorted(r["depth"] for r in hosts.select("depth").distinct().collect())  # a host has 127 labels at most
-    sweeps = SWEEPS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    urls = own.select(
-        F.struct(*names).alias("page"),
-        host_key(F.col("host")).alias("key"),
-        F.lit(1).alias("kind"),
-        F.pmod(F.xxhash64(*[c for c in ("page_id", "url") if c in names]), F.lit(sweeps)).alias("sweep"),
-    )
-    rows = hosts.select("*", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(sweeps - 1))).alias("sweep"))
-    both = urls.unionByName(rows.withColumn("sweep", F.col("sweep").cast("long")), allowMissingColumns=True)
-    swept = Window.partitionBy("sweep").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = deal(own, hosts)
+    if depths:
+        both = both.unionByName(open_before(both, hosts, depths[-1]), allowMissingColumns=True)
+    # Sorted by ranges of parts, so that a task gets about as many as any other.
+    both = both.repartitionByRange("part")
+    swept = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stack = {
         f"open_{d}": F.last(F.when((F.col("kind") == 0) & (F.col("depth") == d), F.struct("end", "own")), ignorenulls=True).over(swept)
         for d in depths

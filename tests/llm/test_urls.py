@@ -3,7 +3,7 @@ import re
 import duckdb
 import pytest
 
-from lakepulse.llm.url_filter import OP7_SQL, RULES, filter_urls, op7_url_filter
+from lakepulse.llm.url_filter import OP7_SQL, RULES, deal, filter_urls, op7_url_filter, open_before, rule_hosts, with_host_and_path
 
 URLS = [
     None, "", "no scheme", "http://", "http://net", "http://net/", "https://NET/x", "http://a.net/en/1", "http://example.net/en/",
@@ -47,6 +47,25 @@ def test_equals_brute_force(spark, rules):
     assert sorted(rows, key=repr) == sorted([(u, *judged(u, rules)) for u in URLS * 3], key=repr)
 
 
+def test_hot_host_and_many_rules(spark):
+    hot = [f"http://h.hot.net/p{i}/q" for i in range(3000)]
+    cold = [f"http://s{i}.d{i % 40}.com/x" for i in range(1500)]
+    rules = [("block", f"d{i}.com/") for i in range(40)] + [("allow", "s7.d7.com/x"), ("block", "net/"), ("allow", "hot.net/p7/"), ("block", "h.hot.net/p8")]
+    got = {r["url"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in filter_urls(pages(spark, hot + cold), table(spark, rules)).collect()}
+    assert got == {u: judged(u, rules) for u in hot + cold}
+
+
+def test_rule_rows_grow_with_rules_and_parts_not_with_their_product(spark):
+    urls = with_host_and_path(pages(spark, [f"http://h.hot.net/p{i}" for i in range(2000)] + [f"http://s.d{i}.com/" for i in range(500)]))
+    hosts = rule_hosts(table(spark, [("block", f"d{i}.com/") for i in range(500)] + [("block", "net/"), ("allow", "hot.net/")]))
+    dealt = deal(urls, hosts)
+    assert dealt.where("kind = 0").count() == hosts.count() == 502
+    assert dealt.where("page.host = 'h.hot.net'").select("part").distinct().count() > 1
+    opened = open_before(dealt, hosts, 2)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 0 < opened.count() <= 2 * parts
+
+
 def test_no_rules_and_no_pages(spark):
     got = filter_urls(pages(spark, URLS), table(spark, []), default="block")
     assert got.where("rule IS NULL AND verdict = 'block'").count() == len(URLS)
