@@ -3,13 +3,16 @@
 1. Paragraphs are the lines of a text that hold a word; a notice may be wrapped over lines, so where a template's three words
    are found, lines that follow each other are also scored together. Features are word n-grams (one to three words, lower-cased,
    punctuation dropped): those of the templates, and those that several of the sample's notices have.
-2. The classifier is a multinomial logistic regression with a class for each licence family and one for none of them. It is
-   trained on templates, cut and framed in other words, and on a sample of paragraphs: those that hold a template's
-   phrase are of its family, those that hold no n-gram of three words of any are of none.
-3. A held-out part of the sample calibrates it: a temperature makes its probabilities match what is found there, and
-   the smallest probability that keeps notices apart from other text becomes the threshold; another is set likewise on the probability of any notice.
-4. A predicted family is confirmed if a large part of one of its templates' n-grams is in the paragraph. A paragraph that is
-   a notice by its probability, but of no family that is sure and confirmed, is of family unknown.
+2. The classifier is a multinomial logistic regression with a class for each licence family, one for notices of unknown
+   families and one for other text. It is trained on templates, whole, shortened, with changed words and framed in other words;
+   on templates in which another name stands in place of the family's, which are of class unknown; and on a sample of
+   paragraphs: those that hold a template's phrase are of its family, those that hold no n-gram of three words of any are of none.
+3. A held-out part calibrates it: a temperature makes its probabilities match what is found there, and the smallest
+   probability that keeps families apart from the rest becomes the threshold; another is set likewise on the probability of
+   any notice. Families that are left out of training in turn, as licences nobody listed, tell how sure is sure.
+4. A predicted family is confirmed if a large part of one of its templates' n-grams is in the paragraph; or, where the classifier
+   is sure, if a smaller part of a template's words is there in their order, near each other (a local alignment). A paragraph
+   that is a notice by its probability, but of no family that is confirmed, is of family unknown.
 """
 
 from __future__ import annotations
@@ -32,10 +35,13 @@ TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "You may not use this file except in compliance with the License.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        "AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted.",
         "Released under the BSD License.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     ],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution License."],
     "CC-BY-NC": [
@@ -46,15 +52,34 @@ TEMPLATES = {
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it under the terms of the GNU General Public License.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "LGPL": ["This library is licensed under the GNU Lesser General Public License."],
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+        "files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+        "publish, distribute, sublicense, and/or sell copies of the Software.",
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "proprietary": ["Copyright. All rights reserved.", "All rights reserved.", "Proprietary and confidential. Unauthorized copying is prohibited."],
 }
+#: The words of templates that name a family. With other names in their place, a notice is of an unknown one.
+NAMES = {
+    "Apache-2.0": ["apache"],
+    "BSD": ["bsd"],
+    "CC-BY": ["by", "attribution"],
+    "CC-BY-NC": ["nc", "noncommercial"],
+    "CC0": ["cc0"],
+    "GPL": ["gnu", "general"],
+    "LGPL": ["lesser"],
+    "MIT": ["mit"],
+    "MPL-2.0": ["mozilla"],
+}
+#: A word that no feature holds.
+OTHER_NAME = "\0"
 NONE = "none"
 UNKNOWN = "unknown"
 #: The sample: so many documents, and as many with a telling word; of each so many paragraphs of up to so many characters.
@@ -65,6 +90,13 @@ SAMPLE_CHARS = 1_000
 TELLING = r"(?i)licen[sc]e|copyright|permission|rights reserved|redistribut|public domain"
 #: Part of a template's n-grams that a paragraph must have to confirm it.
 CONFIRMED = 0.8
+#: Of a template's words, the part that must be aligned to confirm a family of which the classifier is sure; what a
+#: word costs that stands between or is missing; the least score, as two or three words are no notice; and the least
+#: probability that is sure.
+ALIGNED = 0.6
+ALIGNED_WORDS = 5
+GAP = 0.25
+SURE = 0.9
 SLICE_CHARS = 4_000_000
 
 _WORD = r"[^\W_]+(?:\.\d+)*"
@@ -86,6 +118,28 @@ def template_ngrams() -> dict[str, list[set[str]]]:
     return {family: [ngrams(words(t)) for t in texts] for family, texts in TEMPLATES.items()}
 
 
+def aligned(tokens: list[str], template: list[str]) -> float:
+    """The score of the best local alignment of a paragraph's words with the template's.
+
+    A common word counts 1, and each word that is left out on either side takes ``GAP`` away, so words far apart don't add up.
+    """
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(template):
+        places.setdefault(w, []).append(j)
+    row, best = [0.0] * len(template), 0.0
+    for w in tokens:
+        at = places.get(w, ())
+        if not at and not any(row):
+            continue
+        now = [max(0.0, x - GAP) for x in row]
+        for j in at:
+            now[j] = max(now[j], 1.0 + (row[j - 1] if j else 0.0))
+        for j in range(1, len(now)):
+            now[j] = max(now[j], now[j - 1] - GAP)
+        best, row = max(best, *now), now
+    return best
+
+
 @dataclass
 class Model:
     classes: list[str]
@@ -94,6 +148,7 @@ class Model:
     temperature: float
     threshold: float
     doubt: float = 0.5  # probability of any notice from which a paragraph without a sure family is unknown
+    sure: float = 1.0  # probability from which an alignment confirms a family
 
     def probabilities(self, scores: np.ndarray) -> np.ndarray:
         z = scores / self.temperature
@@ -144,27 +199,68 @@ def label(found: set[str], templates: dict[str, list[set[str]]]) -> str | None:
     return NONE if not any(three & t for ts in templates.values() for t in ts) else None
 
 
-def train(paragraphs: list[str]) -> Model:
-    """From a sample of paragraphs and the templates; the order of the sample doesn't matter."""
-    templates = template_ngrams()
-    classes = [*sorted(TEMPLATES), NONE]
-    rows: list[tuple[set[str], str]] = []
-    plain = sorted(set(paragraphs))
-    others = [p for p in plain if label(ngrams(words(p)), templates) == NONE][: SAMPLE_PARAGRAPHS // 2]
+def variants(tokens: list[str]) -> list[list[str]]:
+    """A notice as it is also written: whole, shortened at either end, and with single words missing or changed."""
+    out = [tokens, tokens[:-1], tokens[1:]]
+    if len(tokens) >= 8:
+        third = len(tokens) // 4
+        out += [tokens[third:], tokens[:-third]]
+        for k in range(1, 4):
+            i = k * len(tokens) // 4
+            out += [[*tokens[:i], *tokens[i + 1 :]], [*tokens[:i], OTHER_NAME, *tokens[i + 1 :]]]
+    return out
+
+
+def made_rows(others: list[str]) -> list[tuple[set[str], str, str]]:
+    """N-grams, class and the family they come from, of the templates' variants; ``others`` lend words to frame them.
+
+    A variant that has lost a name of its family is of class unknown.
+    """
+    rows = []
     for family, texts in TEMPLATES.items():
+        names = set(NAMES.get(family, ()))
         for k, text in enumerate(texts):
             tokens = words(text)
+            named = names & set(tokens)
             frames = [words(others[(7 * k + 13 * i) % len(others)])[:6] if others else [] for i in range(4)]
-            rows += [(ngrams(tokens), family), (ngrams(tokens[:-1]), family), (ngrams(tokens[1:]), family)]
-            rows += [(ngrams([*frames[0], *tokens]), family), (ngrams([*tokens, *frames[1]]), family)]
-            rows += [(ngrams([*frames[2], *tokens, *frames[3]]), family)]
-    rows += [(set(), NONE)]
+            shapes = [*variants(tokens), [*frames[0], *tokens], [*tokens, *frames[1]], [*frames[2], *tokens, *frames[3]]]
+            rows += [(ngrams(t), family if named <= set(t) else UNKNOWN, family) for t in shapes]
+            for name in sorted(named):
+                other = [OTHER_NAME if w == name else w for w in tokens]
+                twice = [x for w in tokens for x in ([OTHER_NAME, OTHER_NAME] if w == name else [w])]
+                rows += [(ngrams(t), UNKNOWN, family) for t in (other, twice, other[:-1], [*frames[0], *other], [*other, *frames[1]])]
+    return rows
+
+
+def _probabilities(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _sure(made: list[tuple[set[str], str, str]], others: list[set[str]], features: dict[str, int], classes: list[str], temperature: float) -> float:
+    """The probability that nine tenths of the notices of left-out families don't reach for any other family."""
+    foreign = []
+    plain = [(found, NONE, NONE) for found in others]
+    for family in classes[:-2]:
+        rows = [r for r in made if r[2] != family] + plain
+        y = np.array([classes.index(c) for _, c, _ in rows])
+        weights = _fit(_matrix([x for x, _, _ in rows], features), y, len(classes), rounds=150)
+        left = _matrix([x for x, c, f in made if f == family and c == family], features)
+        foreign += _probabilities(left @ weights / temperature)[:, :-2].max(axis=1).tolist()
+    return float(np.quantile(foreign, 0.9)) if foreign else 1.0
+
+
+def train(paragraphs: list[str]) -> Model:
+    """From a sample of paragraphs and the templates; the order of the sample doesn't matter."""
+    templates = template_ngrams()
+    classes = [*sorted(TEMPLATES), UNKNOWN, NONE]
+    plain = sorted(set(paragraphs))
+    labelled = [(p, found, label(found, templates)) for p in plain for found in [ngrams(words(p))]]
+    others = [p for p, _, family in labelled if family == NONE][: SAMPLE_PARAGRAPHS // 2]
+    made = made_rows(others)
+    rows = [*((found, c) for found, c, _ in made), (set(), NONE)]
     n_made = len(rows)
-    for p in plain:
-        found = ngrams(words(p))
-        family = label(found, templates)
-        if family is not None:
-            rows.append((found, family))
+    rows += [(found, family) for _, found, family in labelled if family is not None]
     known = {f for ts in templates.values() for t in ts for f in t}
     repeated = Counter(f for found, family in rows[n_made:] if family != NONE for f in found)
     features = {f: i for i, f in enumerate(sorted(known | {f for f, n in repeated.items() if n >= 3}))}
@@ -179,13 +275,15 @@ def train(paragraphs: list[str]) -> Model:
         z = z - z.max(axis=1, keepdims=True)
         return float(-(z[np.arange(len(z)), truth] - np.log(np.exp(z).sum(axis=1))).mean()) if len(z) else 0.0
 
-    temperature = min(np.geomspace(0.1, 10, 41), key=loss)
-    model = Model(classes, features, weights, float(temperature), 0.5)
-    p = model.probabilities(held) if len(held) else np.zeros((0, len(classes)))
-    wrong = p[:, :-1].max(axis=1)[(p[:, :-1].argmax(axis=1) != truth) if len(p) else []] if len(p) else np.zeros(0)
-    model.threshold = float(min(0.95, max(0.5, 1.01 * wrong.max(initial=0.0))))
-    plainly = 1 - p[truth == classes.index(NONE), -1]
+    temperature = float(min(np.geomspace(0.1, 10, 41), key=loss))
+    model = Model(classes, features, weights, temperature, 0.5)
+    p = model.probabilities(held)
+    other = p[truth >= len(classes) - 2]
+    model.threshold = float(min(0.95, max(0.5, 1.01 * other[:, :-2].max(initial=0.0))))
+    plainly = 1 - p[truth == len(classes) - 1, -1]
     model.doubt = float(min(0.95, max(0.5, 1.01 * plainly.max(initial=0.0))))
+    sure = _sure(made, [found for _, found, family in labelled if family == NONE][:300], features, classes, temperature)
+    model.sure = min(0.999, max(SURE, model.threshold, sure))
     return model
 
 
@@ -210,6 +308,7 @@ class Scanner:
 
     def __init__(self, model: Model, confirmed: float = CONFIRMED) -> None:
         self.model, self.templates, self.confirmed = model, template_ngrams(), confirmed
+        self.plain = {family: [words(t) for t in texts] for family, texts in TEMPLATES.items()}
         self.longest = max(len(words(t)) for ts in TEMPLATES.values() for t in ts)
         three = {g for ts in self.templates.values() for t in ts for g in t if g.count(" ") == 2}
         self.three = np.array([f in three for f in sorted(model.features, key=model.features.get)], bool)
@@ -248,16 +347,24 @@ class Scanner:
         both = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
         return both // (len(self.rows) + 1), both % (len(self.rows) + 1)
 
-    def _judged(self, grams: set[str], p: np.ndarray) -> tuple[str, float, float] | None:
+    def _judged(self, tokens: list[str], p: np.ndarray) -> tuple[str, float, float] | None:
         """Family, probability and similarity; ``p`` has the classes' probabilities. None if it is no notice."""
-        best = int(p[:-1].argmax())
-        near = max(similarity(grams, t) for t in self.templates[self.model.classes[best]])
+        best = int(p[:-2].argmax())
+        family, grams = self.model.classes[best], ngrams(tokens)
+        near = max(similarity(grams, t) for t in self.templates[family])
         if p[best] >= self.model.threshold and near >= self.confirmed:
-            return self.model.classes[best], float(p[best]), near
+            return family, float(p[best]), near
+        if p[best] >= self.model.sure and any(aligned(tokens, t) >= max(ALIGNED * len(t), ALIGNED_WORDS) for t in self.plain[family]):
+            return family, float(p[best]), near
         if p[best] >= self.model.threshold or 1 - p[-1] >= self.model.doubt:
             return UNKNOWN, float(1 - p[-1]), near
         return None
 
+    @staticmethod
+    def _stands(notice: tuple[str, float, float] | None, family: str, near: float) -> bool:
+        """Whether a line's own notice is kept before one over several lines: if it has another family or is nearer."""
+        return notice is not None and notice[0] != UNKNOWN and (notice[0] != family or notice[2] >= near)
+
     def _nearest(self, tokens: list[list[str]]) -> float:
         grams = ngrams([w for t in tokens for w in t])
         return max(similarity(grams, t) for ts in self.templates.values() for t in ts)
@@ -308,8 +415,8 @@ class Scanner:
                 last = first + 1
             if last == first:
                 continue
-            grams = ngrams([w for t in tokens[first : last + 1] for w in t])
-            judged = self._judged(grams, self.model.probabilities(self.model.scores([grams]).astype(np.float64))[0])
+            joined = [w for t in tokens[first : last + 1] for w in t]
+            judged = self._judged(joined, self.model.probabilities(self.model.scores([ngrams(joined)]).astype(np.float64))[0])
             if judged:
                 yield first, last, *judged
 
@@ -331,8 +438,8 @@ class Scanner:
         notices: dict[int, tuple[str, float, float]] = {}
         if len(touched):
             p = self.model.probabilities(scores)
-            for j in np.flatnonzero((p[:, :-1].max(axis=1) >= self.model.threshold) | (1 - p[:, -1] >= self.model.doubt)):
-                judged = self._judged(ngrams(tokens[touched[j]]), p[j])
+            for j in np.flatnonzero((p[:, :-2].max(axis=1) >= self.model.threshold) | (1 - p[:, -1] >= self.model.doubt)):
+                judged = self._judged(tokens[touched[j]], p[j])
                 if judged:
                     notices[int(touched[j])] = judged
         # Lines with a word that follow each other are a block.
@@ -344,7 +451,7 @@ class Scanner:
             if family == UNKNOWN:
                 if any(j in notices or j in taken for j in inside):
                     continue
-            elif any(j in taken or notices.get(j, (UNKNOWN,))[0] != UNKNOWN for j in inside):
+            elif any(j in taken or self._stands(notices.get(j), family, near) for j in inside):
                 continue
             for j in inside:
                 notices.pop(j, None)

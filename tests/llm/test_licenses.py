@@ -69,6 +69,69 @@ def test_blank_lines_and_texts_part_notices(model):
         assert not [f for _, found in ls.Scanner(model).scan(texts) for f in found if f[1] == "MIT"]
 
 
+@pytest.mark.parametrize(
+    "text, family",
+    [
+        ("This work, like the rest, is licensed under the GNU General Public License, either version 2 or 3 as you like.", "GPL"),
+        ("This Source Code Form is made subject to terms of the Mozilla Public License.", "MPL-2.0"),
+        ("Permission is granted, free of charge, to anyone obtaining a copy of this software.", "MIT"),
+        ("Redistribution and use in source or binary form, with or without changes, are permitted.", "BSD"),
+    ],
+)
+def test_sure_families_are_confirmed_by_alignment(model, text, family):
+    ((_, found),) = ls.Scanner(model).scan([text])
+    ((line, got, p, near),) = found
+    assert (line, got) == (0, family) and near < ls.CONFIRMED and p >= model.sure
+
+
+def test_alignment():
+    t = "a b c d e f".split()
+    assert ls.aligned(t, t) == 6
+    assert ls.aligned("x a b c x d e f x".split(), t) == 6 - ls.GAP
+    assert ls.aligned("a b c e f".split(), t) == 5 - ls.GAP
+    assert ls.aligned("f e d c b a".split(), t) == 1
+    assert ls.aligned([], t) == ls.aligned(["x"], t) == 0
+    assert ls.aligned(["a", "b", *["x"] * 100, "c", "d"], t) == 2
+
+
+def plainly(model, text):
+    """The notices of single lines, one line and template at a time."""
+    n, out = 0, []
+    for k, line in enumerate((text or "").split("\n")):
+        tokens = ls.words(line)
+        if not tokens:
+            continue
+        n += 1
+        grams = ls.ngrams(tokens)
+        p = model.probabilities(model.scores([grams]).astype(float))[0]
+        best = int(p[:-2].argmax())
+        family, texts = model.classes[best], ls.TEMPLATES[model.classes[best]]
+        near = max(len(grams & ls.ngrams(ls.words(t))) / len(ls.ngrams(ls.words(t))) for t in texts)
+        fits = [ls.aligned(tokens, ls.words(t)) >= max(ls.ALIGNED * len(ls.words(t)), ls.ALIGNED_WORDS) for t in texts]
+        if (p[best] >= model.threshold and near >= ls.CONFIRMED) or (p[best] >= model.sure and any(fits)):
+            out.append((k, family, float(p[best])))
+        elif p[best] >= model.threshold or 1 - p[-1] >= model.doubt:
+            out.append((k, ls.UNKNOWN, float(1 - p[-1])))
+    return n, out
+
+
+def test_query_equals_brute_force(spark, tiny):
+    """The notices of the given tables stand in one line each."""
+    docs = ls.documents(spark, tiny).select("doc_id", "text")
+    model = ls.train(ls.sample(docs))
+    got = {r["doc_id"]: r for r in QUERIES["op3_license_scan"](spark, tiny).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        n, found = plainly(model, r["text"])
+        sure = [x for x in found if x[1] != ls.UNKNOWN]
+        have = got[r["doc_id"]]
+        assert (have["n_paragraphs"], have["n_notices"], have["n_confirmed"]) == (n, len(found), len(sure)), r["text"]
+        assert have["n_unknown"] == len(found) - len(sure)
+        assert have["families"] == ",".join(sorted({f for _, f, _ in sure}))
+        assert have["probability"] == pytest.approx(max((p for *_, p in sure), default=0.0), abs=1e-5)
+
+
 @pytest.mark.parametrize(
     "text",
     [
