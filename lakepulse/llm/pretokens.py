@@ -15,9 +15,10 @@ from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 
-from lakepulse.llm.spans import Distinct, concatenated
+from lakepulse.llm.spans import concatenated
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _OTHER, _LETTER, _NUMBER, _WHITE = range(4)
@@ -92,19 +93,23 @@ class WordEncoder:
 
     def __init__(self, classes: np.ndarray, learn: Callable[[list[bytes], Cache], None], entries: int, size: int) -> None:
         self.classes, self.learn, self.words = classes, learn, Cache(entries, size)
-        self.distinct = Distinct()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each text has."""
         self.words.trim()
         raw = "".join(texts).encode()
         starts, first = word_starts(texts, self.classes)
-        items = np.frombuffer(raw, np.uint8)
-        sizes = np.diff(starts, append=len(items))
-        kinds, kind = self.distinct(items, starts, sizes)
-        words = [raw[s : s + n] for s, n in zip(starts[kinds].tolist(), sizes[kinds].tolist(), strict=True)]
-        self.learn([w for w in words if w not in self.words], self.words)
-        ids, per_word = concatenated([self.words[w] for w in words], kind, 4)
+        offsets = np.append(starts, len(raw)).astype("<i8")
+        spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+        coded = spans.dictionary_encode()
+        words, kind = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        found = list(map(self.words.get, words))
+        unknown = [i for i, ids in enumerate(found) if ids is None]
+        if unknown:
+            self.learn([words[i] for i in unknown], self.words)
+            for i in unknown:
+                found[i] = self.words[words[i]]
+        ids, per_word = concatenated(found, kind, 4)
         before = np.concatenate([[0], np.cumsum(per_word)])
         return ids, np.diff(before[first])
 

@@ -1,24 +1,9 @@
-"""Vectorised work on many spans of one array: which are equal, and putting their images together."""
+"""Vectorised work on many spans of one array."""
 
 from __future__ import annotations
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def _values(items: np.ndarray) -> np.ndarray:
-    """A random-looking number for each byte."""
-    x = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(29))) * _MIX)[items]
-
 
 def inside(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The indices of all items of the spans, one span after the other."""
@@ -27,43 +12,6 @@ def inside(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - first, sizes) + np.arange(total)
 
 
-class Distinct:
-    """Finds equal spans of bytes; keeps what depends on the number of bytes alone from call to call."""
-
-    def __init__(self) -> None:
-        self.forth = self.back = np.zeros(0, np.uint64)
-
-    def __call__(self, items: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(items) >= len(self.back):
-            self.forth, self.back = _powers(_BASE, len(items)), _powers(pow(_BASE, -1, 2**64), len(items) + 1)
-        return _distinct(items, starts, sizes, self.forth, self.back)
-
-
-def _distinct(items: np.ndarray, starts: np.ndarray, sizes: np.ndarray, forth: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the first span of each kind, and for each span the number of its kind.
-
-    Spans are grouped by a polynomial hash from running sums, and then compared with the first of their kind item by
-    item; should a hash have brought together different spans, they are told apart by their contents.
-    """
-    hashed = _values(items)
-    hashed *= forth[: len(items)]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed, dtype=np.uint64)])
-    del hashed
-    keys = (sums[starts + sizes] - sums[starts]) * back[starts]
-    del sums
-    keys = (keys ^ (keys >> np.uint64(31))) * _MIX + sizes.astype(np.uint64)
-    _, first, kind = np.unique(keys, return_index=True, return_inverse=True)
-    same = (sizes[first][kind] == sizes).all()
-    if same:
-        same = (items[inside(starts[first][kind], sizes)] == items[inside(starts, sizes)]).all()
-    if not same:
-        numbers: dict[bytes, int] = {}
-        own = [items[s : s + n].tobytes() for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-        kind = np.array([numbers.setdefault(x, len(numbers)) for x in own], np.int64)
-        first = np.unique(kind, return_index=True)[1]
-    return first, kind
-
-
 def concatenated(images: list[bytes], kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The images of the spans one after the other (as items of ``width`` bytes), and the size of each."""
     pool = np.frombuffer(b"".join(images), {1: np.uint8, 4: "<i4"}[width])

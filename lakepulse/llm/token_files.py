@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -235,9 +236,9 @@ def _write(shared, folder: str, end: int, file_ids: int):
 
         writer = Writer(width)
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), raw_texts(batch.column("text"))
-            for i, j in slices([len(x) + 1 for x in texts], SLICE_BYTES):
-                flat, sizes = encoder.encode([x.decode("utf-8", "replace") for x in texts[i:j]])
+            doc_ids, column = batch.column("doc_id").to_pylist(), batch.column("text")
+            for i, j in slices((pc.binary_length(column).fill_null(0).to_numpy() + 1).tolist(), SLICE_BYTES):
+                flat, sizes = encoder.encode([x.decode("utf-8", "replace") for x in raw_texts(column.slice(i, j - i))])
                 last = np.cumsum(sizes)
                 for doc_id, a, b in zip(doc_ids[i:j], (last - sizes).tolist(), last.tolist(), strict=True):
                     writer.add(doc_id, np.append(flat[a:b], end).astype("<u4"))
