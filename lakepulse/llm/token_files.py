@@ -222,8 +222,11 @@ class LibraryEncoder:
 
 def _write(shared, folder: str, end: int, file_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        content, width, classes, known = shared.value
-        encoder = LibraryEncoder(content, classes, known)
+        content, width, classes, known, kept = shared.value
+        # A worker keeps its copy of the broadcast, so its next tasks find the encoder with the words it has met.
+        if not kept:
+            kept.append(LibraryEncoder(content, classes, known))
+        encoder = kept[0]
         store, root = fs.FileSystem.from_uri(folder)
         part, written_files = TaskContext.get().partitionId(), 0
 
@@ -278,7 +281,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = END, f
     size = max([*settings["model"]["vocab"].values(), *added, end]) + 1
     classes = class_table()
     known = LibraryEncoder(content, classes).frequent(_sample(docs), KNOWN_WORDS)
-    shared = spark.sparkContext.broadcast((content, width_of(size), classes, known))
+    shared = spark.sparkContext.broadcast((content, width_of(size), classes, known, []))
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
