@@ -56,3 +56,35 @@ def test_narrow_margins_are_rejected(spark):
 def test_long_texts_use_every_block():
     judge = li.Judge(li.Languages({"a": b" alpha beta gamma delta " * 100, "b": b" un deux trois quatre cinq " * 100}))
     assert judge.best("un deux trois " * 3 + "alpha beta gamma delta " * 4000)[0] == "a"
+
+
+def test_equals_plain_version(spark, tiny):
+    """Whole texts, one compressor made anew for each text and language."""
+    import re
+    import zlib
+
+    import zstandard
+
+    docs = li.documents(spark, tiny).select("doc_id", "text", "lang").collect()
+    learned = li.learn(li.documents(spark, tiny).where(~li.held_out())).dictionaries
+    assert set(learned) == {r["lang"] for r in docs if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    got = {r["doc_id"]: r for r in QUERIES["op2_language_id"](spark, tiny).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        body = f" {' '.join(re.findall(r'[^\W\d_]+', (r['text'] or '').lower()))} ".encode()
+        have = got[r["doc_id"]]
+        assert have["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        if not body.strip():
+            assert (have["lang_pred"], have["score"]) == ("und", 0.0)
+            continue
+        sizes = []
+        for lang, content in learned.items():
+            known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            n = 0
+            for i in range(0, len(body), li.BLOCK_BYTES):
+                one = zstandard.ZstdCompressor(level=li.LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
+                n += len(one.compress(body[i : i + li.BLOCK_BYTES]))
+            sizes.append((n, lang))
+        least, second = sorted(n for n, _ in sizes)[:2]
+        assert have["lang_pred"] == next(lang for n, lang in sizes if n == least)
+        assert abs(have["score"] - (second - least) / second) < 1e-12
