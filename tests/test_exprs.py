@@ -20,6 +20,12 @@ def test_rounding_is_half_up(spark):
         assert one(spark, X.round_half_up(F.lit(value), 2)) == want
 
 
+def test_rounding_keeps_large_values(spark):
+    for value in (5.0e13, -5.0e13, 1.5e300, float("inf")):
+        assert one(spark, X.round_half_up(F.lit(value), 6)) == value
+    assert one(spark, X.round_half_up(F.lit(52_050_000_000_000).cast("bigint"), 6)) == 5.205e13
+
+
 def test_zero_divisors_give_null(spark):
     assert one(spark, X.ratio(F.lit(1), F.lit(0))) is None
     assert one(spark, X.percent(F.lit(1), F.lit(None).cast("int"))) is None
