@@ -129,3 +129,9 @@ def test_entry_and_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     df = entry.entry(spark)
     assert "date_value" in df.columns and df.count() > 0
+
+
+def test_unnesting_builds_the_events_of_a_batch_once(spark, tiny):
+    text = plan(QUERIES["join_unnest"](spark, tiny))
+    assert not [line for line in text.splitlines() if "Filter" in line and "transform(" in line]
+    assert "same" in text and text.count("named_struct(session_type") == 1
