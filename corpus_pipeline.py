@@ -41,7 +41,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8) the one with the smallest id; without id all stay."""
+    """Of each group of near-duplicates the one with the smallest id; without id all stay.
+
+    Candidates are texts with linked SimHash fingerprints, and those that share a min-hash band; a link is confirmed by
+    the exact sets (five-word shingles, Jaccard 0.8).
+    """
     groups = near_texts(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
 

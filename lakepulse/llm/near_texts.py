@@ -1,9 +1,10 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: min-hash finds candidates, exact sets confirm them.
+"""Near-duplicates by SimHash and min-hash over word shingles: both find candidates, exact sets confirm them.
 
 Texts with equal sets of shingles form one class, so that copies cost nothing below.
 
 1. A class has bands of a few min-hashes each. Two classes of similarity s share a band of r hashes with the
    probability s^r, and so one of b bands with 1 - (1 - s^r)^b: 0.999997 at 0.8 with the values below.
+   Classes whose SimHash fingerprints are linked (``simhash.links``, at most its radius of bits) have a bucket in common too.
 2. Classes that share a band lie in one bucket. First each is compared with one class, the head that most of its buckets
    have; a bucket of copies of one text is then one component. While buckets that are too large for one task hold several
    components, further rounds try other heads.
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 from lakepulse.llm.components import components
 from lakepulse.llm.pretokens import slices
+from lakepulse.llm.simhash import RADIUS, fingerprint
+from lakepulse.llm.simhash import links as fingerprint_links
 from lakepulse.llm.spans import inside
 from lakepulse.llm.text import raw_texts
 from lakepulse.session import written
@@ -75,14 +78,16 @@ def bands(hashes: np.ndarray, seed: int = SEED) -> list[int]:
 def _hashed(n_words: int, seed: int):
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, found = [], [], []
+            keys, sizes, found, marks = [], [], [], []
             for raw in raw_texts(batch.column("text")):
                 hashes = shingles(raw, n_words, seed)
                 keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 sizes.append(len(hashes))
                 found.append(bands(hashes, seed))
+                marks.append(fingerprint(raw, n_words, seed))
             columns = [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "bands"])
+            columns.append(pa.array(np.array(marks, np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "bands", "fp"])
 
     return hashed
 
@@ -271,6 +276,15 @@ def _rest(mixed: DataFrame, sets: DataFrame, similarity: float, tile: int) -> Da
     return _compared(whole.unionByName(tiled), sets, similarity, star=False)
 
 
+def _by_fingerprint(of_docs: DataFrame, classes: DataFrame, radius: int) -> DataFrame:
+    """``id, n, bucket``: a bucket holds the classes that links between fingerprints connect."""
+    marks = written(of_docs.where("n > 0").select("key", "fp").distinct(), "marks")
+    fps = written(marks.select("fp").distinct(), "fingerprints")
+    labels = components(written(fingerprint_links(fps, fps.count(), radius).distinct(), "fingerprint-links"))
+    linked = marks.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+    return linked.join(classes, "key").select("id", classes["n"], F.coalesce("label", "fp").alias("bucket")).distinct()
+
+
 def near_texts(docs: DataFrame, n_words: int = WORDS, similarity: float = SIMILARITY, seed: int = SEED, tile: int = TILE) -> DataFrame:
     """``doc_id, component_id``: one row for each row of ``docs``.
 
@@ -280,10 +294,10 @@ def near_texts(docs: DataFrame, n_words: int = WORDS, similarity: float = SIMILA
     smallest id reached, null if there is none. Repeated rows give repeated rows. An empty table gives an empty table.
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    of_docs = written(texts.mapInArrow(_hashed(n_words, seed), "doc_id long, key binary, n long, bands array<long>"), "shingled")
+    of_docs = written(texts.mapInArrow(_hashed(n_words, seed), "doc_id long, key binary, n long, bands array<long>, fp long"), "shingled")
     classes = of_docs.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    rows = classes.select("id", "n", F.explode("bands").alias("bucket"))
+    rows = classes.select("id", "n", F.explode("bands").alias("bucket")).unionByName(_by_fingerprint(of_docs, classes, RADIUS))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
     rows = written(rows.join(shared, "bucket").withColumn("label", F.col("id")), "buckets")
     needed = written(classes.join(rows.select("id").distinct(), "id", "left_semi").select("id", "key", "first"), "candidates")

@@ -144,6 +144,14 @@ def test_bands_find_the_similarity():
     assert hits == 300
 
 
+def test_linked_fingerprints_are_candidates(spark, monkeypatch):
+    monkeypatch.setattr(n, "bands", lambda hashes, seed=0: [])
+    words = [f"w{i}" for i in range(3_000)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words[:1_500], "changed", *words[1_501:]])), (3, " ".join(reversed(words)))]
+    got = n.near_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_one_changed_word_is_a_copy_in_the_stage(spark, tiny):
     words = [f"w{i}" for i in range(120)]
     rows = [(k, " ".join([*words[: 10 * k], f"changed{k}", *words[10 * k + 1 :]])) for k in range(1, 9)]
