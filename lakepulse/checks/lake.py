@@ -33,7 +33,13 @@ def _landed(spark, sf, name, keys, padded=True):
 
 
 def landed_batches(spark, sf):
-    return _landed(spark, sf, "batches", sinks.HOURLY)
+    """Batches are built behind the shuffle by hour, from rows a few percent of their size; so is its unit."""
+
+    def write(path):
+        with sinks.target_size(spark, "4MB"):
+            sinks.write_json(fixture.balanced_batches(spark, sf), path, sinks.HOURLY, balanced=True)
+
+    return sinks.land_once(spark, LANDED, ("batches", sf), write)
 
 
 def landed_raw(spark, sf):

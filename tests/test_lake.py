@@ -195,3 +195,17 @@ def test_the_mapping_reads_every_source_event(spark, tiny):
     kinds = [k for k in ("view", "click", "error")]
     some = fixture.flat(spark, tiny).select((F.substring("event_id", 5, 20).cast("long") / 10).cast("long").alias("i")).distinct()
     assert some.count() >= source.where(F.col("event_type").isin(kinds)).count()
+
+
+def test_writers_keep_files_open_side_by_side(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    seen, write = [], DataFrameWriter.parquet
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (seen.append(spark.conf.get(name)), write(self, *a, **k)))
+    rows = spark.range(200).selectExpr("id", "CAST(id % 20 AS STRING) AS day")
+    sinks.compact(rows, str(tmp_path / "compacted"), ["day"])
+    sinks.append(rows, str(tmp_path / "appended"), ["day"])
+    assert seen == ["8", "8"] and spark.conf.get(name) == "0"
+    for part in ("compacted", "appended"):
+        assert spark.read.schema("id bigint, day string").parquet(str(tmp_path / part)).selectExpr("count(*)", "sum(id)").first() == (200, 19900)
