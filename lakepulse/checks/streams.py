@@ -43,20 +43,18 @@ PIECES = 4
 
 
 def _arriving(spark, sf):
-    """A stream of one file an epoch, in order of arrival."""
-
-    def land(path):
-        rows = fixture.late_messages(spark, sf, PIECES)
-        for piece in range(PIECES):  # one after the other: a file's time is its place in the stream
-            rows.where(F.col("piece") == piece).drop("piece").coalesce(1).write.parquet(f"{path}/in/{piece}")
-
-    return queues.read_messages(spark, land_once(spark, LANDED, ("late-messages", "stream", sf), land), files_per_batch=1)
+    """The messages by the piece they arrive in, landed in one pass."""
+    write = lambda path: fixture.late_messages(spark, sf, PIECES).write.partitionBy("piece").parquet(path)
+    return land_once(spark, LANDED, ("late-messages", "stream", sf), write)
 
 
 def _released(spark, sf, name, sink):
-    """What a sink releases of the arriving messages, with the rest of what waits at the end."""
-    path = scratch(spark, name)
-    queues.run_batches(_arriving(spark, sf), scratch(spark, f"{name}-checkpoint"), sink(path))
+    """What a sink releases of the arriving messages, an epoch for each piece, with the rest of what waits at the end."""
+    path, checkpoint, arrived = (scratch(spark, f"{name}{part}") for part in ("", "-checkpoint", "-in"))
+    pieces = spark.read.schema(f"{MESSAGE_SCHEMA}, piece int").parquet(_arriving(spark, sf))
+    for piece in range(PIECES):  # one after the other: what lands between two runs is one epoch, of any number of files
+        pieces.where(F.col("piece") == piece).drop("piece").write.parquet(f"{arrived}/{piece}")
+        queues.run_batches(queues.read_messages(spark, arrived), checkpoint, sink(path))
     reorder.flush(spark, sink(path, everything=True), path)
     return f"{path}/messages"
 

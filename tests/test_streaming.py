@@ -200,3 +200,14 @@ def test_closed_windows_equal_batch(spark, tiny, dirs):
     newest = rows.agg(F.max("ms")).first()[0]
     want = error_rate_series(rows).where(F.col("window_start") + 300_000 <= newest - 600_000)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_arriving_pieces_land_in_one_pass_and_are_an_epoch_each(spark, tiny):
+    from lakepulse.checks import streams
+    from lakepulse.streaming import reorder
+
+    landed = spark.read.parquet(streams._arriving(spark, tiny))
+    assert sorted(r["piece"] for r in landed.select("piece").distinct().collect()) == list(range(streams.PIECES))
+    released = spark.read.parquet(streams._released(spark, tiny, "epochs", reorder.groups_in_order))
+    assert released.count() == landed.count() and released.where("late").count() == 0
+    assert released.where(f"epoch >= {streams.PIECES}").count() < landed.where(f"piece = {streams.PIECES - 1}").count()
