@@ -16,7 +16,7 @@ from lakepulse.llm.mixing import mix
 from lakepulse.llm.near_texts import near_texts
 from lakepulse.llm.quality_rules import quality_rules
 from lakepulse.llm.text import documents
-from lakepulse.session import written
+from lakepulse.session import small_batches, written
 
 
 def _packed(docs: DataFrame, *plain: str) -> DataFrame:
@@ -30,11 +30,13 @@ def _unpacked(df: DataFrame, docs: DataFrame, *plain: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules on length and repetition."""
+    small_batches(spark)
     return _unpacked(quality_rules(_packed(docs, "text")).where("kept"), docs, "text")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them."""
+    small_batches(spark)
     deduped = dedup_lines(_packed(docs, "doc_id", "text", "n_chars"))
     changed = F.when(F.col("n_dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
     return _unpacked(deduped.withColumn("n_chars", changed.cast("long")), docs, "doc_id", "text", "n_chars")
@@ -46,6 +48,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Candidates are texts with linked SimHash fingerprints, and those that share a min-hash band; a link is confirmed by
     the exact sets (five-word shingles, Jaccard 0.8).
     """
+    small_batches(spark)
     groups = near_texts(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
 
@@ -58,6 +61,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, lang, ids``, and the digests of the ids and of what they decode to."""
+    small_batches(spark)
     both = Tokenizer(spark, public_tokenizers.path(VOCABULARY)).round_trip(docs.select("doc_id", "source", "lang", "text"))
     return digests(both, "source", "lang", "ids")
 

@@ -25,6 +25,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +38,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 QUERY_BYTES = 200_000
 CACHE_ENTRIES = 300_000
 CACHE_BYTES = 14_000_000
-#: Bytes of texts that are handed on at a time.
-SLICE_BYTES = 1_500_000
+#: Bytes of texts that are taken out of Arrow and handed on at a time.
+SLICE_BYTES = 750_000
 DUCKDB_MEMORY = "120MB"
 LONG_WORD = 300
 
@@ -268,18 +269,17 @@ def _add_columns(shared, source, schema, names, ids, decoded, batches) -> Iterat
     decoder = Decoder(tokens) if decoded else None
     wanted = arrow_schema(schema)
     for whole in batches:
-        if ids:
-            given = raw_texts(whole.column(source))
-        else:
-            given = [np.array(x or [], "<i4") for x in whole.column(source).to_pylist()]
-        for i, j in slices([len(x) + 1 for x in given], SLICE_BYTES):
-            batch, part = whole.slice(i, j - i), given[i:j]
+        column = whole.column(source)
+        sizes = pc.binary_length(column) if ids else pc.list_value_length(column)
+        for i, j in slices((sizes.fill_null(0).to_numpy() + 1).tolist(), SLICE_BYTES):
+            batch, part = whole.slice(i, j - i), column.slice(i, j - i)
             columns = [batch.column(c) for c in names]
             if ids:
-                flat, sizes = encoder.encode([x.decode("utf-8", "replace") for x in part])
+                flat, sizes = encoder.encode([x.decode("utf-8", "replace") for x in raw_texts(part)])
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat)))
             else:
-                flat, sizes = np.concatenate(part), np.array([len(x) for x in part])
+                given = [np.array(x or [], "<i4") for x in part.to_pylist()]
+                flat, sizes = np.concatenate(given), np.array([len(x) for x in given])
             if decoded:
                 columns.append(pa.array(decoder.decode(flat, sizes), pa.binary()))
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, wanted, strict=True)], schema=wanted)

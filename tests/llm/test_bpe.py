@@ -1,4 +1,5 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -8,9 +9,12 @@ import regex
 import tiktoken
 from brute import sha
 from cases import awkward, frame
+from pyspark.sql import types as T
 
+from lakepulse.llm import byte_bpe
 from lakepulse.llm.byte_bpe import VOCABULARY, Decoder, Merger, Tokenizer, Vocabulary, digests
 from lakepulse.llm.pretokens import Cache, WordEncoder, class_table, word_starts
+from lakepulse.llm.text import raw_texts
 
 CHARS = "ab1 \n\t\x1c\x85\xa0​ 　\x0b''svetrlmd.!é日٣½Ⅷʼ́ः😀\r\x00"
 
@@ -116,3 +120,32 @@ def test_decode_alone_takes_null_ids(spark):
 def test_arrow_lists_of_ids(spark):
     ids = Tokenizer(spark, public_tokenizers.path(VOCABULARY)).encode(frame(spark)).toArrow().column("ids")
     assert ids.type == pa.list_(pa.int32()) and ids.null_count == 0
+
+
+def test_texts_leave_arrow_slice_by_slice(monkeypatch, vocabulary):
+    """A batch may hold many more texts than a task has room for as Python objects."""
+    taken = []
+
+    def noted(column):
+        taken.append(column.nbytes)
+        return raw_texts(column)
+
+    monkeypatch.setattr(byte_bpe, "raw_texts", noted)
+    monkeypatch.setattr(byte_bpe, "SLICE_BYTES", 5_000)
+    texts = [None, "", *(f"word {i} " * 50 for i in range(200)), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    with open(public_tokenizers.path(VOCABULARY), "rb") as file:
+        shared = SimpleNamespace(value=(file.read(), vocabulary.merges(), vocabulary.tokens(), class_table()))
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+    got = pa.Table.from_batches(byte_bpe._add_columns(shared, "text", schema, ["text"], True, True, iter([batch])))
+    assert got["decoded"].to_pylist() == [(t or "").encode() for t in texts]
+    assert got["text"].to_pylist() == texts
+    assert max(taken) < 10_000 < batch.nbytes
+
+
+def test_ids_are_decoded_slice_by_slice(spark, monkeypatch, library):
+    monkeypatch.setattr(byte_bpe, "SLICE_BYTES", 40)
+    texts = [None, "", *(f"word {i} " * (i % 30) for i in range(100)), None]
+    tokens = [(i, None if t is None else library.encode_ordinary(t)) for i, t in enumerate(texts)]
+    got = Tokenizer(spark, public_tokenizers.path(VOCABULARY)).decode(spark.createDataFrame(tokens, "doc_id long, ids array<int>").coalesce(2))
+    assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in got.collect()} == {i: t or "" for i, t in enumerate(texts)}

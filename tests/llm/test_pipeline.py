@@ -15,6 +15,8 @@ from lakepulse.llm.byte_bpe import VOCABULARY, Vocabulary
 from lakepulse.llm.exact_dedup import OP9_SQL
 from lakepulse.llm.line_dedup import OP1_SQL
 from lakepulse.llm.queries import QUERIES
+from lakepulse.llm.text import documents
+from lakepulse.session import ARROW_BYTES
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +83,18 @@ def test_queries_equal_brute_force(spark, tiny, docs):
     kept = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in QUERIES["op4_quality_rules"](spark, tiny).collect()}
     assert kept == {d: quality(t, quality_rules.MAX_COVERED, quality_rules.MAX_LINE_COPIES)[-2:] for d, t in pairs}
     assert len(exact(pairs)) == QUERIES["op9_exact_dedup"](spark, tiny).count()
+
+
+def test_stages_hand_small_batches_to_python(spark, tiny):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(limit, None)
+    try:
+        for name in ("quality rules", "line dedup", "near-duplicates", "tokens"):
+            spark.conf.unset(limit)
+            corpus_pipeline.stage_of(name)(spark, documents(spark, tiny).limit(5), tiny)
+            assert spark.conf.get(limit) == str(ARROW_BYTES)
+        spark.conf.set(limit, "1m")
+        corpus_pipeline.stage_of("tokens")(spark, documents(spark, tiny).limit(5), tiny)
+        assert spark.conf.get(limit) == "1m"
+    finally:
+        spark.conf.unset(limit) if own is None else spark.conf.set(limit, own)
