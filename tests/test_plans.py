@@ -121,6 +121,23 @@ def test_the_mart_prunes_directories_and_reads_events_twice_at_most(spark, tiny,
         assert re.search(r"PartitionFilters: \[.*year.*month.*day", scan)
 
 
+@pytest.mark.parametrize("analysis", [mart.daily_aggregates, mart.daily_metrics_mart])
+def test_the_mart_reads_events_once_and_writes_them_without_a_shuffle(spark, tiny, tmp_path, monkeypatch, analysis):
+    path = str(tmp_path / "events")
+    rows = fixture.mart_events(fixture.flat(spark, tiny))
+    rows.write.partitionBy("year", "month", "day").parquet(path)
+    landed = spark.read.schema(rows.schema).parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
+    plans, plain = [], mart.written
+    monkeypatch.setattr(mart, "written", lambda df, name: (plans.append(df), plain(df, name))[1])
+    try:
+        plans.append(analysis(landed, date(2024, 1, 31), days=10))
+        assert len([s for df in plans for s in scans(df) if path in s]) == 1
+        assert "Exchange" not in plan(plans[0])
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
 def test_newest_sessions_are_cut_before_the_shuffle(lake):
     assert plan(risk.crisis_intervention(lake, AS_OF)).count("WindowGroupLimit") == 2
 
